@@ -85,6 +85,8 @@ def _period_ends(block: str, i: int, j: int, known: frozenset | set, plain: set[
     """Whether the single period at i ends a sentence; j is the end of mark and closers."""
     m = _TOKEN.search(block, max(0, i - 40), i)
     word = m.group() if m else ""
+    if any(len(x) > 2 for x in word.split(".")):  # two sentences without a blank between them
+        word = word.rpartition(".")[2]
     low = word.lower()
     after = block[j : j + 1]
     if after and not after.isspace():
@@ -103,7 +105,10 @@ def _period_ends(block: str, i: int, j: int, known: frozenset | set, plain: set[
         return False
     if not word:  # a number or bracket before the period
         digits = re.search(r"(?<![\d.,])\d{1,2}$", block[max(0, i - 4) : i])
-        return not (digits and first.isupper() and j == i + 1 and re.match(r"(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b", nxt))
+        if not (digits and first.isupper() and j == i + 1):
+            return True
+        ordinal = re.search(r"\b(?:der|die|das|den|dem|des|am|im|zum|zur|vom|beim)\s+\d+$", block[max(0, i - 12) : i], re.I)
+        return not (ordinal or re.match(r"(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b", nxt))
     if low in WITHIN:
         return False
     if re.search(r"(?:^|\s)т\.\s?$", block[max(0, i - len(word) - 4) : i - len(word)]):
@@ -113,7 +118,7 @@ def _period_ends(block: str, i: int, j: int, known: frozenset | set, plain: set[
     if first.isdigit():
         return not (low in NUMBER or low in known or len(word) == 1)
     if len(word) == 1:
-        return not (word.isupper() or caseless(word)) and low not in NAME
+        return not (word.isupper() or caseless(word) or re.match(r"[^\W\d_]\.", nxt)) and low not in NAME
     if low in CLOSE or "." in low:
         return True
     if low in known and len(word) <= 5:
@@ -139,8 +144,8 @@ def _running(block: str, known: set[str], plain: set[str]) -> list[int]:
         pos = j
         mark = m.group()
         if mark == ";":
-            before = block[:i].rstrip()[-1:]
-            if not ("Ͱ" <= before <= "Ͽ" or "ἀ" <= before <= "῿"):
+            letters = [c for c in block[max(0, i - 60) : i] if c.isalpha()]
+            if not letters or not ("Ͱ" <= letters[-1] <= "Ͽ" or "ἀ" <= letters[-1] <= "῿"):
                 continue
         hold = quoted(i)
         while j < len(block) and (block[j] in CLOSERS or block[j] in "   " and block[j + 1 : j + 2] in ("»", "›")) and not block.startswith("[evidence_", j):
@@ -170,13 +175,9 @@ def _running(block: str, known: set[str], plain: set[str]) -> list[int]:
                 continue
             if caseless(first):
                 own = not lead and block[a] in "(（"
-                said = lead[-1:] in ":：" and mark[-1] in ".。！!।"
-                if lead[-1:] == ":" and mark[-1] in "!！":
-                    said = False
+                said = lead.endswith("：") and mark[-1] in ".。！!।" or lead.endswith(":") and mark[-1] in ".।"
                 if not (own or said or tail):
                     continue
-            elif not lead and block[a] not in "(（" and mark[-1] in "?!" and False:
-                continue
         elif mark == ".":
             if tail:
                 if not _period_ends(block, i, stop, known, plain):
