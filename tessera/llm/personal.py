@@ -51,12 +51,12 @@ EMAIL = re.compile(
 EMAIL_HINT = re.compile(r"@|＠|\(at\)|\[at\]|\{at\}|<at>|\( ?at ?\)| AT |\bdot\b|\bDOT\b|\(AT\)|\[AT\]")
 
 PHONE = re.compile(
-    r"(?<![\w.@/#+-])(?:"
+    r"(?<![A-Za-z0-9_.@/#+-])(?:"
     r"(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}"
     r"|(?:\(\+\d{1,3}\)|\+\d{1,3}|00\d{2,4})[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d[\d .-]{5,14}\d"
     r"|\(?0\d{1,4}\)?[ .]?(?:[/-] ?)?\d[\d .-]{4,12}\d"
     r"|\(\d{2,4}\) ?\d{3,4}[ .-]\d{3,4}|\d{3}[ -]\d{4}[ -]\d{4}|8[ -]\(?\d{3}\)?[ -]\d{3}[ -]?\d{2}[ -]?\d{2}"
-    r")(?:,? ?(?:ext\.?|x|extension|доб\.|Durchwahl|poste|分机|内線) ?\d{1,5})?(?![\w@]|\.\d)"
+    r")(?:,? ?(?:ext\.?|x|extension|доб\.|Durchwahl|poste|分机|内線) ?\d{1,5})?(?![A-Za-z0-9_@]|\.\d)"
 )
 PHONE_WORD = re.compile(
     r"(?:call|ring|phone|reach|tel|fon|mobil|fax|contact|erreichbar|rufen|kontakt|joignable|appel|tél|teléfono|llam|тел|звон|電話|电话|手机|連絡|联系)[^\n]{0,60}$", re.I
