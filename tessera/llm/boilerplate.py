@@ -86,7 +86,7 @@ def loose(line: str, name: str) -> str:
 def loosely(line: str, name: str) -> int | None:
     """The hash of the loose token; None if nothing but slots is left of the line."""
     t = loose(line, name)
-    return hashed("~" + t) if re.search(r"[^\W\d_]", t) else None
+    return hashed("~" + t) if re.search(r"[^\W\d_]|@", t) else None
 
 
 def kind_of(line: str, title: str) -> int:
