@@ -48,7 +48,8 @@ EMAIL = re.compile(
     r"(?:@|＠|\s?[(\[{<]\s?(?:at|AT|@)\s?[)\]}>]\s?|\sAT\s|\sat\s(?=[A-Za-z0-9-]+(?:\s?[(\[{]\s?(?:dot|DOT)|\s(?:dot|DOT)\s)))"
     r"[A-Za-z0-9-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|\.)\s?[)\]}]\s?|\s(?:dot|DOT)\s)[A-Za-z0-9-]+)+"
 )
-EMAIL_HINT = re.compile(r"@|＠|\(at\)|\[at\]|\{at\}|<at>|\( ?at ?\)| AT |\bdot\b|\bDOT\b|\(AT\)|\[AT\]")
+EMAIL_HINT = ("@", "＠", "dot", "DOT", "(at)", "[at]")
+ID_HINT = ("ecurity", "SSN", "assport", "ID", "écurité", "asseport", "CNI", "usweis", "Reisepass", "identidad", "DNI", "NIE", "asaporte", "аспорт", "СНИЛС", "ИНН", "身份", "护照", "番号", "マイナンバー")
 
 PHONE = re.compile(
     r"(?<![A-Za-z0-9_.@/#+-])(?:"
@@ -193,14 +194,16 @@ class Finder:
                 used[a:b] = b"\x01" * (b - a)
                 taken.append((kind, a, b))
 
-        if EMAIL_HINT.search(text):
+        if any(h in text for h in EMAIL_HINT):
             for m in EMAIL.finditer(text):
                 take("email", *m.span())
-        for m in ID_WORD.finditer(text):
-            if v := ID_VALUE.match(text, m.end()):
-                take("id_number", *v.span())
-        for m in ID_SSN.finditer(text):
-            take("id_number", *m.span())
+        if any(h in text for h in ID_HINT):
+            for m in ID_WORD.finditer(text):
+                if v := ID_VALUE.match(text, m.end()):
+                    take("id_number", *v.span())
+        if " belongs" in text:
+            for m in ID_SSN.finditer(text):
+                take("id_number", *m.span())
         for kind, pattern in ADDRESS.items():
             if any(h in text for h in ADDRESS_HINT[kind]):
                 for m in pattern.finditer(text):
