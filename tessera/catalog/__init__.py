@@ -8,20 +8,21 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str | None = None):
     """Register a query under its function's name, with its SQL if it has one."""
 
     def add(f):
-        QUERIES[name or f.__name__] = f
+        QUERIES[f.__name__] = f
         if sql:
-            SQL[name or f.__name__] = sql
+            SQL[f.__name__] = sql
         return f
 
     return add
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return QUERIES["p5_found"](spark, d)
+    """Orphan references by field, period and kind."""
+    return QUERIES["p5_report"](spark, d)
 
 
-from tessera.catalog import references  # noqa: E402,F401
+from tessera.catalog import references, relational, text  # noqa: E402,F401
