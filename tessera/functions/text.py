@@ -24,6 +24,15 @@ def q(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, however often body uses it.
+
+    Without it the optimizer writes the whole expression of value into every
+    place, inner loops of higher-order functions included.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(c: Column, pattern: str) -> Column:
     return F.rlike(c, F.lit(js(pattern)))
 
