@@ -25,4 +25,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return QUERIES["p5_report"](spark, d)
 
 
-from tessera.catalog import references, relational, scoring, similarity, text  # noqa: E402,F401
+from tessera.catalog import claims, references, relational, scoring, similarity, streams, text, topics  # noqa: E402,F401

@@ -139,10 +139,12 @@ def set1_sizes(spark: SparkSession, d: str) -> DataFrame:
     return p.join(a, ["scope", "a"]).join(b, ["scope", "b"]).select("scope", "a", "b", both.alias("shared"), F.size(F.array_union("sa", "sb")).alias("joint"))
 
 
-@query(w("u", "select trim(snippet) as text, list(id order by id) as ids from u where snippet is not null and trim(snippet) <> '' group by 1 having count(*) > 1"))
+@query(w("u", "select id, min(id) over (partition by trim(snippet)) as original, count(*) over (partition by trim(snippet)) as n from u where trim(snippet) <> '' qualify count(*) over (partition by trim(snippet)) > 1"))
 def sim13_exact_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    g = v.units(spark, d).where("trim(snippet) <> ''").groupBy(F.trim("snippet").alias("text"))
-    return g.agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
+    """One row per copy with the least id of its group; groups are counted before they are joined back."""
+    t = v.units(spark, d).select("id", F.trim("snippet").alias("t")).where("t <> ''")
+    g = t.groupBy("t").agg(F.min("id").alias("original"), F.count("*").alias("n")).where("n > 1")
+    return t.join(g, "t").select("id", "original", "n")
 
 
 COMP = """, e as (select a, b from links union select b, a from links), reach as (select a as id, a as x from e union select b, b from e),
@@ -185,10 +187,10 @@ def win6_argmax(spark: SparkSession, d: str) -> DataFrame:
     return sm.representatives(clusters(spark, d).withColumn("seq", F.struct("seq", "id")), "longest")
 
 
-@query(CLUS + """select grp as "group", max(length(snippet)) as longest, round(avg(quality), 6) as quality, round(avg(confidence), 6) as confidence, list(id order by id) as merged_from, count(*) as merged_count from m group by 1""")
+@query(CLUS + """select grp as "group", max(length(snippet)) as longest, round(avg(quality), 6) as quality, round(avg(confidence), 6) as confidence, count(*) as merged_count from m group by 1""")
 def sim17_merged(spark: SparkSession, d: str) -> DataFrame:
     m = sm.merged(clusters(spark, d))
-    return m.select("group", F.length("text").alias("longest"), F.round("quality", 6).alias("quality"), F.round("confidence", 6).alias("confidence"), "merged_from", "merged_count")
+    return m.select("group", F.length("text").alias("longest"), F.round("quality", 6).alias("quality"), F.round("confidence", 6).alias("confidence"), "merged_count")
 
 
 @query(CLUS + """select grp as "group", list_sort(list_distinct(flatten(list(case when json_valid(topics) and json_type(topics) = 'ARRAY' then list_transform(cast(topics as json[]), lambda x: x ->> '$') else [] end)))) as topics from m group by 1""")

@@ -131,9 +131,11 @@ def representatives(members: DataFrame, strategy: str = "quality") -> DataFrame:
 
 
 def merged(members: DataFrame) -> DataFrame:
-    """(group, text, quality, confidence, topics, merged_from, merged_count) of each group: the longest text, means, union of topics."""
+    """(group, text, quality, confidence, merged_count, topics) of each group: the longest text, means, union of topics.
+
+    Who was merged is told by the membership table; no list of members is built.
+    """
     best = F.max_by("text", F.struct(F.length("text"), -F.col("seq")))
-    return members.groupBy("group").agg(
-        best.alias("text"), F.avg("quality").alias("quality"), F.avg("confidence").alias("confidence"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("topics")))).alias("topics"), F.array_sort(F.collect_list("id")).alias("merged_from"), F.count("*").alias("merged_count"),
-    )
+    sums = members.groupBy("group").agg(best.alias("text"), F.avg("quality").alias("quality"), F.avg("confidence").alias("confidence"), F.count("*").alias("merged_count"))
+    topics = members.select("group", F.explode("topics").alias("t")).distinct().groupBy("group").agg(F.array_sort(F.collect_list("t")).alias("topics"))
+    return sums.join(topics, "group", "left").withColumn("topics", F.coalesce("topics", F.array().cast("array<string>")))
