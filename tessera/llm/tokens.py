@@ -19,7 +19,6 @@ import base64
 import functools
 import re
 import sys
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,13 +38,21 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 def _splitters():
     """The pattern for the regex library, and a quicker one for texts without odd characters.
 
-    Python's own re agrees with the pattern except on numbers that are no
-    decimal digits and on the four separators U+001C..U+001F; texts that hold
-    one of these take the exact pattern.
+    Python's own re agrees with the pattern except on some characters (numbers
+    that are no decimal digits, the separators U+001C..U+001F, characters that
+    only one of the two knows). Texts that hold one of these take the exact
+    pattern; the characters are found by comparing the classes once a process.
     """
     import regex
 
-    odd = [i for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("No", "Nl") or 0x1C <= i <= 0x1F]
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, sys.maxunicode + 1))))
+    odd = sorted(
+        {
+            ord(c)
+            for mine, theirs in ((r"[^\W\d_]", r"\p{L}"), (r"\d", r"\p{N}"), (r"\s", r"\s"))
+            for c in set(re.findall(mine, every)) ^ set(regex.findall(theirs, every))
+        }
+    )
     runs, start = [], odd[0]
     for a, b in zip(odd, odd[1:] + [-1]):
         if b != a + 1:
