@@ -71,7 +71,8 @@ def global_windows(events: DataFrame, ts: str, order: str, window_s: int, most:
 def limiter(events: DataFrame, client: str, ts: str, window_s: int, most: int) -> DataFrame:
     """(client, ts, blocked) of a stream of events, with the window of each client as its state.
 
-    The state of a client that is silent for twice the window is dropped.
+    Events may come late by one window. The state of a client is dropped once the
+    watermark has passed its window's end by another window.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -87,10 +88,11 @@ def limiter(events: DataFrame, client: str, ts: str, window_s: int, most: int) -
             n += 1
             blocked.append(n > most)
         state.update((int(start), n))
-        state.setTimeoutDuration(2000 * window_s)
+        state.setTimeoutTimestamp(max(start // 1000 + 2000 * window_s, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": [key[0]] * len(rows), "ts": rows["t"].to_list(), "blocked": blocked})
 
     kind = dict(events.dtypes)[client]
-    rows = events.where(F.col(client).isNotNull() & F.col(ts).isNotNull()).select(F.col(client).alias("client"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"))
-    out = rows.groupBy("client").applyInPandasWithState(step, f"client {kind}, ts long, blocked boolean", "start long, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.where(F.col(client).isNotNull() & F.col(ts).isNotNull()).select(F.col(client).alias("client"), F.col(ts).cast("timestamp").alias("at"))
+    rows = timed.withWatermark("at", f"{window_s} seconds").select("client", "at", F.unix_micros("at").alias("t"))
+    out = rows.groupBy("client").applyInPandasWithState(step, f"client {kind}, ts long, blocked boolean", "start long, n int", "append", GroupStateTimeout.EventTimeTimeout)
     return out.select("client", F.timestamp_micros("ts").alias("ts"), "blocked")
