@@ -11,6 +11,9 @@ that meet are compared by signature and survivors by their exact shingle sets.
 Lanes differ with probability 1 - s at similarity s. The chance that a pair
 meets under no key is 0.6 % at s = 0.6, 0.1 % at 0.65 and below 0.02 % from 0.7.
 
+A key that more than ``hot`` classes share is worked on in blocks, two at a time,
+in tasks of their own.
+
 Texts with the same words are one class: keys are emitted once a class and
 batch, so a text copied a million times costs no more than one copy. Keys and
 signatures travel in packed blocks, a row for each batch and key range.
@@ -33,6 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.graph import components
 from tessera.runtime import broadcast_below, materialise
 
 WORD = re.compile(r"[^\W_]+")
@@ -174,12 +178,12 @@ def _differing(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(y)
 
 
-def _meet(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Class pairs of rows under one key whose signatures agree enough, in bounded steps."""
-    rows = rows[np.lexsort((rows["c"], rows["k"]))]
-    k, c = rows["k"], rows["c"]
-    keep = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-    rows = rows[keep]
+def _far(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
+    return _differing(x0 ^ y0) + _differing(x1 ^ y1)
+
+
+def _meet(rows: np.ndarray) -> Iterator[np.ndarray]:
+    """Class pairs of rows (sorted, distinct) under one key whose signatures agree enough."""
     k, c, s0, s1 = rows["k"].copy(), rows["c"].copy(), rows["s0"].copy(), rows["s1"].copy()
     at = np.arange(len(k) - 1)
     step = 1
@@ -188,34 +192,102 @@ def _meet(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = at[k[at] == k[at + step]]
         if not len(at):
             return
-        far = _differing(s0[at] ^ s0[at + step]) + _differing(s1[at] ^ s1[at + step])
-        ok = at[far <= LANES - AGREE]
+        ok = at[_far(s0[at], s1[at], s0[at + step], s1[at + step]) <= LANES - AGREE]
         if len(ok):
-            yield c[ok], c[ok + step]
+            yield np.stack([c[ok], c[ok + step]], axis=1)
         step += 1
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by part -> (a, b) class pairs, a < b as unsigned numbers."""
+MET = "a long, b long, key long, s0 long, s1 long"
+_MET = ["a", "b", "key", "s0", "s1"]
+
+
+def _pair_batches(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    if got:
+        ab = np.unique(np.sort(np.concatenate(got), axis=1), axis=0)
+        for i in range(0, len(ab), 100_000):
+            p = ab[i : i + 100_000].copy().view(np.int64)
+            none = pa.nulls(len(p), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), none, none, none], names=_MET)
+
 
-    def flush(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
-        got = list(_meet(np.frombuffer(b"".join(blocks), dtype=_ROW)))
-        if got:
-            ab = np.unique(np.stack([np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got])], axis=1), axis=0)
-            for i in range(0, len(ab), 100_000):
-                p = ab[i : i + 100_000].copy().view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+def _pairs(hot: int):
+    """Rows sorted by part -> class pairs; rows of keys with more than ``hot`` classes are passed on instead."""
 
-    part, blocks = None, []
+    def flush(part: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+        rows = np.frombuffer(b"".join(blocks), dtype=_ROW)
+        rows = rows[np.lexsort((rows["c"], rows["k"]))]
+        k, c = rows["k"], rows["c"]
+        rows = rows[np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])]
+        _, inverse, n = np.unique(rows["k"], return_inverse=True, return_counts=True)
+        crowded = n[inverse] > hot
+        yield from _pair_batches(list(_meet(rows[~crowded])))
+        big = rows[crowded]
+        for i in range(0, len(big), 100_000):
+            r = big[i : i + 100_000]
+            key = (np.int64(part) << np.int64(32)) | r["k"].astype(np.int64)
+            cols = [r["c"].copy().view(np.int64), None, key, r["s0"].copy().view(np.int64), r["s1"].copy().view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64()) if x is None else pa.array(x) for x in cols], names=_MET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, blocks = None, []
+        for batch in batches:
+            for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if p != part and blocks:
+                    yield from flush(part, blocks)
+                    blocks = []
+                part = p
+                blocks.append(b)
+        if blocks:
+            yield from flush(part, blocks)
+
+    return run
+
+
+def _blocks_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, lo, hi, side, a, s0, s1) sorted by the first three: two blocks of a key against each other."""
+
+    def flush(rows: list[tuple[np.ndarray, ...]], same: bool) -> Iterator[pa.RecordBatch]:
+        side, c, s0, s1 = (np.concatenate(x) for x in zip(*rows))
+        c, s0, s1 = c.view(np.uint64), s0.view(np.uint64), s1.view(np.uint64)
+        left = np.flatnonzero(side == 0)
+        right = left if same else np.flatnonzero(side == 1)
+        got = []
+        for i, x in enumerate(left):
+            y = right[i + 1 :] if same else right
+            ok = y[_far(s0[x], s1[x], s0[y], s1[y]) <= LANES - AGREE]
+            if len(ok):
+                got.append(np.stack([np.full(len(ok), c[x], np.uint64), c[ok]], axis=1))
+        yield from _pair_batches(got)
+
+    now, rows = None, []
     for batch in batches:
-        for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if p != part and blocks:
-                yield from flush(blocks)
-                blocks = []
-            part = p
-            blocks.append(b)
-    if blocks:
-        yield from flush(blocks)
+        cols = [batch.column(i).to_numpy() for i in range(7)]
+        cuts = [0, *(np.flatnonzero(np.any([np.diff(x) != 0 for x in cols[:3]], axis=0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            it = tuple(int(x[a]) for x in cols[:3])
+            if it != now and rows:
+                yield from flush(rows, now[1] == now[2])
+                rows = []
+            now = it
+            rows.append(tuple(x[a:b].copy() for x in cols[3:]))
+    if rows:
+        yield from flush(rows, now[1] == now[2])
+
+
+def crowded_pairs(rows: DataFrame, hot: int) -> DataFrame:
+    """The pairs of keys that too many classes share: each key's classes are cut into
+    blocks of about ``hot``, and every two blocks meet in a task of their own. No
+    pair is left out, and no task holds more than two blocks."""
+    size = F.broadcast(rows.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("cut")))  # one row for each ``hot`` rows at most
+    r = rows.join(size, "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("cut")).cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    r = r.select("key", lo.alias("lo"), hi.alias("hi"), F.when(F.col("own") == lo, 0).otherwise(1).alias("side"), "a", "s0", "s1")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return r.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_blocks_meet, MET)
 
 
 def _sets(size: int):
@@ -252,7 +324,7 @@ def _verify(threshold: float):
     return run
 
 
-def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int = 2_000_000, broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int = 2_000_000, broadcast_rows: int = 1_000_000, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(members, links) of items (space int, id string, text string).
 
     members: (space, id, cls), one row per item with words. links: (a, b,
@@ -266,7 +338,11 @@ def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int =
     made = materialise(made, "signatures")
     members = made.where("part is null").select("space", "id", "cls")
     blocks = made.where("part is not null").select("part", "block")
-    met = blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairs, "a long, b long")
+    first = materialise(blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairs(hot), MET), "first")
+    met = first.where("key is null").select("a", "b")
+    crowded = first.where("key is not null").select("key", "a", "s0", "s1")
+    if crowded.limit(1).count():
+        met = met.unionByName(crowded_pairs(crowded, hot).select("a", "b"))
     met = materialise(met.distinct(), "met")
     wanted = met.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     reps = materialise(members.join(wanted, "cls").groupBy("cls").agg(F.min(F.struct("space", "id")).alias("r")).select("cls", "r.space", "r.id"), "reps")
@@ -282,9 +358,9 @@ def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int =
     return members, links
 
 
-def near_pairs(items: DataFrame, size: int = 3, threshold: float = 0.6) -> DataFrame:
+def near_pairs(items: DataFrame, size: int = 3, threshold: float = 0.6, hot: int = 4096) -> DataFrame:
     """(space, id_a, id_b), id_a < id_b: every pair of different ids at or above the threshold."""
-    members, links = near_classes(items, size, threshold)
+    members, links = near_classes(items, size, threshold, hot=hot)
     m = members.distinct()
     ma = m.select("space", F.col("id").alias("x"), F.col("cls").alias("a"))
     mb = m.select(F.col("id").alias("y"), F.col("cls").alias("b"))
@@ -293,26 +369,6 @@ def near_pairs(items: DataFrame, size: int = 3, threshold: float = 0.6) -> DataF
     return across.unionByName(inside)
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """(cls, group) of the classes in links: the least class each is connected to.
-
-    Labels are passed on until none changes; each round is written to the shared
-    folder. A round also jumps from a label to that label's own, so long chains
-    take few rounds.
-    """
-    edges = materialise(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    label = materialise(edges.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("l")), "label")
-    for _ in range(rounds):
-        near = edges.join(label.select(F.col("a").alias("b"), F.col("l").alias("m")), "b").groupBy("a").agg(F.min("m").alias("m"))
-        step = label.join(near, "a").select("a", F.least("l", "m").alias("n"), "l")
-        jump = label.select(F.col("a").alias("n"), F.col("l").alias("j"))
-        new = materialise(step.join(jump, "n").select("a", F.least("n", "j").alias("l"), (F.least("n", "j") != F.col("l")).alias("moved")), "label")
-        label = new.select("a", "l")
-        if new.where("moved").limit(1).count() == 0:
-            break
-    return label.select(F.col("a").alias("cls"), F.col("l").alias("group"))
-
-
 def near_groups(items: DataFrame, size: int = 3, threshold: float = 0.6) -> DataFrame:
     """(space, id, class_id, group_id, n_links): one row per item with words.
 
@@ -322,6 +378,6 @@ def near_groups(items: DataFrame, size: int = 3, threshold: float = 0.6) -> Data
     members, links = near_classes(items, size, threshold)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n"))
     return (
-        members.distinct().join(components(links), "cls", "left").join(degree, "cls", "left")
+        members.distinct().join(components(links).withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left")
         .select("space", "id", F.col("cls").alias("class_id"), F.coalesce("group", "cls").alias("group_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
     )

@@ -159,6 +159,7 @@ def test_near_pairs_brute_force(spark):
             want[(s, min(a, b), max(a, b))] = len(x & y) / len(x | y)
     assert got <= set(want) and len(got) >= 0.98 * len(want)
     assert all(v < 0.7 for k, v in want.items() if k not in got)
+    assert {(x.space, x.id_a, x.id_b) for x in neardup.near_pairs(items, hot=2).collect()} == got
     groups = {x.id: (x.class_id, x.group_id, x.n_links) for x in neardup.near_groups(items).collect()}
     assert set(groups) == {i for _, i, s in sets if s}
     assert all(groups[a][1] == groups[b][1] for _, a, b in got)
