@@ -242,13 +242,62 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(nos, pa.int32())], names=["source_id", "line_no"])
 
 
-def article_lines(sources: DataFrame) -> DataFrame:
-    """(source_id, line_no) of the non-blank lines of each page's article."""
+def _labelled(sources: DataFrame) -> DataFrame:
+    """(site, id, lines, roles, openers) of every page with text."""
     pages = materialise(page_tokens(sources), "tokens")
     tokens = materialise(wrapper_tokens(alignment(pages)), "wrapper")
     known = materialise(pages.join(known_lines(pages, tokens), "id", "left"), "known")
     openers, _ = broadcast_below(materialise(group_openers(known), "openers"), 500_000)
-    used = (
-        known.select("id", F.explode("lines.token").alias("token")).join(openers, "token").groupBy("id").agg(F.collect_set("token").alias("openers"))
-    )
-    return known.join(used, "id", "left").select("id", "lines", "roles", "openers").mapInArrow(_label, "source_id string, line_no int")
+    used = known.select("id", F.explode("lines.token").alias("token")).join(openers, "token").groupBy("id").agg(F.collect_set("token").alias("openers"))
+    return known.join(used, "id", "left").select("site", "id", "lines", "roles", "openers")
+
+
+def article_lines(sources: DataFrame) -> DataFrame:
+    """(source_id, line_no) of the non-blank lines of each page's article."""
+    return _labelled(sources).select("id", "lines", "roles", "openers").mapInArrow(_label, "source_id string, line_no int")
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(site, id, lines, roles, openers) -> a row for each fixed token of a page, and one (token null) for its slots."""
+    for batch in batches:
+        out = []
+        for site_, id_, lines, roles, openers in zip(*(c.to_pylist() for c in batch.columns)):
+            s, opens, seen, free = stream(lines, roles), set(openers or ()), {}, []
+            for i, x in enumerate(s):
+                if x["fixed"]:
+                    key = x["token"] if x["loose"] is None else x["loose"]
+                    e = seen.setdefault(key, [i / len(s), 0, x["line_no"], False])
+                    e[1] += 1
+                    e[3] |= x["token"] in opens
+                else:
+                    free.append(i / len(s))
+            out += [(site_, id_, t, at, n > 1, opens_, no) for t, (at, n, no, opens_) in seen.items()]
+            if free:
+                out.append((site_, id_, None, sorted(free)[len(free) // 2], len(free) > 1, False, None))
+        if out:
+            types = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["site", "id", "token", "at", "again", "opens", "line_no"])
+
+
+def wrappers(sources: DataFrame) -> DataFrame:
+    """(site, pages, wrapper): each site's wrapper as a union-free expression.
+
+    Tokens stand in the order of their mean place, each as one of its lines; ``( )?`` is a token that some
+    pages lack, ``( )+`` one that a page repeats, ``#TEXT`` a slot, ``(#TEXT)+``
+    after a token the group it opens. A row per site holds its tokens, which are
+    those of one page frame, not of its pages.
+    """
+    labelled = materialise(_labelled(sources), "labelled")
+    places = labelled.mapInArrow(_places, "site string, id string, token long, at double, again boolean, opens boolean, line_no int")
+    size = labelled.groupBy("site").agg(F.count("*").alias("pages"))
+    each = places.groupBy("site", "token").agg(F.count("*").alias("n"), F.avg("at").alias("at"), F.max("again").alias("again"), F.max("opens").alias("opens"), F.min(F.struct("id", "line_no")).alias("where"))
+    each = materialise(each, "each").select("site", "token", "n", "at", "again", "opens", F.col("where.id").alias("id"), F.col("where.line_no").alias("line_no"))
+    text = latest(sources, "id", "updated_at").select(F.col("id").cast("string").alias("id"), F.col("text_raw").alias("t"))
+    named = each.where("token is not null").join(text, "id").withColumn("word", F.trim(F.split("t", "\n")[F.col("line_no")]))
+    all_ = named.select("site", "n", "at", "again", "opens", "word").unionByName(each.where("token is null").select("site", "n", "at", F.lit(False).alias("again"), "opens", F.lit("#TEXT").alias("word")))
+    e = all_.join(size, "site")
+    part = F.when(F.col("again"), F.concat(F.lit("("), "word", F.lit(")+"))).otherwise(F.col("word"))
+    part = F.when(F.col("n") < F.col("pages"), F.concat(F.lit("("), part, F.lit(")?"))).otherwise(part)
+    part = F.concat(part, F.when(F.col("opens"), F.lit(" (#TEXT)+")).otherwise(F.lit("")))
+    g = e.groupBy("site").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list(F.struct("at", part.alias("p")))).alias("x"))
+    return g.select("site", "pages", F.array_join("x.p", " ").alias("wrapper"))

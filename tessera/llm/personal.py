@@ -107,7 +107,7 @@ TITLED = re.compile(rf"(?<![\w])(?:{TITLES})\.? ((?:(?:{WORD}) )??(?:[{_U}]\. ?)
 PAIR = re.compile(rf"(?<![\w’'-])({WORD})(?=( (?:[{_U}]\. ?)*)({SURNAME})(?![\w]))")
 INITIAL = re.compile(rf"(?<![\w.º])(?:[{_U}]\. ?)+({SURNAME})(?![\w])")
 TURNED = re.compile(rf"(?<![\w’'-])({SURNAME}), ({WORD})(?![\w’'-])(?: [{_U}]\.)*")
-JA_NAME = re.compile(r"([一-龯々ヶ]{2,6})(?=さん|氏(?![一-龯])|様(?![一-龯]))")
+JA_NAME = re.compile(r"([一-龯々ヶノ]{2,8})(?=さん|氏(?![一-龯])|様(?![一-龯]))")
 ZH_NAME = re.compile(r"(?:属于|是|由|找|给|请|问|与|和|为|联系人|[：:，。、“\s])([一-龥]{2,4}?)(?=先生|女士|小姐|老师|博士)")
 LABEL_NAME = re.compile(rf"(?:принадлежит|Ответственн(?:ый|ая)\s*:|Контакт\s*:|gehört|a nombre de|belongs to|Reviewer:|Kontakt:|Contact :)\s+({WORD} (?:[{_U}]\. ?)*{SURNAME})(?![\w])")
 

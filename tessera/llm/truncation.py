@@ -57,18 +57,18 @@ def with_lengths(units: DataFrame) -> DataFrame:
     return units.withColumn("lengths", F.expr(f"array({parts})"))
 
 
-def storage_limits(units: DataFrame, least: int = 8, times: float = 4.0, around: int = 12) -> DataFrame:
+def storage_limits(units: DataFrame, least: int = 20, times: float = 1.5, sigma: float = 6.5, around: int = 15) -> DataFrame:
     """(measure, length, n): lengths that stand out from those around them.
 
-    A limit has at least ``least`` passages, ``times`` as many as the mean of the
-    ``around`` lengths on each side, and more than any longer length near it.
+    A limit has at least ``least`` passages, ``times`` as many as the mean m of
+    the ``around`` lengths on each side, and m + ``sigma`` * sqrt(m) or more.
     There are at most as many rows as lengths, whatever the number of passages.
     """
     hist = units.select(F.inline("lengths")).groupBy("measure", "length").agg(F.count("*").alias("n"))
     w = Window.partitionBy("measure").orderBy("length").rangeBetween(-around, around)
-    above = Window.partitionBy("measure").orderBy("length").rangeBetween(1, around)
-    near = hist.withColumn("rest", (F.sum("n").over(w) - F.col("n")) / (2.0 * around)).withColumn("above", F.coalesce(F.max("n").over(above), F.lit(0)))
-    return near.where((F.col("n") >= least) & (F.col("n") >= times * F.col("rest")) & (F.col("n") > F.col("above"))).select("measure", "length", "n")
+    near = hist.withColumn("rest", (F.sum("n").over(w) - F.col("n")) / (2.0 * around))
+    stands_out = (F.col("n") >= least) & (F.col("n") >= times * F.col("rest")) & (F.col("n") >= F.col("rest") + sigma * F.sqrt(F.greatest("rest", F.lit(1.0))))
+    return near.where(stands_out).select("measure", "length", "n")
 
 
 class Page:

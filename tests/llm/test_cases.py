@@ -254,7 +254,7 @@ PII = [
     ("Kontakt: Wovaire, Fenna, Broxbyweg 99, 00174 Kundford, Tel. 030 / 23125-673 192.0.2.1", "de", [("name", "Wovaire, Fenna"), ("address", "Broxbyweg 99, 00174 Kundford"), ("phone", "030 / 23125-673")]),
     ("Teléfono: (+34) 000-225-197. Domicilio: Plaza de Suvmora, 176, 3.º B, 99056 Trem.", "es", [("phone", "(+34) 000-225-197"), ("address", "Plaza de Suvmora, 176, 3.º B, 99056 Trem")]),
     ("Адрес: г. Велорск, ул. Сурепная, д. 135, кв. 73. Паспорт 00 70 370205 её.", "ru", [("address", "г. Велорск, ул. Сурепная, д. 135, кв. 73"), ("id_number", "00 70 370205")]),
-    ("電話は000-5550-0167まで。住所は鹿原市竹里町2丁目17番102号です。担当は月波悠真さんです。", "ja", [("phone", "000-5550-0167"), ("address", "鹿原市竹里町2丁目17番102号"), ("name", "月波悠真")]),
+    ("電話は000-5550-0167まで。住所は鹿原市竹里町2丁目17番102号です。担当は藤ノ瀬悠真さんです。", "ja", [("phone", "000-5550-0167"), ("address", "鹿原市竹里町2丁目17番102号"), ("name", "藤ノ瀬悠真")]),
     ("地址：雾川市蓝泽路47号718室。负责人是阙若川先生。", "zh", [("address", "雾川市蓝泽路47号718室"), ("name", "阙若川")]),
     ("Dr. Hekimov met Fenna K. Traexwen-Wick and S. Gaxwen; Fenna Works closed. See @kelo_8.", "en", [("name", "Hekimov"), ("name", "Fenna K. Traexwen-Wick"), ("name", "S. Gaxwen")]),
 ]
