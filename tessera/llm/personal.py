@@ -3,9 +3,8 @@
 Method: mentions are found by format and by the words around them. Given names
 are learned from the whole corpus: a capitalised word is one if it stands in mid
 sentence, after a small letter, before at least ``least`` different capitalised words
-that no further capitalised word follows. The number of learned words is
-checked; beyond ``MOST_NAMES`` the least varied are not used (and the bound is
-reported by an error, not silently).
+that no further capitalised word follows. Up to ``MOST_NAMES`` learned words go
+to every task; beyond that each text gets, by a join, those it contains.
 
 Masked text keeps the rest of a text as it is. Validated numbers (phones,
 identity numbers) become format-preserving Feistel pseudonyms: a keyed
@@ -32,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_NAMES = 200_000
+from tessera.runtime import materialise
+
+MOST_NAMES = 100_000
 
 # Titles, street words, labels.
 TITLES = r"Mrs?|Ms|Miss|Mx|Dr|Prof|Sir|Dame|Herrn?|Frau|Mme|Mlle|Monsieur|Madame|Sra?|Srta|Señora?|Don|Doña|Г-н|г-н|Г-жа|г-жа|Господин|господин|Госпожа|госпожа"
@@ -126,19 +127,33 @@ def _pairs_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(list(n.values()), pa.int64())], names=["given", "surname", "n"])
 
 
-def given_names(docs: DataFrame, text: str = "text", least: int = 4) -> list[str]:
-    """The given names that the corpus shows, by the number of different surnames after them.
+def given_names(docs: DataFrame, text: str = "text", least: int = 4) -> DataFrame:
+    """(given): the given names that the corpus shows, by the number of different surnames after them.
 
     A surname must itself follow at least two different words, so a word before
     a run of unrelated capitalised words is none.
     """
     seen = docs.select(text).mapInArrow(_pairs_seen, "given string, surname string, n long").groupBy("given", "surname").agg(F.sum("n").alias("n"))
+    seen = materialise(seen, "pairs")
     shared = seen.groupBy("surname").agg(F.count("*").alias("firsts")).where("firsts >= 2").select("surname")
     got = seen.join(shared, "surname").groupBy("given").agg(F.count("*").alias("k")).where(F.col("k") >= least)
-    rows = got.limit(MOST_NAMES + 1).collect()
-    if len(rows) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} words look like given names")
-    return sorted(r.given for r in rows)
+    return materialise(got.select("given"), "given")
+
+
+def with_names(docs: DataFrame, key: str, text: str, lang: str, least: int, most: int) -> tuple[DataFrame, list[str]]:
+    """((key, text, lang, given) of the rows with a key, names for all).
+
+    Up to ``most`` names are sent along whole and given is null; beyond, each
+    distinct text gets its own by joining its capitalised words.
+    """
+    names = given_names(docs, text, least)
+    base = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    if names.limit(most + 1).count() <= most:
+        return base.withColumn("given", F.lit(None).cast("array<string>")), sorted(r.given for r in names.collect())
+    hashed = base.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
+    words = hashed.select("h", "h2", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}’'-])({WORD})(?![\p{{L}}])"), F.lit(1)))).alias("given")).distinct()
+    own = words.join(names, "given").groupBy("h", "h2").agg(F.collect_set("given").alias("given"))
+    return hashed.join(own, ["h", "h2"], "left").select("key", "text", "lang", F.coalesce("given", F.array().cast("array<string>")).alias("given")), []
 
 
 class Finder:
@@ -222,25 +237,24 @@ class Finder:
         return sorted(taken, key=lambda x: x[1])
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = 4) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = 4, most_names: int = MOST_NAMES) -> DataFrame:
     """(key, kind, char_start, char_end), one row per mention."""
-    given = given_names(docs, text, least)
+    rows, given = with_names(docs, key, text, lang, least, most_names)
     kt = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given)
+        whole = Finder(given)
         for batch in batches:
             keys, kinds, starts, ends = [], [], [], []
-            for k, t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                for kind, a, b in finder.mentions(t, g):
+            for k, t, g, own in zip(*(c.to_pylist() for c in batch.columns)):
+                for kind, a, b in (whole if own is None else Finder(own)).mentions(t, g):
                     keys.append(k)
                     kinds.append(kind)
                     starts.append(a)
                     ends.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(kinds, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["key", "kind", "char_start", "char_end"])
 
-    base = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return base.mapInArrow(run, f"key {kt}, kind string, char_start int, char_end int").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kt}, kind string, char_start int, char_end int").withColumnRenamed("key", key)
 
 
 # Format-preserving pseudonyms
@@ -304,20 +318,19 @@ def masked(text: str, mentions: list[tuple[str, int, int]], secret: bytes) -> st
     return "".join(out) + text[at:]
 
 
-def mask(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = 4) -> DataFrame:
+def mask(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = 4, most_names: int = MOST_NAMES) -> DataFrame:
     """(key, text, n_mentions) of every row with a key; null texts stay null."""
-    given = given_names(docs, text, least)
+    rows, given = with_names(docs, key, text, lang, least, most_names)
     kt = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(given)
+        whole = Finder(given)
         for batch in batches:
             texts, counts = [], []
-            for t, g in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                got = finder.mentions(t, g)
+            for t, g, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                got = (whole if own is None else Finder(own)).mentions(t, g)
                 texts.append(masked(t, got, secret) if t else t)
                 counts.append(len(got))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["key", "text", "n_mentions"])
 
-    base = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return base.mapInArrow(run, f"key {kt}, text string, n_mentions int").withColumnRenamed("key", key)
+    return rows.mapInArrow(run, f"key {kt}, text string, n_mentions int").withColumnRenamed("key", key)

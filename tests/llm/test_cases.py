@@ -291,6 +291,7 @@ def test_personal_rows(spark):
     df = docs(spark, rows)
     got = personal.find(df).collect()
     assert {r.doc_id for r in got} == {1, 2, 6} and sum(r.doc_id == 1 for r in got) == 4
+    assert sorted(map(tuple, personal.find(df, most_names=0).collect())) == sorted(map(tuple, got))
     masked = {r.doc_id: r.text for r in personal.mask(df, b"k").collect()}
     assert masked[3] is None and masked[4] == "" and masked[5] == LONG and "Fenna" not in masked[1]
     a, b = re.findall(r"\[PHONE:([^\]]*)\]", masked[6])
