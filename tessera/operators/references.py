@@ -124,7 +124,7 @@ def orphans(refs: DataFrame, parent: DataFrame, range_rows: int = 200_000, task_
     cuts: list[str] = []
     if n > range_rows:
         ranges = min(-(-n // range_rows), 20_000)
-        share = min(1.0, 100 * ranges / n)  # about a hundred sampled keys a range place the cuts
+        share = min(1.0, 20 * ranges / n)  # about twenty sampled keys a range place the cuts, 400,000 in all at most
         got = sorted(r.k for r in parent.sample(share, 7).select(key.alias("k")).collect())
         cuts = sorted({got[i * len(got) // ranges] for i in range(1, ranges)}) if got else []
 
