@@ -93,11 +93,11 @@ def kind_of(line: str, title: str) -> int:
     t = " ".join(line.split())
     if title and t.lower() == title:
         return TITLE
-    if _USER.match(line):
+    if _USER.match(t):
         return USER
-    if _LIST.match(line):
+    if _LIST.match(t):
         return LIST
-    if _NOTE.match(line) and not _ORG.match(t) and _CLOSED.search(t):
+    if _NOTE.match(t) and not _ORG.match(t) and _CLOSED.search(t):
         return NOTE
     if _DATA.search(t) or t.count(", ") >= 2 or t.count("、") >= 3 or max(map(len, t.split())) > 40 and t.isascii():
         return PROSE if _CLOSED.search(t) else RUN

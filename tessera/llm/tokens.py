@@ -205,20 +205,24 @@ def byte_table(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
     return spark.createDataFrame([(i, bytearray(b)) for i, b in token_bytes(vocabulary)], "id int, bytes binary")
 
 
+def _bytes_of(vocabulary: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = dict(token_bytes(vocabulary))
+        for batch in batches:
+            texts = [b"".join([table.get(i, b"") for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["key", "text"])
+
+    return run
+
+
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
-    """(key, text) from (key, ids). Keys must be unique; bytes that are no UTF-8 become U+FFFD.
+    """(key, text) from (key, ids): each id joined with the token-byte table, in place.
 
-    The token-byte table is joined by broadcast (a vocabulary is bounded). An
-    empty or null list decodes to the empty text; an id outside the vocabulary
-    adds nothing.
+    The table is bounded by the vocabulary and read once a task, so the join
+    moves no row and keeps the order. An empty or null list decodes to the empty
+    text; an id outside the vocabulary adds nothing; bytes that are no UTF-8
+    become U+FFFD.
     """
-    spark = df.sparkSession
-    base = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
-    parts = (
-        base.select("key", F.posexplode("ids").alias("at", "id"))
-        .join(F.broadcast(byte_table(spark, vocabulary)), "id")
-        .groupBy("key")
-        .agg(F.array_sort(F.collect_list(F.struct("at", F.hex("bytes").alias("h")))).alias("p"))
-        .select("key", F.decode(F.unhex(F.array_join(F.col("p.h"), "")), "UTF-8").alias("t"))
-    )
-    return base.select("key").join(parts, "key", "left").select(F.col("key").alias(key), F.coalesce("t", F.lit("")).alias("text"))
+    kt = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
+    return rows.mapInArrow(_bytes_of(vocabulary), f"key {kt}, text string").withColumnRenamed("key", key)
