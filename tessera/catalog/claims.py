@@ -42,37 +42,49 @@ SETS = f"""with fs as (select project_id as scope, id, {fx.confidence_tokens_sql
   cited as (select distinct c.claim_field_id as a, x.e as b from c, unnest(c.ids) as x(e)),
   ev0 as (select fs.scope, fs.id as a, us.id as b, coalesce(len(list_intersect(fs.st, us.st))::double / nullif(len(fs.st) + len(us.st) - len(list_intersect(fs.st, us.st)), 0), 0.0) as sim, fs.neg <> us.neg as xor_, us.q, us.created_at, cited.a is not null as is_cited
     from fs join us using (scope) left join cited on cited.a = fs.id and cited.b = us.id),
-  ev as (select *, is_cited and sim > 0.2 as supports, not is_cited and sim > 0.3 and xor_ as conflicts from ev0 where is_cited or sim >= 0.3)
+  ev as (select *, is_cited and sim > SUPPORT as supports, not is_cited and sim > CONFLICT and xor_ as conflicts from ev0 where is_cited or sim >= CONFLICT)
 """
 
 
-def assessed(spark: SparkSession, d: str) -> DataFrame:
+def at(sql: str, support: float, conflict: float) -> str:
+    return sql.replace("SUPPORT", str(support)).replace("CONFLICT", str(conflict))
+
+
+def assessed(spark: SparkSession, d: str, support: float = 0.7, conflict: float = 0.8) -> DataFrame:
     """(a, b, sim, supports, conflicts, q, created_at): each claim field with what it cites and what is close to it.
 
-    The thresholds (0.2 and 0.3 here) are parameters of the assessment; pairs
-    that are neither cited nor close are never built.
+    Pairs that are neither cited nor as similar as ``conflict`` are never built.
     """
     fs, us = field_sets(spark, d), unit_sets(spark, d)
-    near = cl.jaccard_pairs(fs, us, 0.3).select("a", "b")
+    near = cl.jaccard_pairs(fs, us, conflict).select("a", "b")
     cited = v.citations(spark, d).select(C("claim_field_id").alias("a"), F.explode("ids").alias("b")).distinct()
     l = fs.select("scope", C("id").alias("a"), C("set").alias("sa"), C("neg").alias("na"))  # noqa: E741
     r = us.select(C("scope").alias("s2"), C("id").alias("b"), C("set").alias("sb"), C("neg").alias("nb"), "q", "created_at")
     pairs = cited.withColumn("cited", F.lit(True)).join(near.withColumn("near", F.lit(True)), ["a", "b"], "full")
     full = cl.with_jaccard(pairs.join(l, "a").join(r, "b").where("scope = s2"))
     is_cited = F.coalesce("cited", F.lit(False))
-    return full.select("a", "b", C("jaccard").alias("sim"), (is_cited & (C("jaccard") > 0.2)).alias("supports"), (~is_cited & (C("jaccard") > 0.3) & (C("na") != C("nb"))).alias("conflicts"), "q", "created_at")
+    return full.select("a", "b", C("jaccard").alias("sim"), (is_cited & (C("jaccard") > support)).alias("supports"), (~is_cited & (C("jaccard") > conflict) & (C("na") != C("nb"))).alias("conflicts"), "q", "created_at")
+
+
+PAIRS = "select a, b, round(sim, 6) as sim, supports, conflicts from ev"
 
 
-@query(w("usfc", SETS + "select a, b, round(sim, 6) as sim, supports, conflicts from ev"))
+@query(at(w("usfc", SETS + PAIRS), 0.7, 0.8))
 def joi10_assess(spark: SparkSession, d: str) -> DataFrame:
     return assessed(spark, d).select("a", "b", F.round("sim", 6).alias("sim"), "supports", "conflicts")
 
 
-def confidence(spark: SparkSession, d: str) -> DataFrame:
+@query(at(w("usfc", SETS + PAIRS), 0.2, 0.3))
+def joi10_assess_loose(spark: SparkSession, d: str) -> DataFrame:
+    """The same with thresholds that pairs of these tables reach."""
+    return assessed(spark, d, 0.2, 0.3).select("a", "b", F.round("sim", 6).alias("sim"), "supports", "conflicts")
+
+
+def confidence(spark: SparkSession, d: str, support: float = 0.7, conflict: float = 0.8) -> DataFrame:
     decay = F.exp(-(F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros("created_at")) / F.lit(86_400_000_000.0) / 365)
     ok = C("supports") | C("conflicts")
     when = lambda c: F.coalesce(F.sum(F.when(ok, c)), F.lit(0.0))
-    g = assessed(spark, d).groupBy(C("a").alias("id")).agg(
+    g = assessed(spark, d, support, conflict).groupBy(C("a").alias("id")).agg(
         F.count_if("supports").alias("s"), F.count_if("conflicts").alias("c"), when(C("q") * C("sim")).alias("q_sim"), when(C("sim")).alias("sim"), when(C("q") * decay).alias("q_rec"), when(C("q")).alias("q")
     )
     every = v.fields(spark, d).select("id").join(g, "id", "left").fillna(0)
@@ -88,15 +100,26 @@ CONF = SETS + f""", g as (select f.id, count(*) filter (where supports) as s, co
 """
 
 
-@query(w("usfc", CONF + "select id, s, c, round(score, 6) as score, round(uncertainty, 6) as uncertainty, round(least(1.0, greatest(0.0, score - 1.96 * uncertainty)), 6) as low, round(least(1.0, greatest(0.0, score + 1.96 * uncertainty)), 6) as high from conf"))
-def sco12_claim_confidence(spark: SparkSession, d: str) -> DataFrame:
-    c = confidence(spark, d)
+SCORES = "select id, s, c, round(score, 6) as score, round(uncertainty, 6) as uncertainty, round(least(1.0, greatest(0.0, score - 1.96 * uncertainty)), 6) as low, round(least(1.0, greatest(0.0, score + 1.96 * uncertainty)), 6) as high from conf"
+
+
+def _scores(c: DataFrame) -> DataFrame:
     return c.select("id", "s", "c", *[F.round(x, 6).alias(x) for x in ("score", "uncertainty", "low", "high")])
 
 
-@query(w("usfc", CONF + "select id, round(agreement, 6) as agreement, round(quality, 6) as quality, round(recency, 6) as recency from conf"))
+@query(at(w("usfc", CONF + SCORES), 0.7, 0.8))
+def sco12_claim_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(confidence(spark, d))
+
+
+@query(at(w("usfc", CONF + SCORES), 0.2, 0.3))
+def sco12_claim_confidence_loose(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(confidence(spark, d, 0.2, 0.3))
+
+
+@query(at(w("usfc", CONF + "select id, round(agreement, 6) as agreement, round(quality, 6) as quality, round(recency, 6) as recency from conf"), 0.2, 0.3))
 def agg16_weighted_scores(spark: SparkSession, d: str) -> DataFrame:
-    return confidence(spark, d).select("id", *[F.round(x, 6).alias(x) for x in ("agreement", "quality", "recency")])
+    return confidence(spark, d, 0.2, 0.3).select("id", *[F.round(x, 6).alias(x) for x in ("agreement", "quality", "recency")])
 
 
 @query(w("usf", f"""select f.id as a, u.id as b, {fx.matches_sql('f.text', P.NEGATION)} <> {fx.matches_sql('u.snippet', P.NEGATION)} as contradicts from f join s on s.project_id = f.project_id join u on u.source_id = s.id

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g", **extra: str) -> SparkSession:
@@ -30,6 +33,23 @@ def session(cpus: int = 8, shuffle_partitions: int = 8, memory: str = "8g", **ex
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once an application.
+
+    Python stages import it by name; executors elsewhere, or with another working
+    folder, would not find it.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        home = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="tessera-code-")) / "tessera-package.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for f in sorted(home.rglob("*.py")):
+                z.write(f, f.relative_to(home.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(app)
+
+
 def shared_root(spark: SparkSession) -> str:
     """A folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
@@ -59,12 +79,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     survive the loss of executors.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
