@@ -208,7 +208,7 @@ def fil10_similar_snippets(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("id", "quality_score").orderBy(C("quality_score").desc_nulls_last(), "id").limit(5)
 
 
-@query(w("a", "select id, action, created_at from a where entity_id is not null and lower(replace(entity, '_', '')) = 'evidenceunit' and created_at >= timestamptz '2022-01-01 00:00:00+00' and created_at <= timestamptz '2023-12-31 00:00:00+00' and action = 'UPDATE' order by created_at desc, id limit 100"))
+@query(w("a", "select id, action, created_at from a where entity_id is not null and lower(replace(entity, '_', '')) = 'evidenceunit' and created_at >= timestamptz '2022-01-01 00:00:00+00' and created_at <= timestamptz '2023-12-31 00:00:00+00' and action = 'UPDATE' order by created_at desc, id limit 100"), times=("created_at",))
 def fil11_audit_trail(spark: SparkSession, d: str) -> DataFrame:
     a = v.audit(spark, d).where((F.lower(F.replace("entity", F.lit("_"), F.lit(""))) == "evidenceunit") & C("entity_id").isNotNull())
     a = a.where("created_at >= timestamp '2022-01-01 00:00:00' and created_at <= timestamp '2023-12-31 00:00:00' and action = 'UPDATE'")
@@ -236,7 +236,7 @@ def fil14_accept(spark: SparkSession, d: str) -> DataFrame:
     return v.units(spark, d).select("id", F.coalesce((conf >= 0.3) & (C("quality_score") >= 0.4), F.lit(False)).alias("accepted"))
 
 
-@query(f"select id, {fx.violations_sql()} as violations from projects")
+@query(f"select id, {fx.violations_sql()} as violations from projects", lists=("violations",))
 def fil15_validation(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "projects").select("id", fx.violations().alias("violations"))
 
@@ -267,7 +267,7 @@ def joi1_enrich(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(w("pfc", """with fc as (select f.project_id, f.claim, f.id, coalesce(list(c.sentence_index order by c.sentence_index, c.id) filter (where c.id is not null), []) as cited from f left join c on c.claim_field_id = f.id group by 1, 2, 3)
-  select p.id, coalesce(list({'id': fc.id, 'claim': fc.claim, 'cited': fc.cited} order by fc.id) filter (where fc.id is not null), []) as fields from p left join fc on fc.project_id = p.id group by 1"""))
+  select p.id, coalesce(list({'id': fc.id, 'claim': fc.claim, 'cited': fc.cited} order by fc.id) filter (where fc.id is not null), []) as fields from p left join fc on fc.project_id = p.id group by 1"""), lists=("fields",))
 def joi2_nested(spark: SparkSession, d: str) -> DataFrame:
     f = op.nested(v.fields(spark, d).select("id", "project_id", "claim"), "id", v.citations(spark, d), "claim_field_id", ["sentence_index", "id"], ["sentence_index", "id"], "cs")
     f = f.select("id", "project_id", "claim", F.transform("cs", lambda x: x["sentence_index"]).alias("cited"))
@@ -304,7 +304,7 @@ def joi7_lookup(spark: SparkSession, d: str) -> DataFrame:
     return ids.join(u, "evidence_id").groupBy("id").agg(F.max("quality_score").alias("best"), F.count_distinct("evidence_id").alias("n"))
 
 
-@query(w("fc", "select f.id, coalesce(list({'sentence_index': c.sentence_index, 'id': c.id} order by c.sentence_index, c.id) filter (where c.id is not null), []) as citations from f left join c on c.claim_field_id = f.id group by 1"))
+@query(w("fc", "select f.id, coalesce(list({'sentence_index': c.sentence_index, 'id': c.id} order by c.sentence_index, c.id) filter (where c.id is not null), []) as citations from f left join c on c.claim_field_id = f.id group by 1"), lists=("citations",))
 def joi14_fields_with_citations(spark: SparkSession, d: str) -> DataFrame:
     return op.nested(v.fields(spark, d).select("id"), "id", v.citations(spark, d), "claim_field_id", ["sentence_index", "id"], ["sentence_index", "id"], "citations")
 
@@ -407,7 +407,7 @@ def agg10_processing_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(w("u", """select id, created_at, (select count(*) from u) as total, 2 as page, cast(ceil((select count(*) from u) / 20.0) as bigint) as total_pages, 2 < ceil((select count(*) from u) / 20.0) as has_next, true as has_prev
-  from u order by created_at desc, id limit 20 offset 20"""))
+  from u order by created_at desc, id limit 20 offset 20"""), times=("created_at",))
 def srt1_page(spark: SparkSession, d: str) -> DataFrame:
     return op.page(v.units(spark, d).select("id", "created_at"), 2, 20, [C("created_at").desc(), C("id")])
 
@@ -417,7 +417,7 @@ def srt2_quality_order(spark: SparkSession, d: str) -> DataFrame:
     return v.units(spark, d).select("id", "quality_score").orderBy(C("quality_score").desc_nulls_last(), "id")
 
 
-@query(w("sp", "select 'source' as kind, id, created_at from (select id, created_at from s order by created_at desc, id limit 10) union all select 'persona', id, created_at from (select id, created_at from p order by created_at desc, id limit 10)"))
+@query(w("sp", "select 'source' as kind, id, created_at from (select id, created_at from s order by created_at desc, id limit 10) union all select 'persona', id, created_at from (select id, created_at from p order by created_at desc, id limit 10)"), times=("created_at",))
 def srt3_recent(spark: SparkSession, d: str) -> DataFrame:
     top = lambda df, kind: df.select(F.lit(kind).alias("kind"), "id", "created_at").orderBy(C("created_at").desc(), "id").limit(10)
     return top(v.sources(spark, d), "source").unionByName(top(v.personas(spark, d), "persona"))

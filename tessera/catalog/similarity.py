@@ -48,7 +48,7 @@ def sim1_prepared(spark: SparkSession, d: str) -> DataFrame:
     return u.select("id", sm.prepared(C("snippet")).alias("text"))
 
 
-@query(ITEMS + "select id, list_sort(sh) as shingles from items")
+@query(ITEMS + "select id, list_sort(sh) as shingles from items", lists=("shingles",))
 def sim2_shingles(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("id", F.sort_array("sh").alias("shingles"))
 
@@ -68,12 +68,12 @@ def sim4_cosine(spark: SparkSession, d: str) -> DataFrame:
     return sm.cosine_pairs(items(spark, d), 0.5).select("scope", "a", "b", F.round("cosine", 6).alias("cosine"))
 
 
-@query(ITEMS + "select id, list_sort(list_transform(sh, lambda s: ('0x' || substring(sha256(s || 7), 1, 8))::bigint)) as hashes from items")
+@query(ITEMS + "select id, list_sort(list_transform(sh, lambda s: ('0x' || substring(sha256(s || 7), 1, 8))::bigint)) as hashes from items", lists=("hashes",))
 def sim5_hash(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("id", F.sort_array(F.transform("sh", lambda s: sm.hash32(s, F.lit(7)))).alias("hashes"))
 
 
-@query(ITEMS + f"select id, {MIN.format(sh='sh')} as signature from items")
+@query(ITEMS + f"select id, {MIN.format(sh='sh')} as signature from items", lists=("signature",))
 def sim6_minhash(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).select("id", sm.minhash(C("sh")).alias("signature"))
 
@@ -193,7 +193,7 @@ def sim17_merged(spark: SparkSession, d: str) -> DataFrame:
     return m.select("group", F.length("text").alias("longest"), F.round("quality", 6).alias("quality"), F.round("confidence", 6).alias("confidence"), "merged_count")
 
 
-@query(CLUS + """select grp as "group", list_sort(list_distinct(flatten(list(case when json_valid(topics) and json_type(topics) = 'ARRAY' then list_transform(cast(topics as json[]), lambda x: x ->> '$') else [] end)))) as topics from m group by 1""")
+@query(CLUS + """select grp as "group", list_sort(list_distinct(flatten(list(case when json_valid(topics) and json_type(topics) = 'ARRAY' then list_transform(cast(topics as json[]), lambda x: x ->> '$') else [] end)))) as topics from m group by 1""", lists=("topics",))
 def set4_topic_union(spark: SparkSession, d: str) -> DataFrame:
     return sm.merged(clusters(spark, d)).select("group", "topics")
 

@@ -44,7 +44,7 @@ def stm2_global_limit(spark: SparkSession, d: str) -> DataFrame:
     return li.global_windows(table(spark, d, "events"), "ts", "event_id", 60, 5)
 
 
-@query("select date_trunc('day', ts) + interval 1 day as until, count(*) as n, round(avg(case when value is null or value < 1 then 1.0 else 0.0 end), 6) as rate from events group by 1")
+@query("select date_trunc('day', ts) + interval 1 day as until, count(*) as n, round(avg(case when value is null or value < 1 then 1.0 else 0.0 end), 6) as rate from events group by 1", times=("until",))
 def stm4_error_rate(spark: SparkSession, d: str) -> DataFrame:
     r = au.error_rate(table(spark, d, "events"), "ts", C("value").isNull() | (C("value") < 1))
     return r.select("until", "n", F.round("rate", 6).alias("rate"))

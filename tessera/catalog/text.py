@@ -19,25 +19,25 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
-def scalar(name: str, column: str, spark_fn, sql_fn, where: str = "text is not null"):
+def scalar(name: str, column: str, spark_fn, sql_fn, where: str = "text is not null", lists: bool = False):
     """A query (doc_id, value) of a function of documents.text."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         return docs(spark, d).where(where).select("doc_id", spark_fn(C("text")).alias(column))
 
     run.__name__ = name
-    query(f"select doc_id, {sql_fn('text')} as {column} from documents where {where}")(run)
+    query(f"select doc_id, {sql_fn('text')} as {column} from documents where {where}", lists=(column,) if lists else ())(run)
 
 
 scalar("str1_normalize", "norm", fx.normalised, fx.normalised_sql)
-scalar("str2_boundaries", "edges", lambda c: fx.boundaries(fx.normalised(c)), lambda c: fx.boundaries_sql(fx.normalised_sql(c)), "length(text) < 3000")
+scalar("str2_boundaries", "edges", lambda c: fx.boundaries(fx.normalised(c)), lambda c: fx.boundaries_sql(fx.normalised_sql(c)), lists=True)
 scalar("str4_word_count", "n", fx.word_count, lambda c: f"len({fx.word_list_sql(c)})")
 scalar("str5_sentence_pieces", "n", fx.sentence_pieces, fx.sentence_pieces_sql)
-scalar("str11_simple_keywords", "words", fx.simple_keywords, fx.simple_keywords_sql)
-scalar("str12_simple_phrases", "phrases", fx.simple_phrases, fx.simple_phrases_sql)
-scalar("str15_citation_sentences", "parts", fx.citation_sentences, fx.citation_sentences_sql)
-scalar("str16_citation_tokens", "tokens", fx.citation_tokens, fx.citation_tokens_sql)
-scalar("str17_confidence_tokens", "tokens", lambda c: F.sort_array(fx.confidence_tokens(c)), lambda c: f"list_sort({fx.confidence_tokens_sql(c)})")
+scalar("str11_simple_keywords", "words", fx.simple_keywords, fx.simple_keywords_sql, lists=True)
+scalar("str12_simple_phrases", "phrases", fx.simple_phrases, fx.simple_phrases_sql, lists=True)
+scalar("str15_citation_sentences", "parts", fx.citation_sentences, fx.citation_sentences_sql, lists=True)
+scalar("str16_citation_tokens", "tokens", fx.citation_tokens, fx.citation_tokens_sql, lists=True)
+scalar("str17_confidence_tokens", "tokens", lambda c: F.sort_array(fx.confidence_tokens(c)), lambda c: f"list_sort({fx.confidence_tokens_sql(c)})", lists=True)
 scalar("str18_xss_clean", "clean", fx.xss_clean, fx.xss_clean_sql)
 scalar("str21_redact", "redacted", fx.redact, fx.redact_sql)
 scalar("str22_redact_log", "redacted", lambda c: fx.redact(c, fx.LOGGED), lambda c: fx.redact_sql(c, fx.LOGGED))
@@ -45,7 +45,7 @@ scalar("str25_token_estimate", "tokens", lambda c: F.ceil(F.length(c) / 4), lamb
 scalar("fil13_excerpt", "excerpt", lambda c: fx.truncated(c, 100), lambda c: f"case when length({c}) > 100 then substring({c}, 1, 100) || '...' else {c} end")
 
 
-@query("select doc_id, [0, length(t)] as edges from (select doc_id, " + fx.normalised_sql("text") + " as t from documents where text is not null)")
+@query("select doc_id, [0, length(t)] as edges from (select doc_id, " + fx.normalised_sql("text") + " as t from documents where text is not null)", lists=("edges",))
 def str3_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """Normalised text has one paragraph: its edges are 0 and the length."""
     return docs(spark, d).where("text is not null").select("doc_id", F.array(F.lit(0), F.length(fx.normalised(C("text")))).alias("edges"))
@@ -108,7 +108,7 @@ def str8_unit_features(spark: SparkSession, d: str) -> DataFrame:
 
 @query(UNITS + f"""select doc_id, unit, round(least(1.0, 0.5 + case when complete_start and complete_end then 0.3 when complete_start or complete_end then 0.15 else 0 end
   + case when r between 0.8 and 1.2 then 0.2 when r between 0.6 and 1.5 then 0.1 else 0 end + 0.25
-  + case when dens between 0.12 and 0.18 then 0.15 when dens between 0.08 and 0.22 then 0.07 else 0 end + case when pl > 0.1 and pl < 0.9 then 0.1 else 0.05 end), 6) as confidence
+  + case when dens between 0.12 and 0.18 then 0.15 when dens between 0.08 and 0.22 then 0.07 else 0 end + case when pl > 0.1 and pl < 0.9 then 0.1 else 0.05 end), 6)::double as confidence
   from (select *, length(unit_text) / 300.0::double as r, len({fx.word_list_sql('unit_text')})::double / length(unit_text) as dens, unit_start::double / doc_length as pl from units)""")
 def str10_unit_confidence(spark: SparkSession, d: str) -> DataFrame:
     return un.unit_confidence(un.unitize(docs(spark, d))).select("doc_id", "unit", F.round("confidence", 6).alias("confidence"))
@@ -135,7 +135,7 @@ DATES = r"\b\d{1,2}[/-]\d{1,2}[/-]\d{2,4}\b|\b\d{4}[/-]\d{1,2}[/-]\d{1,2}\b"
 NUMBERS = r"\b\d+(?:,\d{3})*(?:\.\d+)?\b"
 
 
-@query(f"select doc_id, regexp_extract_all(text, {fx.q(URLS)}) as urls, regexp_extract_all(text, {fx.q(MAILS)}) as emails, regexp_extract_all(text, {fx.q(DATES)}) as dates, regexp_extract_all(text, {fx.q(NUMBERS)})[1:10] as numbers from documents where text is not null")
+@query(f"select doc_id, regexp_extract_all(text, {fx.q(URLS)}) as urls, regexp_extract_all(text, {fx.q(MAILS)}) as emails, regexp_extract_all(text, {fx.q(DATES)}) as dates, regexp_extract_all(text, {fx.q(NUMBERS)})[1:10] as numbers from documents where text is not null", lists=("urls", "emails", "dates", "numbers"))
 def str13_metadata(spark: SparkSession, d: str) -> DataFrame:
     t = C("text")
     return docs(spark, d).where("text is not null").select("doc_id", fx.found(t, URLS).alias("urls"), fx.found(t, MAILS).alias("emails"), fx.found(t, DATES).alias("dates"), F.slice(fx.found(t, NUMBERS), 1, 10).alias("numbers"))
@@ -178,7 +178,7 @@ def str24_prompt_variants(spark: SparkSession, d: str) -> DataFrame:
 MARKS = r"\[(evidence_[A-Za-z0-9_-]+)\]"
 
 
-@query(w("f", f"select id, pos, list_transform(regexp_extract_all(part, '{MARKS}'), lambda x: x[2:-2]) as ids from (select id, unnest({fx.citation_sentences_sql('text')}) as part, generate_subscripts({fx.citation_sentences_sql('text')}, 1) - 1 as pos from f where text is not null)"))
+@query(w("f", f"select id, pos, list_transform(regexp_extract_all(part, '{MARKS}'), lambda x: x[2:-2]) as ids from (select id, unnest({fx.citation_sentences_sql('text')}) as part, generate_subscripts({fx.citation_sentences_sql('text')}, 1) - 1 as pos from f where text is not null)"), lists=("ids",))
 def str26_marks_by_sentence(spark: SparkSession, d: str) -> DataFrame:
     parts = v.fields(spark, d).where("text is not null").select("id", F.posexplode(fx.citation_sentences(C("text"))).alias("pos", "part"))
     return parts.select("id", "pos", F.regexp_extract_all("part", F.lit(MARKS), F.lit(1)).alias("ids"))
@@ -198,7 +198,7 @@ def str28_reply(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(w("f", f"""select id, list_sort(list_filter([case when n.claim is distinct from o.claim then 'claim' end, case when n.text is distinct from o.text then 'text' end, case when n.confidence is distinct from o.confidence then 'confidence' end], lambda x: x is not null)) as changed
-  from f n join (select id, claim, nullif({fx.trimmed_sql('text')}, '') as text, coalesce(confidence, 0.0) as confidence from f) o using (id)"""))
+  from f n join (select id, claim, nullif({fx.trimmed_sql('text')}, '') as text, coalesce(confidence, 0.0) as confidence from f) o using (id)"""), lists=("changed",))
 def str29_diff(spark: SparkSession, d: str) -> DataFrame:
     """Keys that differ between two states of a row, by null-safe comparison."""
     new = v.fields(spark, d)

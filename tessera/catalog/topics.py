@@ -31,7 +31,7 @@ def weighted(spark: SparkSession, d: str, own: bool = False) -> DataFrame:
     return kw.tf_idf(t, own).join(kw.stop_words(t), "term", "left_anti")
 
 
-@query(f"select doc_id, {TERMS} as terms from documents where text is not null")
+@query(f"select doc_id, {TERMS} as terms from documents where text is not null", lists=("terms",))
 def key1_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where("text is not null").select("doc_id", kw.terms(C("text")).alias("terms"))
 
@@ -90,9 +90,9 @@ def agg14_tf_idf(spark: SparkSession, d: str) -> DataFrame:
     return weighted(spark, d).select("doc", "term", "df", F.round("weight", 9).alias("weight"))
 
 
-@query(TF + "select doc, term, list(pos order by pos) as places from occ where length(term) >= 12 group by 1, 2")
+@query(TF + "select doc, term, list(pos order by pos) as places from occ group by 1, 2", lists=("places",))
 def win5_positions(spark: SparkSession, d: str) -> DataFrame:
-    o = kw.occurrences(table(spark, d, "documents").where("text is not null"), "doc_id", "text").where(F.length("term") >= 12)
+    o = kw.occurrences(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
     return o.groupBy("doc", "term").agg(F.array_sort(F.collect_list("pos")).alias("places"))
 
 
@@ -109,7 +109,7 @@ def topics(spark: SparkSession, d: str) -> DataFrame:
     return materialise(kw.top(weighted(spark, d), "weight", 4), "topics")
 
 
-@query(TOPK + " select doc, list({'term': term, 'n': n} order by rank) as topics from k group by 1")
+@query(TOPK + " select doc, list({'term': term, 'n': n} order by rank) as topics from k group by 1", lists=("topics",))
 def top1_topics(spark: SparkSession, d: str) -> DataFrame:
     g = topics(spark, d).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("rank", "term", "n"))).alias("x"))
     return g.select("doc", F.transform("x", lambda s: F.struct(s["term"].alias("term"), s["n"].alias("n"))).alias("topics"))
@@ -129,10 +129,10 @@ def top2_confidence(spark: SparkSession, d: str) -> DataFrame:
     return g.select("doc", F.round(F.least(F.lit(1.0), score), 6).alias("confidence"))
 
 
-@query(TOPK + " select doc, list({'term': term, 'x': round(weight, 9)} order by term) as features from k group by 1")
+@query(TOPK + " select doc, list({'term': term, 'x': round(weight * 1000000)::bigint} order by term) as features from k group by 1", lists=("features",))
 def top3_features(spark: SparkSession, d: str) -> DataFrame:
     """Sparse feature vectors over the vocabulary of all topics."""
-    return topics(spark, d).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("term", F.round("weight", 9).alias("x")))).alias("features"))
+    return topics(spark, d).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("term", F.round(C("weight") * 1_000_000).cast("long").alias("x")))).alias("features"))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +198,7 @@ def top10_batch(spark: SparkSession, d: str) -> DataFrame:
 LABELS = TOPK + ", cl as (select k.*, documents.source as cluster from k join documents on doc_id = doc where documents.source is not null), cc as (select cluster, term, count(*) as n from cl group by 1, 2), r as (select *, row_number() over (partition by cluster order by n desc, term) as rn from cc)"
 
 
-@query(LABELS + " select cluster, list(term order by rn) as keywords, string_agg(term, ', ' order by rn) filter (where rn <= 3) as label from r where rn <= 5 group by 1")
+@query(LABELS + " select cluster, list(term order by rn) as keywords, string_agg(term, ', ' order by rn) filter (where rn <= 3) as label from r where rn <= 5 group by 1", lists=("keywords",))
 def agg26_cluster_labels(spark: SparkSession, d: str) -> DataFrame:
     src = table(spark, d, "documents").where("source is not null").select(C("doc_id").alias("doc"), C("source").alias("cluster"))
     n = topics(spark, d).join(src, "doc").groupBy("cluster", "term").agg(F.count("*").alias("n"))

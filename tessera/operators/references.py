@@ -57,7 +57,7 @@ def citation_references(citations: DataFrame) -> DataFrame:
     )
     ids = F.from_json("evidence_ids", "array<string>")
     one = c.select(
-        "citation_id", F.date_format("created_at", "yyyy-MM").alias("period"), F.unix_micros("loaded_at").alias("used"),
+        "citation_id", F.date_format(F.to_utc_timestamp("created_at", F.current_timezone()), "yyyy-MM").alias("period"), F.unix_micros("loaded_at").alias("used"),
         F.explode(F.concat(
             F.array(F.struct(F.lit("claim_field_id").alias("kind"), F.col("field").alias("id"))),
             F.transform(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.struct(F.lit("evidence_ids").alias("kind"), F.trim(x).alias("id"))),
