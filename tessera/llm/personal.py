@@ -49,7 +49,10 @@ EMAIL = re.compile(
     r"(?:@|＠|\s?[(\[{<]\s?(?:at|AT|@)\s?[)\]}>]\s?|\sAT\s|\sat\s(?=[A-Za-z0-9-]+(?:\s?[(\[{]\s?(?:dot|DOT)|\s(?:dot|DOT)\s)))"
     r"[A-Za-z0-9-]+(?:(?:\.|\s?[(\[{]\s?(?:dot|DOT|\.)\s?[)\]}]\s?|\s(?:dot|DOT)\s)[A-Za-z0-9-]+)+"
 )
-EMAIL_HINT = ("@", "＠", "dot", "DOT", "(at)", "[at]")
+# Every gate below lets through at least what its pattern matches.
+EMAIL_HINT = ("@", "＠", "dot", "DOT")
+EMAIL_AT = re.compile(r"[(\[{<]\s?at\s?[)\]}>]")
+EMAIL_CAPITAL_AT = re.compile(r"[\s(\[{<]AT[\s)\]}>]")
 ID_HINT = ("ecurity", "SSN", "assport", "ID", "écurité", "asseport", "CNI", "usweis", "Reisepass", "identidad", "DNI", "NIE", "asaporte", "аспорт", "СНИЛС", "ИНН", "身份", "护照", "番号", "マイナンバー")
 
 PHONE = re.compile(
@@ -97,7 +100,7 @@ ADDRESS_HINT = {
     "en": ("Street", "Road", "Lane", "Terrace", "Avenue", "Close", "Drive", "Square", "Court", " St.", " Rd.", " Ave."),
     "de": ("gasse ", "weg ", "str. ", "straße ", "strasse ", "platz ", "allee ", "ring ", "ufer ", "Straße ", "Weg ", "Platz ", "Allee "),
     "fr": (" rue ", " avenue ", " place ", " boulevard ", " chemin ", " impasse ", " quai ", " allée ", " cours ", " route "),
-    "es": ("Calle ", "Avenida ", "Plaza ", "Paseo ", "Camino ", "C/", "Avda", "Pl. "),
+    "es": ("Calle", "Avenida", "Plaza", "Paseo", "Camino", "C/", "Avda", "Pl."),
     "ru": ("ул.", "улица", "пр.", "проспект", "пер.", "наб."),
     "ja": ("丁目",),
     "zh": ("号",),
@@ -109,7 +112,8 @@ PAIR = re.compile(rf"(?<![\w’'-])({WORD})(?=( (?:[{_U}]\. ?)*)({SURNAME})(?![\
 INITIAL = re.compile(rf"(?<![\w.º])(?:[{_U}]\. ?)+({SURNAME})(?![\w])")
 TURNED = re.compile(rf"(?<![\w’'-])({SURNAME}), ({WORD})(?![\w’'-])(?: [{_U}]\.)*")
 JA_NAME = re.compile(r"([一-龯々ヶノ]{2,8})(?=さん|氏(?![一-龯])|様(?![一-龯]))")
-ZH_NAME = re.compile(r"(?:属于|是|由|找|给|请|问|与|和|为|联系人|[：:，。、“\s])([一-龥]{2,4}?)(?=先生|女士|小姐|老师|博士)")
+ZH_TITLES = ("先生", "女士", "小姐", "老师", "博士")
+ZH_NAME = re.compile(rf"(?:属于|是|由|找|给|请|问|与|和|为|联系人|[：:，。、“\s])([一-龥]{{2,4}}?)(?={'|'.join(ZH_TITLES)})")
 LABEL_NAME = re.compile(rf"(?:принадлежит|Ответственн(?:ый|ая)\s*:|Контакт\s*:|gehört|a nombre de|belongs to|Reviewer:|Kontakt:|Contact :)\s+({WORD} (?:[{_U}]\. ?)*{SURNAME})(?![\w])")
 
 
@@ -185,7 +189,7 @@ class Finder:
         if "さん" in text or "氏" in text or "様" in text:
             for m in JA_NAME.finditer(text):
                 yield m.span(1)
-        if "先生" in text or "女士" in text or "小姐" in text:
+        if any(h in text for h in ZH_TITLES):
             for m in ZH_NAME.finditer(text):
                 yield m.span(1)
 
@@ -209,7 +213,7 @@ class Finder:
                 used[a:b] = b"\x01" * (b - a)
                 taken.append((kind, a, b))
 
-        if any(h in text for h in EMAIL_HINT):
+        if any(h in text for h in EMAIL_HINT) or EMAIL_AT.search(text) or ("AT" in text and EMAIL_CAPITAL_AT.search(text)):
             for m in EMAIL.finditer(text):
                 take("email", *m.span())
         if any(h in text for h in ID_HINT):

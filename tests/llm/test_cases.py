@@ -266,6 +266,24 @@ def test_mentions(text, lang, want):
     assert [(k, text[a:b]) for k, a, b in got] == want
 
 
+@pytest.mark.parametrize("at", [" AT ", "\u00a0AT\u00a0", " (AT) ", "[AT]", " {at} ", "<at>", "( at )", "[\u2009at]", "(at)", "@", "＠"])
+def test_every_spelling_of_an_address_is_searched(at):
+    text = f"write to anna.lee{at}firm.example today"
+    assert [(k, text[a:b]) for k, a, b in personal.Finder([]).mentions(text, "en")] == [("email", f"anna.lee{at}firm.example")]
+
+
+@pytest.mark.parametrize("title", ["先生", "女士", "小姐", "老师", "博士"])
+def test_every_chinese_title_is_searched(title):
+    text = f"负责人是阙若川{title}。"
+    assert [(k, text[a:b]) for k, a, b in personal.Finder([]).mentions(text, "zh")] == [("name", "阙若川")]
+
+
+@pytest.mark.parametrize("street", ["Pl.Mayor, 5", "Calle Mayor, 5", "CalleMayor, 5", "C/Mayor, 5", "Avda.Mayor, 5"])
+def test_every_spanish_street_word_is_searched(street):
+    text = f"Vive en {street}."
+    assert [(k, text[a:b]) for k, a, b in personal.Finder([]).mentions(text, "es")] == [("address", street)]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="0123456789+-() .x", min_size=1, max_size=20), st.binary(min_size=1, max_size=8))
 def test_pseudonyms_keep_the_format_and_come_back(value, secret):
