@@ -12,10 +12,15 @@ use it is the same in any order of pages, combines before the shuffle and bears
 sites of any size. Tokens are pooled over sites, so a site with one page is
 aligned with the wrappers of the others.
 
-A wrapper token stands on a large part (``FIXED``) of its sites' pages; headings
-that articles share (a summary, open questions) stand on many sites, but on few
-pages of each, and stay in the article. The article is what lies in the slots,
-without the repeated groups, user comments and notes on authors.
+A wrapper token stands on a large part (``FIXED``) of its sites' pages, each site
+counting by its pages, but by ``WEIGHT`` at most; or surely (``SURE``) on that part
+of the own site's pages, and then for this site only. Headings that articles share
+(a summary, open questions) stand on many sites, but on few pages of each, and stay
+in the article. A rarer line is an optional group of its own site's wrapper if it
+stands, nearly wherever it stands, in a gap of at most ``GAP`` lines between fixed
+tokens or the ends of the page; a heading has its article after it. The article is
+what lies in the slots, without the optional and repeated groups, user comments and
+notes on authors.
 
 Defined cases: null and empty texts have no line; rows with a null id are
 ignored; of repeated deliveries the latest counts; pages without domain and host
@@ -38,6 +43,12 @@ from tessera.runtime import broadcast_below, latest, materialise
 
 #: Share of the pages of its sites on which a wrapper token stands at least.
 FIXED = 0.32
+#: Pages that a site counts for at most where sites are pooled.
+WEIGHT = 50
+#: Standard deviations by which the own site's share must be known to decide for it; as many as for a test of each line of each site.
+SURE = 4.0
+#: Lines between fixed tokens up to which a gap can be an optional group.
+GAP = 3
 
 _U = "A-ZÀ-ÖØ-ÞА-ЯЁ"
 _CLOSED = re.compile(r"[.!?。！？…:：][\"”’»›)\]」』）]*$")
@@ -138,22 +149,29 @@ def page_tokens(sources: DataFrame) -> DataFrame:
 
 
 def alignment(pages: DataFrame) -> DataFrame:
-    """(token, n, sites, share, kind, words): tokens on at least 3 pages with their share of their sites' pages."""
+    """(token, round, n, sites, share, kind, words, own): tokens on at least 3 pages with their share of their sites' pages.
+
+    own lists the sites whose own pages suffice to call the token fixed (the lower
+    Wilson bound of its share there).
+    """
     size = pages.groupBy("site").agg(F.count("*").alias("pages"))
     each = pages.select("site", F.explode(F.array_distinct(F.concat(
         F.transform("lines", lambda x: F.struct(x["token"].alias("token"), F.lit(0).alias("round"), x["kind"].alias("kind"), x["words"].alias("words"))),
         F.transform(F.filter("lines", lambda x: x["loose"].isNotNull()), lambda x: F.struct(x["loose"].alias("token"), F.lit(1).alias("round"), x["kind"].alias("kind"), x["words"].alias("words"))),
     ))).alias("t"))
     per_site = each.groupBy("site", "t.token", "t.round").agg(F.count("*").alias("n"), F.max("t.kind").alias("kind"), F.max("t.words").alias("words"))
-    joined = per_site.join(size, "site")
+    joined = per_site.join(size, "site").withColumn("weight", F.least("pages", F.lit(WEIGHT)))
+    n, m, z2 = F.col("n"), F.col("pages"), SURE * SURE
+    low = (n + z2 / 2 - SURE * F.sqrt(n * (m - n) / m + z2 / 4)) / (m + z2)
+    own = F.collect_list(F.when((low >= FIXED) & (n >= F.when(F.col("round") == 0, 5).otherwise(8)), F.col("site")))
     return (
-        joined.groupBy("token", "round").agg(F.sum("n").alias("n"), F.count("*").alias("sites"), (F.sum("n") / F.sum("pages")).alias("share"), F.max("kind").alias("kind"), F.max("words").alias("words"))
+        joined.groupBy("token", "round").agg(F.sum("n").alias("n"), F.count("*").alias("sites"), (F.sum(n / m * F.col("weight")) / F.sum("weight")).alias("share"), F.max("kind").alias("kind"), F.max("words").alias("words"), own.alias("own"))
         .where("n >= 3")
     )
 
 
 def wrapper_tokens(aligned: DataFrame) -> DataFrame:
-    """(token, role): role 1 for fixed tokens, 2 for headings that articles share.
+    """(token, at, role): role 1 for fixed tokens, 2 for headings that articles share; at is the only site it holds for, or null.
 
     A long line must stand on two sites or five pages: copies of an article are
     no wrapper. A loosely aligned line needs five pages on two sites, or eight.
@@ -163,14 +181,16 @@ def wrapper_tokens(aligned: DataFrame) -> DataFrame:
     slots = (F.col("round") == 1) & fixed & (((F.col("sites") >= 2) & (F.col("n") >= 5)) | (F.col("n") >= 8))
     heading = (F.col("round") == 0) & ~fixed & (F.col("sites") >= 5) & (F.col("words") <= 5) & (F.col("kind") == OPEN)
     role = F.when(exact | slots, 1).when(heading, 2)
-    return aligned.select("token", role.cast("tinyint").alias("role")).where("role is not null").distinct()
+    every = aligned.select("token", F.lit(None).cast("string").alias("at"), role.cast("tinyint").alias("role")).where("role is not null")
+    own = aligned.where(~F.coalesce(role == 1, F.lit(False))).select("token", F.explode("own").alias("at"), F.lit(1).cast("tinyint").alias("role"))
+    return every.unionByName(own).distinct()
 
 
 def known_lines(pages: DataFrame, tokens: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
     """(site, id, lines): the pages with the role of each line, its token or the parts of a menu line."""
     side, _ = broadcast_below(tokens, broadcast_rows)
-    seen = pages.select("id", F.explode("lines").alias("x")).select("id", "x.line_no", "x.words", F.array_compact(F.concat(F.array("x.token", "x.loose"), F.coalesce("x.parts", F.array().cast("array<bigint>")))).alias("all"), "x.token", "x.loose")
-    hit = seen.select("id", "line_no", "token", "loose", F.explode("all").alias("k")).join(side.withColumnRenamed("token", "k"), "k")
+    seen = pages.select("site", "id", F.explode("lines").alias("x")).select("site", "id", "x.line_no", "x.words", F.array_compact(F.concat(F.array("x.token", "x.loose"), F.coalesce("x.parts", F.array().cast("array<bigint>")))).alias("all"), "x.token", "x.loose")
+    hit = seen.select("site", "id", "line_no", "token", "loose", F.explode("all").alias("k")).join(side.withColumnRenamed("token", "k"), "k").where("at is null or at = site")
     roles = hit.groupBy("id", "line_no").agg(
         F.max(F.when((F.col("k") == F.col("token")) | (F.col("k") == F.col("loose")), F.when(F.col("role") == 1, 9).otherwise(F.col("role")))).alias("role"),
         F.collect_set(F.when(F.col("role") == 1, F.col("k"))).alias("parts"),
@@ -196,44 +216,63 @@ def title_like(x: dict) -> bool:
 
 
 def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lines, roles) -> (token, seen, open, run): what stands after each fixed token, summed by batch."""
+    """(site, lines, roles) -> (token, site, seen, open, run), summed by batch.
+
+    Site null: what stands after each fixed token. Else seen is the number of the
+    site's pages that hold the token, not fixed, in a short gap.
+    """
     for batch in batches:
-        stats: dict[int, list[int]] = {}
-        for lines, roles in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        stats: dict[tuple, list[int]] = {}
+        for site_, lines, roles in zip(*(c.to_pylist() for c in batch.columns)):
             s = stream(lines, roles)
+            fixed = [-1, *(i for i, x in enumerate(s) if x["fixed"]), len(s)]
+            short = {x["token"] for a, b in zip(fixed, fixed[1:]) if 1 < b - a <= GAP + 1 and b - a <= len(s) for x in s[a + 1 : b] if not x["heading"] and x["kind"] != TITLE}
+            for t in short:
+                stats.setdefault((t, site_), [0, 0, 0])[0] += 1
             for i, x in enumerate(s):
                 if x["fixed"]:
                     j = i + 1
                     while j < len(s) and title_like(s[j]):
                         j += 1
-                    e = stats.setdefault(x["token"], [0, 0, 0])
+                    e = stats.setdefault((x["token"], None), [0, 0, 0])
                     e[0] += 1
                     e[1] += j > i + 1
                     e[2] += j - i - 1
         if stats:
-            k, v = list(stats), list(zip(*stats.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (k, *v)], names=["token", "seen", "open", "run"])
+            k, v = list(zip(*stats)), list(zip(*stats.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(k[0], pa.int64()), pa.array(k[1], pa.string()), *(pa.array(c, pa.int64()) for c in v)], names=["token", "site", "seen", "open", "run"])
+
 
+def followers(pages: DataFrame) -> DataFrame:
+    stats = pages.select("site", "lines", "roles").mapInArrow(_followers, "token long, site string, seen long, open long, run long")
+    return stats.groupBy("token", "site").agg(F.sum("seen").alias("seen"), F.sum("open").alias("open"), F.sum("run").alias("run")).where("seen >= 3")
 
-def group_openers(pages: DataFrame) -> DataFrame:
+
+def group_openers(total: DataFrame) -> DataFrame:
     """(token): fixed tokens that open a repeated group: title-like lines follow nearly always, and several."""
-    stats = pages.select("lines", "roles").mapInArrow(_followers, "token long, seen long, open long, run long")
-    total = stats.groupBy("token").agg(F.sum("seen").alias("seen"), F.sum("open").alias("open"), F.sum("run").alias("run"))
-    return total.where((F.col("open") >= 0.8 * F.col("seen")) & (F.col("run") >= 1.6 * F.col("seen")) & (F.col("seen") >= 3)).select("token")
+    return total.where(F.col("site").isNull() & (F.col("open") >= 0.8 * F.col("seen")) & (F.col("run") >= 1.6 * F.col("seen"))).select("token")
+
+
+def optional_groups(known: DataFrame, total: DataFrame) -> DataFrame:
+    """(id, optional): of each page the lines that nearly always stand in a short gap of their site's wrapper, on 5 pages at least."""
+    gaps, _ = broadcast_below(total.where("site is not null and seen >= 5").select("site", "token", "seen"), 500_000)
+    held = materialise(known.select("site", "id", F.explode(F.array_distinct("lines.token")).alias("token")).join(gaps, ["site", "token"]), "gaps")
+    kept, _ = broadcast_below(materialise(held.groupBy("site", "token", "seen").agg(F.count("*").alias("n")).where("seen >= 0.9 * n").select("site", "token"), "optional"), 500_000)
+    return held.join(kept, ["site", "token"]).groupBy("id").agg(F.collect_set("token").alias("optional"))
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, lines, roles, openers) -> (source_id, line_no) of the article's lines."""
+    """(id, lines, roles, openers, optional) -> (source_id, line_no) of the article's lines."""
     for batch in batches:
         ids, nos = [], []
-        for id_, lines, roles, openers in zip(*(c.to_pylist() for c in batch.columns)):
-            opens = set(openers or ())
+        for id_, lines, roles, openers, optional in zip(*(c.to_pylist() for c in batch.columns)):
+            opens, extra = set(openers or ()), set(optional or ())
             inside = False
             for x in stream(lines, roles):
                 if x["fixed"]:
                     inside = x["token"] in opens
-                elif inside and title_like(x) and x["kind"] != TITLE:
-                    pass  # an element of the repeated group
+                elif x["token"] in extra and x["kind"] != TITLE or inside and title_like(x) and x["kind"] != TITLE:
+                    pass  # an optional group, or an element of the repeated group
                 else:
                     inside = False
                     if x["kind"] not in (USER, NOTE):
@@ -243,28 +282,29 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _labelled(sources: DataFrame) -> DataFrame:
-    """(site, id, lines, roles, openers) of every page with text."""
+    """(site, id, lines, roles, openers, optional) of every page with text."""
     pages = materialise(page_tokens(sources), "tokens")
     tokens = materialise(wrapper_tokens(alignment(pages)), "wrapper")
     known = materialise(pages.join(known_lines(pages, tokens), "id", "left"), "known")
-    openers, _ = broadcast_below(materialise(group_openers(known), "openers"), 500_000)
+    total = materialise(followers(known), "followers")
+    openers, _ = broadcast_below(group_openers(total), 500_000)
     used = known.select("id", F.explode("lines.token").alias("token")).join(openers, "token").groupBy("id").agg(F.collect_set("token").alias("openers"))
-    return known.join(used, "id", "left").select("site", "id", "lines", "roles", "openers")
+    return known.join(used, "id", "left").join(optional_groups(known, total), "id", "left").select("site", "id", "lines", "roles", "openers", "optional")
 
 
 def article_lines(sources: DataFrame) -> DataFrame:
     """(source_id, line_no) of the non-blank lines of each page's article."""
-    return _labelled(sources).select("id", "lines", "roles", "openers").mapInArrow(_label, "source_id string, line_no int")
+    return _labelled(sources).select("id", "lines", "roles", "openers", "optional").mapInArrow(_label, "source_id string, line_no int")
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(site, id, lines, roles, openers) -> a row for each fixed token of a page, and one (token null) for its slots."""
+    """(site, id, lines, roles, openers, optional) -> a row for each fixed token of a page, and one (token null) for its slots."""
     for batch in batches:
         out = []
-        for site_, id_, lines, roles, openers in zip(*(c.to_pylist() for c in batch.columns)):
-            s, opens, seen, free = stream(lines, roles), set(openers or ()), {}, []
+        for site_, id_, lines, roles, openers, optional in zip(*(c.to_pylist() for c in batch.columns)):
+            s, opens, extra, seen, free = stream(lines, roles), set(openers or ()), set(optional or ()), {}, []
             for i, x in enumerate(s):
-                if x["fixed"]:
+                if x["fixed"] or x["token"] in extra and x["kind"] != TITLE:
                     key = x["token"] if x["loose"] is None else x["loose"]
                     e = seen.setdefault(key, [i / len(s), 0, x["line_no"], False])
                     e[1] += 1

@@ -184,6 +184,45 @@ def test_article_lines(spark):
     assert boilerplate.article_lines(sources(spark, rows).limit(0)).count() == 0
 
 
+def site_pages(host, count, lines_of):
+    """Pages of a site with an article of their own between lines_of(page), before and after."""
+    rows = []
+    for i in range(count):
+        own = f"{host.split('.')[0]}{''.join(chr(97 + int(c)) for c in str(i * 7919 + 104729))}"
+        before, after = lines_of(i)
+        body = [f"Headline {own} of things", *(["Our view"] if i % 10 == 0 else []), f"First {own} says something. It goes on for {own}.", f"More {own} is here. It ends for {own}."]
+        rows.append((f"{host}/{i}", host, f"http://{host}/x", None, "\n".join(["Home", *before, *body, *after, "Back to top"])))
+    return rows
+
+
+def left_in(spark, rows, line):
+    """Pages whose article has the line."""
+    at = {(r.source_id, r.line_no) for r in boilerplate.article_lines(sources(spark, rows)).collect()}
+    return {r[0] for r in rows for n, x in enumerate(r[4].split("\n")) if x == line and (r[0], n) in at}
+
+
+def test_a_hot_site_decides_for_itself_only(spark):
+    rows = [r for k in range(10) for r in site_pages(f"small{chr(97 + k)}.org", 10, lambda i: ([], ["Log in to comment"]))]
+    rows += site_pages("hot.org", 300, lambda i: ([], ["Log in to comment"] if i % 60 == 0 else []))
+    assert not left_in(spark, rows, "Log in to comment")
+    assert len(left_in(spark, rows, "Our view")) == 10 + 30
+
+
+def test_a_site_knows_its_own_wrapper(spark):
+    rows = [r for k in range(8) for r in site_pages(f"small{chr(97 + k)}.org", 30, lambda i: ([], []))]
+    rows += site_pages("own.org", 30, lambda i: (["Our view"], []))
+    rows = [(a, b, c, d, t.replace("Our view\nHeadline", "Our view\nA headline") if b == "own.org" else t) for a, b, c, d, t in rows]
+    left = left_in(spark, rows, "Our view")
+    assert {x.split("/")[0] for x in left} == {f"small{chr(97 + k)}.org" for k in range(8)}
+
+
+def test_rare_lines_between_wrapper_lines_are_optional_groups(spark):
+    rows = site_pages("rare.org", 60, lambda i: (["Storm warning for readers", "Phone lines are closed"] if i % 8 == 0 else [], []))
+    rows = [(a, b, c, d, t.replace("Home\n", "Home\nMenu\n").replace("closed\n", "closed\nRead on\n") if "closed" in t else t.replace("Home\n", "Home\nMenu\nRead on\n")) for a, b, c, d, t in rows]
+    assert not left_in(spark, rows, "Storm warning for readers") and not left_in(spark, rows, "Phone lines are closed")
+    assert len(left_in(spark, rows, "Our view")) == 6
+
+
 def test_cut_passages(spark):
     text = "The first sentence stands here. The second costs 38.7 percent more, said Dr. Who in York. A third one\n- a list line without mark\nThe fourth sentence is cut off in the mid"
     src = spark.createDataFrame([("s", text, 1), ("gone", None, 1)], "id string, text string, cut int")
