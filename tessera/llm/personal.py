@@ -148,15 +148,17 @@ def with_names(docs: DataFrame, key: str, text: str, lang: str, least: int, most
     """((key, text, lang, given) of the rows with a key, names for all).
 
     Up to ``most`` names are sent along whole and given is null; beyond, each
-    distinct text gets its own by joining its capitalised words.
+    distinct text gets its own by joining its capitalised words, in small letters
+    as the Finder compares them.
     """
     names = given_names(docs, text, least)
     base = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     if names.limit(most + 1).count() <= most:
         return base.withColumn("given", F.lit(None).cast("array<string>")), sorted(r.given for r in names.collect())
     hashed = base.withColumn("h", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit(1), "text"))
-    words = hashed.select("h", "h2", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}’'-])({WORD})(?![\p{{L}}])"), F.lit(1)))).alias("given")).distinct()
-    own = words.join(names, "given").groupBy("h", "h2").agg(F.collect_set("given").alias("given"))
+    words = hashed.select("h", "h2", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}’'-])({WORD})(?![\p{{L}}])"), F.lit(1)))).alias("given"))
+    words = words.withColumn("given", F.lower("given")).distinct()
+    own = words.join(names.select(F.lower("given").alias("given")).distinct(), "given").groupBy("h", "h2").agg(F.collect_set("given").alias("given"))
     return hashed.join(own, ["h", "h2"], "left").select("key", "text", "lang", F.coalesce("given", F.array().cast("array<string>")).alias("given")), []
 
 

@@ -354,3 +354,13 @@ def test_personal_rows(spark):
     a, b = re.findall(r"\[PHONE:([^\]]*)\]", masked[6])
     assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b)
     assert personal.find(df.limit(0)).count() == 0
+
+
+def test_learned_names_match_in_any_case_in_both_branches(spark):
+    rows = [(1, "We met Fenna Aaa and then Fenna Bbb, with Fenna Ccc or Fenna Ddd.", "en", "s"), (2, "to Ulla Aaa, of Ulla Bbb, by Ulla Ccc, for Ulla Ddd.", None, "s"), (3, "Then FENNA Lee came.", "en", "s"), (4, "ULLA LEE left.", "en", "s")]
+    df = docs(spark, rows)
+    got = sorted(map(tuple, personal.find(df).collect()))
+    assert {r[0] for r in got} == {1, 2, 3, 4}
+    assert sorted(map(tuple, personal.find(df, most_names=0).collect())) == got
+    few = {r.doc_id: r.text for r in personal.mask(df, b"k", most_names=0).collect()}
+    assert few == {r.doc_id: r.text for r in personal.mask(df, b"k").collect()} and "FENNA" not in few[3]
