@@ -99,6 +99,13 @@ def p2_sequences(spark: SparkSession, d: str) -> DataFrame:
     return seqs.groupBy("site", "length").agg(F.count("*").alias("n_sequences"))
 
 
+@query()
+def p2_long_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """How many frequent sequences of each length up to the operator's own limit each site has."""
+    _, seqs = repeats.prefix_span(table(spark, d, "sources"))
+    return seqs.groupBy("site", "length").agg(F.count("*").alias("n_sequences"))
+
+
 @query(P2 + """, gone as (select distinct id, line_no from lines join often using (site, t)),
   every as (select id, unnest(string_split(text_raw, chr(10))) as line, generate_subscripts(string_split(text_raw, chr(10)), 1) - 1 as line_no from pages where text_raw is not null),
   kept as (select e.id, string_agg(e.line, chr(10) order by e.line_no) as text from every e left join gone g on g.id = e.id and g.line_no = e.line_no where g.id is null group by 1)

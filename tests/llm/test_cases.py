@@ -364,3 +364,12 @@ def test_learned_names_match_in_any_case_in_both_branches(spark):
     assert sorted(map(tuple, personal.find(df, most_names=0).collect())) == got
     few = {r.doc_id: r.text for r in personal.mask(df, b"k", most_names=0).collect()}
     assert few == {r.doc_id: r.text for r in personal.mask(df, b"k").collect()} and "FENNA" not in few[3]
+
+
+def test_long_sequences_are_registered(spark, tmp_path):
+    from tessera.llm import catalog
+
+    rows = [(f"p{i}", "a.org", "u", None, f"One\nTwo\nown {i}\nThree\nFour" if i < 5 else "One\nTwo\nThree") for i in range(7)]
+    sources(spark, rows).write.parquet(str(tmp_path / "sources.parquet"))
+    got = {(r.site, r.length): r.n_sequences for r in catalog.QUERIES["p2_long_sequences"](spark, str(tmp_path)).collect()}
+    assert got == {("a.org", 1): 4, ("a.org", 2): 3, ("a.org", 3): 2, ("a.org", 4): 1}
