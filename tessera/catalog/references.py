@@ -29,8 +29,8 @@ with units as (
   select ref_field, citation_id, ref_id, period, min(used) as used from refs where ref_id is not null and ref_id <> '' group by 1, 2, 3, 4
 ), k as (
   select r.ref_field, r.citation_id, r.ref_id, r.period,
-    case when d.id is not null or coalesce(u.gone, false) then 'deleted'
-         when u.id is null and f.id is null then 'missing'
+    case when coalesce(u.gone, false) then 'deleted'
+         when u.id is null and f.id is null then case when d.id is not null then 'deleted' else 'missing' end
          when coalesce(u.first, f.first) > r.used then 'late' end as kind
   from r left join units u on r.ref_field = 'evidence_ids' and u.id = r.ref_id
   left join fields f on r.ref_field = 'claim_field_id' and f.id = r.ref_id

@@ -19,30 +19,32 @@ from pyspark.sql import functions as F
 from tessera.runtime import materialise
 
 #: What the probe knows of a parent key.
-PARENT = "kind string, id string, first long, present boolean, deleted boolean"
+PARENT = "kind string, id string, first long, present boolean, deleted boolean, logged boolean"
 
 
 def parents(units: DataFrame, fields: DataFrame, audit: DataFrame) -> DataFrame:
-    """(kind, id, first, present, deleted): one row per key that exists or was deleted.
+    """(kind, id, first, present, deleted, logged): one row per key that exists or whose deletion was logged.
 
     kind is the referring column. ``first`` is in microseconds; for a unit its
-    first loaded_at, for a claim field its first created_at. A DELETE in the
-    log counts for units and fields by the log's entity, letters only.
+    first loaded_at, for a claim field its first created_at. ``deleted`` says
+    that a row has deleted_at, ``logged`` that the log has a DELETE of the key;
+    it counts for units and fields by the log's entity, letters only.
     """
     entity = F.lower(F.regexp_replace("entity", "[^A-Za-z]", ""))
     kind = F.when(entity.isin("evidenceunit", "evidenceunits"), "evidence_ids").when(entity.isin("claimfield", "claimfields"), "claim_field_id")
+    no, yes = F.lit(False), F.lit(True)
     rows = (
-        units.select(F.lit("evidence_ids").alias("kind"), F.trim("id").alias("id"), F.unix_micros("loaded_at").alias("first"), F.lit(True).alias("present"), F.col("deleted_at").isNotNull().alias("deleted"))
+        units.select(F.lit("evidence_ids").alias("kind"), F.trim("id").alias("id"), F.unix_micros("loaded_at").alias("first"), yes.alias("present"), F.col("deleted_at").isNotNull().alias("deleted"), no.alias("logged"))
         .unionByName(
-            fields.select(F.lit("claim_field_id").alias("kind"), F.trim("id").alias("id"), F.unix_micros("created_at").alias("first"), F.lit(True).alias("present"), F.lit(False).alias("deleted"))
+            fields.select(F.lit("claim_field_id").alias("kind"), F.trim("id").alias("id"), F.unix_micros("created_at").alias("first"), yes.alias("present"), no.alias("deleted"), no.alias("logged"))
         )
         .unionByName(
             audit.where(F.upper(F.trim("action")) == "DELETE")
-            .select(kind.alias("kind"), F.trim("entity_id").alias("id"), F.lit(None).cast("long").alias("first"), F.lit(False).alias("present"), F.lit(True).alias("deleted"))
+            .select(kind.alias("kind"), F.trim("entity_id").alias("id"), F.lit(None).cast("long").alias("first"), no.alias("present"), no.alias("deleted"), yes.alias("logged"))
         )
     )
     return rows.where("kind is not null and id is not null").groupBy("kind", "id").agg(
-        F.min("first").alias("first"), F.max("present").alias("present"), F.max("deleted").alias("deleted")
+        F.min("first").alias("first"), *(F.max(c).alias(c) for c in ("present", "deleted", "logged"))
     )
 
 
@@ -101,7 +103,9 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flag[hit] = g[at[hit]]
             late = np.zeros(len(key), bool)
             late[hit] = (f[at[hit]] > when[hit]) & (when[hit] > -(2**62))
-            kind = np.where(flag & 2, "deleted", np.where(flag & 1 == 0, "missing", np.where(late, "late", "")))
+            absent = flag & 1 == 0
+            gone = (flag & 2 != 0) | absent & (flag & 4 != 0)
+            kind = np.where(gone, "deleted", np.where(absent, "missing", np.where(late, "late", "")))
             bad = np.flatnonzero(kind != "")
             if len(bad):
                 take = rows.take(pa.array(bad))
@@ -113,8 +117,10 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def orphans(refs: DataFrame, parent: DataFrame, range_rows: int = 200_000, task_refs: int = 400_000) -> DataFrame:
     """(ref_field, citation_id, ref_id, kind, period) of every reference without a valid target.
 
-    kind is 'deleted' if the key was deleted, else 'missing' if it never was,
-    else 'late' if it came after the reference was used. Parents with a null
+    kind is 'deleted' if the key's row is marked as deleted, or if it has no row
+    and the log has its deletion; else 'missing' if it has no row; else 'late' if
+    it came after the reference was used. A logged deletion of a key that has a
+    row again says nothing. Parents with a null
     time are never late. Empty tables give an empty result or only 'missing'.
     """
     refs = materialise(refs, "refs")
@@ -137,7 +143,7 @@ def orphans(refs: DataFrame, parent: DataFrame, range_rows: int = 200_000, task_
     wide = "key string, kind string, id string, at long, flags int, citation_id string, period string"
     p = parent.select(
         key.alias("key"), "kind", "id", F.col("first").alias("at"),
-        (F.col("present").cast("int") + F.col("deleted").cast("int") * 2).alias("flags"),
+        (F.col("present").cast("int") + F.col("deleted").cast("int") * 2 + F.col("logged").cast("int") * 4).alias("flags"),
         F.lit(None).cast("string").alias("citation_id"), F.lit(None).cast("string").alias("period"),
     ).mapInArrow(bucket, wide + ", bucket int")
     r = materialise(

@@ -116,7 +116,7 @@ def test_silhouette_of_one_and_of_one_cluster(spark):
 
 def test_references_brute_force(spark):
     t = lambda h: DAY + dt.timedelta(hours=h)
-    parent = spark.createDataFrame([("evidence_ids", f"u{i}", i * 3_600_000_000, i != 3, i == 5) for i in range(50)], references.PARENT)
+    parent = spark.createDataFrame([("evidence_ids", f"u{i}", i * 3_600_000_000, i != 3, i == 5, i == 1) for i in range(50)], references.PARENT)
     c = spark.createDataFrame(
         [("c1", " f1 ", '["u1", " u3 ", null, "u9", "u9"]', t(0), t(4)), ("c1", "f1", '["u1", " u3 ", null, "u9", "u9"]', t(0), t(9)), ("c2", None, "broken [", t(1), t(2)), ("c3", "", "[]", t(1), None), ("c4", None, '["u5", "nope"]', t(800), t(900)), (None, "f", "[]", t(0), t(0))],
         "id string, claim_field_id string, evidence_ids string, created_at timestamp, loaded_at timestamp",
@@ -132,6 +132,28 @@ def test_references_brute_force(spark):
     assert {r.kind for r in references.orphans(refs, parent.limit(0)).collect()} == {"missing"}
 
 
+def test_parents_and_their_deletions(spark):
+    t = lambda h: DAY + dt.timedelta(hours=h)
+    units = spark.createDataFrame(
+        [("logged_here", t(0), None), ("marked", t(0), t(3)), (" late ", t(9), None), ("late", t(8), None), ("fine", t(0), None), (None, t(0), None), ("timeless", None, None)],
+        "id string, loaded_at timestamp, deleted_at timestamp",
+    )
+    fields = spark.createDataFrame([("f_logged", t(0)), ("f_late", t(7))], "id string, created_at timestamp")
+    audit = spark.createDataFrame(
+        [("DELETE", "Evidence_Unit", "logged_here"), (" delete", "evidenceUnits", "logged_gone"), ("UPDATE", "evidence_unit", "updated_gone"), ("DELETE", "claim field", "f_gone"), ("DELETE", "claim-field", "f_logged"),
+         ("DELETE", "project", "fine"), ("DELETE", "claim_field", "wrong_kind"), ("DELETE", None, "x"), (None, "evidence_unit", "x")],
+        "action string, entity string, entity_id string",
+    )
+    ids = ["logged_here", "marked", "late", "fine", "timeless", "logged_gone", "updated_gone", "wrong_kind", "f_gone"]
+    cited = [("c", "f_gone", str(ids).replace("'", '"'), t(0), t(5)), ("d", "f_logged", None, t(800), t(800)), ("e", "f_late", "[]", t(0), t(5)), ("g", "nothing", "[null]", t(0), t(5))]
+    c = spark.createDataFrame(cited, "id string, claim_field_id string, evidence_ids string, created_at timestamp, loaded_at timestamp")
+    got = {(r.ref_field[0], r.citation_id, r.ref_id): r.kind for r in references.orphans(references.citation_references(c), references.parents(units, fields, audit)).collect()}
+    assert got == {
+        ("e", "c", "marked"): "deleted", ("e", "c", "late"): "late", ("e", "c", "logged_gone"): "deleted", ("e", "c", "updated_gone"): "missing", ("e", "c", "wrong_kind"): "missing",
+        ("e", "c", "f_gone"): "missing", ("c", "c", "f_gone"): "deleted", ("c", "e", "f_late"): "late", ("c", "g", "nothing"): "missing",
+    }
+
+
 def test_limiter_batch_and_stream_agree(spark, tmp_path):
     rows = [(i, "a" if i % 3 else "b", DAY + dt.timedelta(seconds=s)) for i, s in enumerate([0, 1, 2, 30, 61, 62, 130, 131, 300])] + [(99, None, DAY)]
     df = spark.createDataFrame(rows, "k int, c string, ts timestamp")
