@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise
+from tessera.runtime import materialise, parts_for, written_bytes
 
 #: What the probe knows of a parent key.
 PARENT = "kind string, id string, first long, present boolean, deleted boolean, logged boolean"
@@ -155,7 +155,7 @@ def orphans(refs: DataFrame, parent: DataFrame, range_rows: int = 200_000, task_
     p = p.join(load, "bucket").select(*p.columns, F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("split") - 1)).alias("salt"))
     r = r.join(load, "bucket").select(*r.columns, F.lit(1).alias("side"), F.pmod(F.xxhash64("citation_id"), F.col("split")).cast("int").alias("salt"))
     both = p.unionByName(r).withColumn("part", F.col("bucket").cast("long") * 1_000_000 + F.col("salt"))
-    parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(refs.sparkSession, 8 * (written_bytes(r) + written_bytes(parent)))  # packed files hold about an eighth
     return both.repartition(parts, "part").sortWithinPartitions("part", "side", "key").mapInArrow(
         _probe, "ref_field string, citation_id string, ref_id string, kind string, period string"
     )

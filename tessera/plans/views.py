@@ -9,16 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.runtime import table
+from tessera.runtime import latest, table
 
 STATUSES = ["DRAFT", "PENDING_REVIEW", "APPROVED", "REJECTED"]
 
 
 def current(df: DataFrame, stamp: str, key: str = "id") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(stamp).desc())
-    return df.where(F.col(key).isNotNull()).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The latest delivery of each key; only keys are shuffled, not the rows."""
+    return latest(df, key, stamp)
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:

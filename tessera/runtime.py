@@ -60,6 +60,8 @@ def shared_root(spark: SparkSession) -> str:
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tessera-")
             spark.sparkContext.setCheckpointDir(base)
         root = f"{base.rstrip('/')}/tessera-{app}"
@@ -90,32 +92,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def broadcast_below(df: DataFrame, rows: int) -> tuple[DataFrame, int]:
-    """df with a broadcast hint if it has at most ``rows`` rows, else unhinted.
+#: A side is broadcast up to this size in memory; beyond, it is joined by shuffle.
+BROADCAST_BYTES = 16 << 20
 
-    ``df`` should be narrow and cheap (a written table): it is counted once.
+
+def held_bytes(df: DataFrame) -> Column:
+    """About the bytes that a row of df takes in memory."""
+    size = F.lit(24)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + 16 + F.coalesce(F.octet_length(c), F.lit(0))
+        elif kind in ("array", "map"):
+            size = size + 24 + F.greatest(F.size(c), F.lit(0)) * 32
+        else:
+            size = size + 8
+    return size
+
+
+def broadcast_below(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, int]:
+    """(df with a broadcast hint if its rows take at most ``most_bytes``, else unhinted; its number of rows).
+
+    ``df`` should be narrow and cheap (a written table): its rows are measured once.
     """
-    n = df.limit(rows + 1).count()
-    return (F.broadcast(df) if n <= rows else df), n
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(held_bytes(df)), F.lit(0))).first()
+    return (F.broadcast(df) if size <= most_bytes else df), n
+
+
+def parts_for(spark: SparkSession, size: int, each: int = 64 << 20) -> int:
+    """Partitions for ``size`` bytes to shuffle: no fewer than the session's, and about ``each`` bytes in one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 200_000))
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads (a written table)."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    size = 0
+    for f in df.inputFiles():
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        size += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return size
 
 
-def latest(df: DataFrame, key: str, stamp: str, broadcast_rows: int = 500_000) -> DataFrame:
+def latest(df: DataFrame, key: str, stamp: str, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per ``key``: the delivery with the greatest ``stamp``.
 
     A narrow pass finds the repeated keys; only those are joined back, so wide
     columns are not shuffled (repeated keys are broadcast up to
-    ``broadcast_rows`` rows and joined by shuffle beyond). Rows with a null key
-    are dropped; of rows that tie on the stamp any one is kept.
+    ``broadcast_bytes`` and joined by shuffle beyond). Rows with a null key
+    are dropped; a null stamp is the least; of rows that tie on the stamp the one
+    with the greatest hash over all columns is kept, so the result is repeatable.
     """
     known = df.where(F.col(key).isNotNull())
     narrow = known.select(F.col(key).alias("__k"), F.col(stamp).alias("__s"))
     repeated = narrow.groupBy("__k").agg(F.count("*").alias("__n"), F.max("__s").alias("__m")).where("__n > 1")
-    repeated = materialise(repeated, "repeated")
-    side, _ = broadcast_below(repeated, broadcast_rows)
+    repeated = materialise(repeated.select("__k", "__m"), "repeated")
+    side, _ = broadcast_below(repeated, broadcast_bytes)
     joined = known.join(side, F.col(key) == F.col("__k"), "left")
     single = joined.where("__k is null").select(*df.columns)
     again = joined.where(F.col("__k").isNotNull() & F.col(stamp).eqNullSafe(F.col("__m"))).select(*df.columns)
-    return single.unionByName(again.dropDuplicates([key]))
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.dataType.typeName() not in ("map", "variant")])
+    one = again.groupBy(key).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("__r")).select("__r.*")
+    return single.unionByName(one)
 
 
 def blank(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import text as fx
 from tessera.operators import claims, graph, keywords, references, relational, similarity, topics, unitize
-from tessera.runtime import latest
+from tessera.runtime import broadcast_below, latest
 from tessera.sources import uploads
 from tessera.streaming import audit, limits
 
@@ -26,10 +26,25 @@ def test_latest_takes_one_row_a_key(spark):
     df = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("a", 2, "new"), ("b", 1, "x"), (None, 9, "z"), ("c", None, "n")], "id string, t int, v string")
     got = {r.id: r.v for r in latest(df, "id", "t").collect()}
     assert got == {"a": "new", "b": "x", "c": "n"}
-    assert latest(df, "id", "t", broadcast_rows=0).count() == 3
+    assert latest(df, "id", "t", broadcast_bytes=0).count() == 3
     assert latest(df.limit(0), "id", "t").count() == 0
 
 
+def test_latest_is_repeatable_where_stamps_tie(spark):
+    rows = [("a", 1, f"v{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "id string, t int, v string")
+    back = spark.createDataFrame(rows[::-1], "id string, t int, v string")
+    assert latest(df, "id", "t").collect() == latest(back.repartition(7), "id", "t").collect()
+
+
+def test_a_side_is_broadcast_by_its_bytes(spark):
+    df = spark.createDataFrame([("x" * 1000,)] * 100, "v string")
+    plan = lambda d: d._jdf.queryExecution().logical().toString()
+    near, n = broadcast_below(df, 200_000)
+    far, _ = broadcast_below(df, 100_000)
+    assert n == 100 and "broadcast" in plan(near).lower() and "broadcast" not in plan(far).lower()
+
+
 def test_unit_spans_without_sentences():
     assert list(unitize.spans(1000, [0, 1000])) == [(0, 400), (450, 850), (900, 1000)]
     assert list(unitize.spans(0, [0])) == [] and list(unitize.spans(400, [0, 400])) == [(0, 400)]
