@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.sentences import document_abbreviations, segment
+from tessera.llm.sentences import Evidence, segment
 from tessera.runtime import materialise
 
 #: What a cut may add at the end (fixed values).
@@ -84,7 +84,7 @@ class Page:
         self.text = " ".join(self.lines)
         self.ends = [s + len(x) for s, x in zip(self.starts, self.lines)]
         self._cuts: dict[int, set[int]] = {}
-        self._known: set[str] | None = None
+        self._known: Evidence | None = None
 
     def place(self, s: str, a: int | None, b: int | None) -> tuple[int, int] | None:
         """(start, number of characters of s found there) in the page."""
@@ -131,8 +131,8 @@ class Page:
             return False
         if i not in self._cuts:
             if self._known is None:
-                self._known = document_abbreviations(self.text)
-            self._cuts[i] = {b for _, b in segment(line, self._known)}
+                self._known = Evidence(self.text)
+            self._cuts[i] = {b for _, b in segment(line, ev=self._known)}
         return at in self._cuts[i]
 
 

@@ -99,6 +99,53 @@ def test_sentence_rows(spark):
     assert sentences.sentences(df.limit(0)).count() == 0
 
 
+def test_the_document_speaks_before_corpus_and_list():
+    cut = lambda t, *k: [t[a:b] for a, b in sentences.segment(t, *k)]
+    assert cut("The dr is in. A dr can help. He saw the dr. Then he left.") == ["The dr is in.", "A dr can help.", "He saw the dr.", "Then he left."]
+    assert cut("He saw the dr. Then he left.") == ["He saw the dr. Then he left."]  # the list
+    assert cut("He saw the dr. Then he left.", {"x"}, {"dr"}) == ["He saw the dr.", "Then he left."]  # the corpus
+    # learned from the document, of any length; the next word decides where a name and a begin are possible
+    t = "The bldgx. number, the bldgx. code and bldgx. key. See bldgx. Lee now. He went to the bldgx. They left. As they do."
+    assert cut(t)[1:] == ["See bldgx. Lee now.", "He went to the bldgx.", "They left.", "As they do."]
+    # a name by the corpus: written small elsewhere, it begins a sentence
+    assert cut("Ask messrs. Then go.", {"messrs"}, set(), {"then"}) == ["Ask messrs.", "Then go."] and len(cut("Ask messrs. Lee now.", {"messrs"})) == 1
+
+
+def test_corpus_words(spark):
+    rows = [("see messrs. lee, and lee. Then messrs. 4 or messrs. x but usual word. The word is a word, word word word word word word word word word word word word word word word word word word end", ), ("the word. And a Paris word, in Paris", ), (None,), ("",)]
+    got = {r.word: r.shows for r in sentences.corpus_words(spark.createDataFrame(rows, "text string")).collect()}
+    assert got["messrs"] & sentences.SHORT and got["word"] & sentences.USUAL and got["word"] & sentences.PLAIN and not got.get("paris", 0) & sentences.PLAIN
+
+
+@pytest.mark.parametrize("text", ["(" * 20_000 + "a. B.", "“a. " * 5_000, "a. B " * 30_000, "ก ข " * 20_000, "word" * 50_000 + ". X", "中文。" * 30_000, "(a) " * 30_000])
+def test_long_and_unclosed_texts_take_linear_time(text):
+    import time
+
+    t = time.process_time()
+    assert sentences.segment(text)
+    assert time.process_time() - t < 5
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a()“”„«»[]", max_size=30))
+def test_quotes_equal_their_definition(text):
+    def slow(t):
+        out, stack = [], []
+        for i, c in enumerate(t):
+            if stack and c == stack[-1][1]:
+                a, _ = stack.pop()
+                if not stack:
+                    out.append((a, i))
+            elif c in sentences._PAIRS:
+                stack.append((i, sentences._PAIRS[c]))
+        if stack:
+            a = stack[0][0]
+            out += [(x + a + 1, y + a + 1) for x, y in slow(t[a + 1 :])]
+        return out
+
+    assert sentences._spans_of_quotes(text) == slow(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="Ab .!?…\n“”«»()[]evidnc_19。？ก ข;د؟।", max_size=60))
 def test_sentence_spans_are_ordered_and_whole(text):
