@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import boilerplate, mixing, neardup, personal, pieces, repeats, tokens, truncation
 from tessera.llm import sentences as op_sentences
-from tessera.runtime import latest, table
+from tessera.runtime import latest, shared_root, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -142,6 +144,17 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return cut.select(space_name().alias("item_table"), F.col("id").alias("item_id"), "piece", "char_start", "char_end")
 
 
+@query()
+def p7_files(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of all sources as a few large files, cut by byte ranges."""
+    most, overlap = table(spark, d, "split_limits").where("item_table = 'sources'").agg(F.max("max_chars"), F.max("overlap_chars")).first()  # one row
+    folder = f"{shared_root(spark)}/texts-{uuid.uuid4().hex[:12]}"
+    texts = latest(table(spark, d, "sources"), "id", "updated_at").where("text_raw <> ''").repartition(4, "id").sortWithinPartitions("id")
+    texts.select("text_raw").write.text(folder)
+    cut = pieces.file_pieces(spark, pieces.files_below(spark, folder), most, overlap, range_bytes=1 << 20)
+    return cut.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("file"), "piece", "char_start", "char_end")
+
+
 @query()
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     fields = latest(table(spark, d, "claim_fields"), "id", "updated_at")

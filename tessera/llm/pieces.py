@@ -1,49 +1,71 @@
 """Cutting oversized items at natural boundaries (problem 7).
 
-Method: every item is read in ranges with a halo on both sides. In each range
-the boundaries of its core are detected (the halo gives the context of those at
-its edges); the boundary tables of an item are stitched in range order, the
-lengths of its ranges summed up to offsets, and pieces are emitted by offset
-from a running state that holds the boundaries of one window only. Files are
-read by byte ranges in the same way, so no file is ever loaded whole.
+Method: every item is worked on in ranges. A worker detects the boundaries of its
+range, with a halo on both sides: as much before it as it takes to be in step
+with what a scan of the whole item would see, and the longest piece after it. A
+piece that begins in a range can then be cut by that range alone. What a range
+can't know is where the first piece in it begins. It therefore works out, for
+every place where one could begin, where the chain of pieces leaves it and after
+how many pieces. These short tables are stitched in range order: the lengths of
+the ranges are summed up to offsets, the pieces to numbers, and each range learns
+its first piece. Then all ranges emit their pieces at once, by offset. An item of
+one range needs no stitching and is cut where it is read. Files are read by byte
+ranges in the same way, so no file is ever loaded whole, and a task holds one range.
 
 A piece has at most ``max_chars`` code points and starts ``overlap`` code points
 before the end of the one before it. Its end is the best boundary in the second
 half of the window (paragraph, line, sentence, clause, blank; the last of the
 best kind), else the best one anywhere that moves on past the overlap, else the
-window's end, moved back from before a combining mark.
+window's end, moved back from before a combining mark. The size of the ranges
+changes nothing of the pieces.
 
 Defined cases: null and empty texts give no piece; a text within the limit is
 one piece; white space is not dropped, positions point into the text as it is;
 rows with a null id or without a limit are ignored; of repeated deliveries the
-latest counts.
+latest counts; an empty table gives an empty result. Files must be valid UTF-8.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.runtime import materialise, parts_for, ship, written_bytes
+
 BLANK, CLAUSE, SENTENCE, LINE, PARAGRAPH = 1, 2, 3, 4, 5
 
 _SPOT = re.compile(
     r"(?P<p>\s*?\n[^\S\n]*\n)|(?P<l>[^\S\n]*\n)|(?P<s>[.!?…؟।]+[\"'”’»)\]]*(?=\s))|(?P<c>[。！？]+[」』”’）》]*)|(?P<k>[,;:،؛](?=\s)|[，、；：])|(?P<b>\s+)"
 )
 _SHORT = re.compile(r"(?:^|[\s(\[«“„])(?:\w|\w\.\w|[A-ZÀ-ÞА-Я]\w{1,2})\.$")
-HALO = 64
-SCHEMA = "space int, id string, rng long, n long, max_chars int, overlap int, at array<int>, kind array<int>, hard array<int>"
+#: Characters before a scan's begin that the kind of a period looks at.
+CONTEXT = 8
+
+
+def in_step(text: str, at: int, least: int = 0) -> int:
+    """The last place up to ``at`` from which a scan finds what a scan of all finds: after a letter or
+    digit, which no boundary holds; 0 or less than ``least`` if there is none."""
+    while at > least and not text[at - 1].isalnum():
+        at -= 1
+    return at
 
 
-def spots(text: str, lo: int, hi: int) -> tuple[list[int], list[int]]:
-    """Boundaries with lo < position <= hi and their kinds, best kind at equal positions."""
+def spots(text: str, lo: int, hi: int, begin: int = 0) -> tuple[list[int], list[int]]:
+    """Boundaries with lo < position <= hi and their kinds, best kind at equal positions; begin is in step."""
     at: list[int] = []
     kind: list[int] = []
-    for m in _SPOT.finditer(text):
+    for m in _SPOT.finditer(text, begin):
+        if m.start() > hi:
+            break
         g = m.lastgroup
         if g in ("p", "l", "b"):
             pos, k = m.start(), PARAGRAPH if g == "p" else LINE if g == "l" else BLANK
@@ -62,116 +84,170 @@ def spots(text: str, lo: int, hi: int) -> tuple[list[int], list[int]]:
     return at, kind
 
 
+@functools.cache
+def _marks() -> re.Pattern:
+    """Combining marks and joiners."""
+    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)) + "‍️]")
+
+
 def marks(text: str, lo: int, hi: int) -> list[int]:
     """Positions before a combining mark or joiner, where a cut would split a character."""
     if text.isascii():
         return []
-    return [i for i in range(lo + 1, hi + 1) if i < len(text) and (unicodedata.combining(text[i]) or text[i] in "‍️")]
+    return [m.start() for m in _marks().finditer(text, lo + 1, min(hi + 1, len(text)))]
+
+
+class Cuts:
+    """Where the pieces of a range end. Positions count from the range's begin; stop is the item's end if it is in sight."""
+
+    def __init__(self, at: np.ndarray, kind: np.ndarray, hard: np.ndarray, most: int, overlap: int, stop: int | None):
+        self.most, self.overlap, self.stop = most, max(0, min(overlap, most - 1)), stop
+        self.kinds = [at[kind == k].tolist() for k in (PARAGRAPH, LINE, SENTENCE, CLAUSE, BLANK)]
+        self.hard = set(hard.tolist())
+
+    def _best(self, low: int, high: int) -> int | None:
+        for places in self.kinds:
+            i = bisect_right(places, high)
+            if i and places[i - 1] > low:
+                return places[i - 1]
+        return None
+
+    def end(self, s: int) -> int:
+        limit, least, half = s + self.most, s + self.overlap, s + self.most // 2
+        if self.stop is not None and limit >= self.stop:
+            return self.stop
+        end = self._best(max(least, half), limit) or self._best(least, min(half, limit))
+        if end:
+            return end
+        end = limit
+        while end in self.hard and end > least + 1:
+            end -= 1
+        return limit if end in self.hard else end
 
+    def chain(self, s: int, size: int) -> Iterator[tuple[int, int]]:
+        """Pieces that begin at s or later and before size."""
+        while s < size:
+            end = self.end(s)
+            yield s, end
+            if end == self.stop:
+                return
+            s = end - self.overlap
 
-def table_ranges(size: int):
-    """(space, id, text, max_chars, overlap) -> boundary tables of the ranges."""
+    def exits(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each place where the range's first piece can begin: where the first one after the range begins (-1: none), and the pieces until then."""
+        memo: dict[int, tuple[int, int]] = {}
+        window = min(self.most - self.overlap, size)
+        for e in range(window):
+            path, s = [], e
+            while 0 <= s < size and s not in memo:
+                path.append(s)
+                end = self.end(s)
+                s = -1 if end == self.stop else end - self.overlap
+            out, n = memo.get(s, (s, 0))
+            for p in reversed(path):
+                n += 1
+                memo[p] = out, n
+        return np.array([memo[e][0] for e in range(window)], np.int32), np.array([memo[e][1] for e in range(window)], np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for space, id_, text, most, overlap in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, a in enumerate(range(0, len(text), size)):
-                    b = min(a + size, len(text))
-                    low = max(0, a - HALO)
-                    part = text[low : min(len(text), b + HALO)]
-                    at, kind = spots(part, a - low, b - low)
-                    shift = low - a
-                    out.append((space, id_, k, b - a, most, overlap, [x + shift for x in at], kind, [x + shift for x in marks(part, a - low, b - low)]))
-            if out:
-                cols = list(zip(*out))
-                types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return run
+#: Rows of pieces (piece set), and of ranges still to be cut (rng set): size and boundaries, stop, exits, pieces by entry.
+MADE = "space int, id string, piece long, char_start long, char_end long, rng long, size long, max_chars int, overlap int, stop long, at binary, kind binary, hard binary, exits binary, counts binary"
+_NAMES = [c.split()[0] for c in MADE.split(", ")]
+_TYPES = [pa.int32(), pa.string(), *[pa.int64()] * 5, pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
+PIECES = "space int, id string, piece long, char_start long, char_end long"
 
 
-class _Cutter:
-    """Pieces of one item from its ranges in order."""
-
-    def __init__(self, most: int, overlap: int):
-        self.most, self.overlap = most, max(0, min(overlap, most - 1))
-        self.start, self.seen, self.number = 0, 0, 0
-        self.at: list[int] = []
-        self.kind: list[int] = []
-        self.hard: set[int] = set()
-
-    def _end(self) -> int:
-        limit = self.start + self.most
-        best: dict[bool, tuple[int, int]] = {}
-        for p, k in zip(self.at, self.kind):
-            if self.start + self.overlap < p <= limit:
-                half = p > self.start + self.most // 2
-                if (k, p) > best.get(half, (0, 0)):
-                    best[half] = (k, p)
-        if best:
-            return best.get(True, best.get(False))[1]
-        end = limit
-        while end in self.hard and end > self.start + self.overlap + 1:
-            end -= 1
-        return limit if end in self.hard else end
+def _cuts(text: str, lo: int, hi: int, begin: int, most: int, overlap: int, whole: bool) -> tuple[Cuts, tuple[np.ndarray, ...]]:
+    """The cuts of text[lo:hi]; begin is in step, whole says that the item ends with text."""
+    end = min(len(text), hi + most)
+    at, kind = spots(text, lo, end, begin)
+    at, kind, hard = np.array(at, np.int32) - lo, np.array(kind, np.int8), np.array(marks(text, lo, end), np.int32) - lo
+    return Cuts(at, kind, hard, most, overlap, len(text) - lo if whole else None), (at, kind, hard)
 
-    def add(self, n: int, at: list[int], kind: list[int], hard: list[int]) -> Iterator[tuple[int, int, int]]:
-        base = self.seen
-        self.at.extend(p + base for p in at)
-        self.kind.extend(kind)
-        self.hard.update(p + base for p in hard)
-        self.seen += n
-        while self.seen > self.start + self.most:
-            end = self._end()
-            yield self.number, self.start, end
-            self.number += 1
-            self.start = end - self.overlap
-            keep = next((i for i, p in enumerate(self.at) if p > self.start), len(self.at))
-            self.at, self.kind = self.at[keep:], self.kind[keep:]
-            self.hard = {p for p in self.hard if p > self.start} if self.hard else self.hard
 
-    def close(self) -> Iterator[tuple[int, int, int]]:
-        if self.seen > self.start:
-            yield self.number, self.start, self.seen
+def _range_row(space: int, id_: str, rng: int, size: int, most: int, overlap: int, cuts: Cuts, table: tuple[np.ndarray, ...]) -> tuple:
+    exits, counts = cuts.exits(size)
+    return (space, id_, None, None, None, rng, size, most, overlap, cuts.stop, *(x.tobytes() for x in table), exits.tobytes(), counts.tobytes())
 
 
-PIECES = "space int, id string, piece int, char_start long, char_end long"
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Boundary tables sorted by item and range -> pieces."""
-    names = [c.split()[0] for c in PIECES.split(", ")]
+def _text_ranges(size: int):
+    """(space, id, text, max_chars, overlap) -> the pieces of items of one range, the ranges of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = (None,) * 10
+        for batch in batches:
+            rows: list[tuple] = []
+            for space, id_, text, most, overlap in zip(*(c.to_pylist() for c in batch.columns)):
+                n = len(text)
+                if n <= size:
+                    cuts, _ = _cuts(text, 0, n, 0, most, overlap, True)
+                    rows += [(space, id_, k, a, b, *none) for k, (a, b) in enumerate(cuts.chain(0, n))]
+                    continue
+                for k, a in enumerate(range(0, n, size)):
+                    b = min(a + size, n)
+                    rows.append(_range_row(space, id_, k, b - a, most, overlap, *_cuts(text, a, b, in_step(text, a), most, overlap, True)))
+            if rows:
+                yield _batch(rows)
+
+    return run
 
-    def made(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64()])], names=names)
 
-    item, cutter = None, None
+def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges' exits, sorted by item and range -> (space, id, rng, entry, piece, base) of the ranges in which a piece begins."""
+    item, entry, piece, base = None, 0, 0, 0
     for batch in batches:
         out: list[tuple] = []
-        for space, id_, _, n, most, overlap, at, kind, hard in zip(*(c.to_pylist() for c in batch.columns)):
+        for space, id_, rng, size, exits, counts in zip(*(c.to_pylist() for c in batch.columns)):
             if (space, id_) != item:
-                if cutter:
-                    out.extend((*item, *p) for p in cutter.close())
-                item, cutter = (space, id_), _Cutter(most, overlap)
-            out.extend((*item, *p) for p in cutter.add(n, at, kind, hard))
+                item, entry, piece, base = (space, id_), 0, 0, 0
+            if 0 <= entry < size:
+                out.append((space, id_, rng, entry, piece, base))
+                piece += int(np.frombuffer(counts, np.int32)[entry])
+                entry = int(np.frombuffer(exits, np.int32)[entry])
+            if entry >= 0:
+                entry -= size
+            base += size
         if out:
-            yield made(out)
-    if cutter and (out := [(*item, *p) for p in cutter.close()]):
-        yield made(out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.string(), *[pa.int64()] * 4])], names=["space", "id", "rng", "entry", "piece", "base"])
 
 
-def emit(tables: DataFrame) -> DataFrame:
-    n = int(tables.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tables.repartition(n, "space", "id").sortWithinPartitions("space", "id", "rng").mapInArrow(_emit, PIECES)
-
-
-def pieces(items: DataFrame, range_chars: int = 65_536) -> DataFrame:
+def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges with their entries -> pieces."""
+    for batch in batches:
+        out: list[tuple] = []
+        for space, id_, size, most, overlap, stop, at, kind, hard, entry, piece, base in zip(*(c.to_pylist() for c in batch.columns)):
+            cuts = Cuts(np.frombuffer(at, np.int32), np.frombuffer(kind, np.int8), np.frombuffer(hard, np.int32), most, overlap, stop)
+            out += [(space, id_, piece + k, base + a, base + b) for k, (a, b) in enumerate(cuts.chain(entry, size))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), [pa.int32(), pa.string(), *[pa.int64()] * 3])], names=[c.split()[0] for c in PIECES.split(", ")])
+
+
+def _settled(made: DataFrame) -> DataFrame:
+    """Pieces from rows as MADE says."""
+    made = materialise(made, "ranges")
+    done = made.where("piece is not null").select("space", "id", "piece", "char_start", "char_end")
+    ranges = made.where("rng is not null")
+    n = ranges.count()
+    if not n:
+        return done
+    spark = made.sparkSession
+    heads = ranges.select("space", "id", "rng", "size", "exits", "counts").repartition("space", "id").sortWithinPartitions("space", "id", "rng")
+    entries = materialise(heads.mapInArrow(_stitch, "space int, id string, rng long, entry long, piece long, base long"), "entries")
+    first = ranges.drop("piece").join(entries, ["space", "id", "rng"]).select("space", "id", "size", "max_chars", "overlap", "stop", "at", "kind", "hard", "entry", "piece", "base")
+    cut = first.repartition(min(n, parts_for(spark, 2 * written_bytes(made)))).mapInArrow(_emit, PIECES)
+    return done.unionByName(cut)
+
+
+def pieces(items: DataFrame, range_chars: int = 16_384) -> DataFrame:
     """(space, id, piece, char_start, char_end) of items (space, id, text, max_chars, overlap)."""
     known = items.where("id is not null and text <> '' and max_chars > 0").select(
         F.col("space").cast("int"), F.col("id").cast("string"), "text", F.col("max_chars").cast("int"), F.coalesce("overlap", F.lit(0)).cast("int")
     )
-    return emit(known.mapInArrow(table_ranges(range_chars), SCHEMA))
+    return _settled(known.mapInArrow(_text_ranges(range_chars), MADE))
 
 
 def oversized(items: DataFrame) -> DataFrame:
@@ -179,33 +255,71 @@ def oversized(items: DataFrame) -> DataFrame:
     return items.where(F.octet_length("text") > F.col("max_chars"))
 
 
+def _read(f, size: int, a: int, b: int, most: int) -> tuple[str, int, int, int, bool]:
+    """(text, begin of the core in it, its end, begin of the scan, whether the file ends with text) of the bytes a..b of an open file."""
+    at = lambda x, y: (f.seek(x), f.read(y - x))[1]
+    first = lambda raw: next((i for i, c in enumerate(raw) if c & 0xC0 != 0x80), len(raw))
+    back = 256
+    while True:
+        x = max(0, a - back)
+        raw = at(x, min(a + 4, size))
+        edge = a - x + first(raw[a - x :])  # a character belongs to the range it begins in
+        head = raw[first(raw) if x else 0 : edge].decode("utf-8", "replace")
+        begin = in_step(head, len(head), CONTEXT if x else 0)
+        if not x or begin > CONTEXT:
+            break
+        back *= 4
+    core_from = x + edge
+    more = 4 * most + 256
+    while True:
+        y = min(size, b + more)
+        raw = at(core_from, y)
+        hi = max(0, b - core_from)
+        hi += first(raw[hi : hi + 4]) if b < size else len(raw) - hi
+        core = raw[:hi].decode("utf-8", "replace")
+        tail = raw[hi:] if y == size else raw[hi : len(raw) - _open_end(raw)]
+        tail = tail.decode("utf-8", "replace")
+        k = most
+        while k < len(tail) and not tail[k].isalnum():
+            k += 1
+        if y == size or k + 4 < len(tail):
+            return head + core + tail, len(head), len(head) + len(core), begin, y == size
+        more *= 4
+
+
+def _open_end(raw: bytes) -> int:
+    """Bytes at the end of raw that begin a character but don't finish it."""
+    for k in range(1, min(4, len(raw)) + 1):
+        c = raw[-k]
+        if c & 0xC0 != 0x80:
+            need = 1 if c < 0x80 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4
+            return k if need > k else 0
+    return 0
+
+
 def _file_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(path, start, stop, max_chars, overlap): byte ranges of UTF-8 files -> boundary tables."""
+    """(path, size, start, stop, max_chars, overlap): byte ranges of UTF-8 files -> ranges."""
+    from pyarrow import fs
+
     for batch in batches:
-        out = []
-        for path, a, b, most, overlap in zip(*(c.to_pylist() for c in batch.columns)):
-            with open(path, "rb") as f:
-                f.seek(max(0, a - 4 * HALO))
-                raw = f.read(b - max(0, a - 4 * HALO) + 4 * HALO)
-            off = a - max(0, a - 4 * HALO)
-            head = raw[:off].decode("utf-8", "ignore")
-            lo, hi = off, off + (b - a)
-            while lo < len(raw) and lo < hi and raw[lo] & 0xC0 == 0x80:  # a character belongs to the range it begins in
-                lo += 1
-            while hi < len(raw) and raw[hi] & 0xC0 == 0x80:
-                hi += 1
-            core, tail = raw[lo:hi].decode("utf-8", "replace"), raw[hi:].decode("utf-8", "ignore")
-            head, text = head[-HALO:], head[-HALO:] + core + tail[:HALO]
-            at, kind = spots(text, len(head), len(head) + len(core))
-            out.append((0, path, a, len(core), most, overlap, [x - len(head) for x in at], kind, [x - len(head) for x in marks(text, len(head), len(head) + len(core))]))
-        if out:
-            types = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.list_(pa.int32())] * 3]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[c.split()[0] for c in SCHEMA.split(", ")])
+        for path, size, a, b, most, overlap in zip(*(c.to_pylist() for c in batch.columns)):
+            system, inner = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+            with system.open_input_file(inner) as f:
+                text, lo, hi, begin, whole = _read(f, size, a, b, most)
+            yield _batch([_range_row(0, path, a, hi - lo, most, overlap, *_cuts(text, lo, hi, begin, most, overlap, whole))])
 
 
 def file_pieces(spark: SparkSession, files: list[tuple[str, int]], max_chars: int, overlap: int, range_bytes: int = 8 << 20) -> DataFrame:
-    """(path, piece, char_start, char_end) of UTF-8 files given as (path, bytes) that all workers can open."""
+    """(path, piece, char_start, char_end) of UTF-8 files given as (path or address, bytes) that all workers can open."""
+    ship(spark)
     df = spark.createDataFrame(files, "path string, size long").withColumn("start", F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))))
-    ranges = df.where("size > 0").select("path", "start", F.least(F.col("start") + range_bytes, "size").alias("stop"), F.lit(max_chars).alias("m"), F.lit(overlap).alias("o"))
+    ranges = df.where("size > 0").select("path", "size", "start", F.least(F.col("start") + range_bytes, "size").alias("stop"), F.lit(max_chars).alias("m"), F.lit(overlap).alias("o"))
     n = max(1, sum(-(-s // range_bytes) for _, s in files))
-    return emit(ranges.repartition(min(n, 10_000)).mapInArrow(_file_ranges, SCHEMA)).drop("space").withColumnRenamed("id", "path")
+    return _settled(ranges.repartition(min(n, 200_000)).mapInArrow(_file_ranges, MADE)).drop("space").withColumnRenamed("id", "path")
+
+
+def files_below(spark: SparkSession, folder: str) -> list[tuple[str, int]]:
+    """(address, bytes) of the data files in a folder of any file system that the session reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted((s.getPath().toString(), s.getLen()) for s in fs.listStatus(path) if s.isFile() and not s.getPath().getName().startswith(("_", ".")))

@@ -321,16 +321,95 @@ def test_pieces_cover_the_text(spark, size):
     assert pieces.pieces(df.limit(0)).count() == 0
 
 
+def reference_pieces(text, most, overlap):
+    """The definition, over the whole text."""
+    at, kind = pieces.spots(text, 0, len(text))
+    hard, out, s = set(pieces.marks(text, 0, len(text))), [], 0
+    while True:
+        if len(text) <= s + most:
+            return [*out, (s, len(text))]
+        best = {}
+        for p, k in zip(at, kind):
+            if s + overlap < p <= s + most:
+                half = p > s + most // 2
+                best[half] = max(best.get(half, (0, 0)), (k, p))
+        if best:
+            e = best.get(True, best.get(False))[1]
+        else:
+            e = s + most
+            while e in hard and e > s + overlap + 1:
+                e -= 1
+            e = s + most if e in hard else e
+        out.append((s, e))
+        s = e - overlap
+
+
+def settle(rows):
+    """Pieces of the ranges of one item, as the operator's stages give them."""
+    import pyarrow as pa
+
+    made = pa.Table.from_batches(rows).to_pylist()
+    done = [(r["char_start"], r["char_end"]) for r in made if r["piece"] is not None]
+    heads = [r for r in made if r["rng"] is not None]
+    if not heads:
+        return done
+    names = ["space", "id", "rng", "size", "exits", "counts"]
+    entries = [e for b in pieces._stitch([pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in sorted(heads, key=lambda r: r["rng"])])]) for e in b.to_pylist()]
+    by = {r["rng"]: r for r in heads}
+    rows = [{**{n: by[e["rng"]][n] for n in ("space", "id", "size", "max_chars", "overlap", "stop", "at", "kind", "hard")}, **{n: e[n] for n in ("entry", "piece", "base")}} for e in entries]
+    got = [r for b in pieces._emit([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    got.sort(key=lambda r: r["piece"])
+    assert [r["piece"] for r in got] == list(range(len(got)))
+    return [(r["char_start"], r["char_end"]) for r in got]
+
+
+PARTS = st.sampled_from(["word", "A. ", "end. ", "Dr. ", "\n", "\n\n", " ", " " * 90, "\n \n", ", ", "一二。", "é\u0301\u0301", "x" * 50, "\u0301" * 9, "!?” ", "..", "٣", "👩‍👩"])
+
+
+@settings(max_examples=250, deadline=None)
+@given(st.lists(PARTS, min_size=1, max_size=60).map("".join), st.integers(1, 60), st.integers(0, 70), st.sampled_from([1, 3, 16, 32, 100]))
+def test_ranges_change_nothing(text, most, overlap, size):
+    import io
+
+    import pyarrow as pa
+
+    want = reference_pieces(text, most, max(0, min(overlap, most - 1)))
+    batch = pa.RecordBatch.from_pylist([{"space": 0, "id": "i", "text": text, "m": most, "o": overlap}])
+    assert settle(list(pieces._text_ranges(size)([batch]))) == want
+    raw = text.encode()
+    rows = []
+    for a in range(0, len(raw), size):
+        t, lo, hi, begin, whole = pieces._read(io.BytesIO(raw), len(raw), a, min(a + size, len(raw)), most)
+        rows.append(pieces._range_row(0, "i", a, hi - lo, most, overlap, *pieces._cuts(t, lo, hi, begin, most, overlap, whole)))
+    assert settle([pieces._batch(rows)]) == want
+
+
 def test_files_are_cut_as_texts_are(spark, tmp_path):
     text = ("Ein Satz über Käse. " * 30 + "\n\n") * 40
     f = tmp_path / "t.txt"
     f.write_text(text, encoding="utf-8")
     want = sorted((r.piece, r.char_start, r.char_end) for r in pieces.pieces(spark.createDataFrame([(0, "t", text, 500, 50)], "space int, id string, text string, max_chars int, overlap int")).collect())
-    for size in (1000, 1 << 20):
-        got = sorted((r.piece, r.char_start, r.char_end) for r in pieces.file_pieces(spark, [(str(f), f.stat().st_size)], 500, 50, range_bytes=size).collect())
+    assert [x[1:] for x in want] == reference_pieces(text, 500, 50)
+    for size, path in ((1000, str(f)), (1 << 20, f.as_uri())):
+        got = sorted((r.piece, r.char_start, r.char_end) for r in pieces.file_pieces(spark, [(path, f.stat().st_size)], 500, 50, range_bytes=size).collect())
         assert got == want
 
 
+def test_pieces_of_the_tables_equal_the_definition(spark):
+    from conftest import SF
+
+    from tessera.llm import catalog
+
+    got = {}
+    for r in catalog.QUERIES["p7_pieces"](spark, SF).collect():
+        got.setdefault((r.item_table, r.item_id), []).append((r.piece, r.char_start, r.char_end))
+    rows = catalog.texts_with_limits(spark, SF).where("text <> ''").collect()
+    assert len(rows) == len(got) > 150
+    for r in rows:
+        p = sorted(got[catalog.SPACES[r.space], r.id])
+        assert [x[1:] for x in p] == reference_pieces(r.text, r.max_chars, r.overlap)
+
+
 PII = [
     ("Mail ann.lee+x@kel.example or bob (at) kel [dot] co [dot] example now.", "en", [("email", "ann.lee+x@kel.example"), ("email", "bob (at) kel [dot] co [dot] example")]),
     ("Call 404-555-0170 x93 and ask. Ticket 4461-20-99497 stays. The server at 192.0.2.61 was slow.", "en", [("phone", "404-555-0170 x93")]),
