@@ -85,16 +85,18 @@ def spots(text: str, lo: int, hi: int, begin: int = 0) -> tuple[list[int], list[
 
 
 @functools.cache
-def _marks() -> re.Pattern:
-    """Combining marks and joiners."""
-    return re.compile("[" + "".join(re.escape(c) for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.combining(c)) + "‍️]")
+def _marks() -> np.ndarray:
+    """Whether each code point is a combining mark or joiner."""
+    return np.array([unicodedata.combining(c) > 0 or c in "\u200d\ufe0f" for c in map(chr, range(sys.maxunicode + 1))])
 
 
 def marks(text: str, lo: int, hi: int) -> list[int]:
     """Positions before a combining mark or joiner, where a cut would split a character."""
     if text.isascii():
         return []
-    return [m.start() for m in _marks().finditer(text, lo + 1, min(hi + 1, len(text)))]
+    codes = np.frombuffer(text[lo + 1 : hi + 1].encode("utf-32-le", "surrogatepass"), np.uint32)
+    far = np.flatnonzero(codes >= 0x300)
+    return (far[_marks()[codes[far]]] + lo + 1).tolist()
 
 
 class Cuts:
