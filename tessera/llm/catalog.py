@@ -87,25 +87,20 @@ with pages as (
 
 @query(P2 + "select id as source_id, line_no from lines join often using (site, t)")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    lines, _ = repeats.prefix_span(table(spark, d, "sources"), max_length=1)
+    lines, _ = repeats.prefix_span(table(spark, d, "sources"))
     return lines.select(F.col("id").alias("source_id"), "line_no")
 
 
 @query(P2 + """, l as (select *, row_number() over (partition by id order by line_no) as seq from lines join often using (site, t)),
-  g as (select a.site, a.id, a.t as t1, b.t as t2 from l a join l b on a.id = b.id and b.seq = a.seq + 1)
-  select site, 1 as length, count(distinct t) as n_sequences from often group by 1
-  union all select site, 2, count(*) from (select site, t1, t2 from g group by 1, 2, 3 having count(distinct id) >= 5) group by 1""")
+  g as (select distinct a.site, a.id, a.t as t1, b.t as t2 from l a join l b on a.id = b.id and b.seq > a.seq),
+  h as (select distinct a.site, a.id, a.t as t1, b.t as t2, c.t as t3 from l a join l b on a.id = b.id and b.seq > a.seq join l c on a.id = c.id and c.seq > b.seq)
+  select site, 1 as length, count(*) as n_sequences, cast(sum(n) as bigint) as n_pages from (select site, t, count(distinct id) as n from l group by 1, 2) group by 1
+  union all select site, 2, count(*), cast(sum(n) as bigint) from (select site, t1, t2, count(*) as n from g group by 1, 2, 3 having count(*) >= 5) group by 1
+  union all select site, 3, count(*), cast(sum(n) as bigint) from (select site, t1, t2, t3, count(*) as n from h group by 1, 2, 3, 4 having count(*) >= 5) group by 1""")
 def p2_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """How many frequent sequences of one and two lines each site has."""
-    _, seqs = repeats.prefix_span(table(spark, d, "sources"), max_length=2)
-    return seqs.groupBy("site", "length").agg(F.count("*").alias("n_sequences"))
-
-
-@query()
-def p2_long_sequences(spark: SparkSession, d: str) -> DataFrame:
-    """How many frequent sequences of each length up to the operator's own limit each site has."""
+    """How many frequent sequences of each length up to three each site has, gaps allowed, and their supports in all."""
     _, seqs = repeats.prefix_span(table(spark, d, "sources"))
-    return seqs.groupBy("site", "length").agg(F.count("*").alias("n_sequences"))
+    return seqs.groupBy("site", "length").agg(F.count("*").alias("n_sequences"), F.sum("support").alias("n_pages"))
 
 
 @query(P2 + """, gone as (select distinct id, line_no from lines join often using (site, t)),
@@ -115,7 +110,7 @@ def p2_long_sequences(spark: SparkSession, d: str) -> DataFrame:
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     """Every page without its site's repeated lines."""
     src = table(spark, d, "sources")
-    lines, _ = repeats.prefix_span(src, max_length=1)
+    lines, _ = repeats.prefix_span(src)
     return repeats.without(src, lines)
 
 

@@ -2,12 +2,18 @@
 
 Method: distributed PrefixSpan over the line sequences of each domain. Level 1
 counts, for each (domain, line), the distinct pages that hold it; pages are
-projected to their frequent lines; level k grows each frequent sequence by the
-line that follows it in the projected page, and counts pages again. A sequence
-is frequent if at least ``support`` distinct pages of the domain hold it. The
-occurrences of all frequent sequences, single lines included, are deleted. As
-every line of a frequent sequence is itself a frequent sequence of length 1, the
-deleted lines are those of level 1; longer levels are reported.
+projected to their frequent lines, and pages with the same projection become one
+sequence with a weight. From then on the projected database grows: of each
+frequent prefix it keeps the suffixes that follow its first match, equal suffixes
+added up; each line of a suffix, at its first place, grows the prefix, gaps
+allowed; grown prefixes that enough distinct pages hold are frequent. Growth ends
+where nothing is frequent any more, or at ``max_length`` if one is given: page
+frames of n lines have 2^n frequent sequences, so a limit is a matter of cost.
+
+The occurrences of all frequent sequences, single lines included, are deleted: the
+lines of all frequent sequences are collected and their places on the pages come
+out. A line of a frequent sequence is itself frequent on its own, so a limit of the
+length changes nothing of what is deleted.
 
 Lines compare without case, outer white space and differences in runs of white
 space; domains without case, leading 'www.' and trailing dot, and where the
@@ -19,14 +25,16 @@ is one row a task.
 Defined cases: null and empty texts have no lines; pages without domain and
 host are in no domain and keep their lines; rows with a null id are ignored; of
 repeated deliveries the latest counts; blank lines are neither counted nor
-deleted; a line that a page holds twice counts once for it and is deleted twice.
+deleted; a line that a page holds twice counts once for it and is deleted twice,
+and is an item of its sequences twice.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.runtime import broadcast_below, latest, materialise
 
@@ -61,48 +69,56 @@ def frequent_lines(pages: DataFrame, support: int) -> DataFrame:
     return pages.select(F.inline(held)).groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= support)
 
 
-def occurrences(pages: DataFrame, frequent: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
-    """(site, id, line_no, h1, n): the pages projected to their frequent lines."""
-    side, _ = broadcast_below(frequent, broadcast_rows)
-    return pages.select("site", "id", F.inline("lines")).join(side, ["h1", "h2"]).select("site", "id", "line_no", "h1", "n")
+def occurrences(pages: DataFrame, frequent: DataFrame) -> DataFrame:
+    """(site, id, line_no, h1): the places of the frequent lines on the pages."""
+    side, _ = broadcast_below(frequent.select("h1", "h2"))
+    return pages.select("site", "id", F.inline("lines")).join(side, ["h1", "h2"]).select("site", "id", "line_no", "h1")
+
+
+def projections(hits: DataFrame) -> DataFrame:
+    """(site, items, n): the distinct sequences of frequent lines of a site's pages, with the number of pages."""
+    order = F.array_sort(F.collect_list(F.struct("line_no", "h1")))
+    pages = hits.groupBy("site", "id").agg(F.transform(order, lambda x: x["h1"]).alias("items"))
+    return pages.groupBy("site", "items").agg(F.count("*").alias("n"))
+
 
+def grown(projected: DataFrame) -> DataFrame:
+    """(site, pattern, suffix, n) -> the same of the prefixes longer by one line: each distinct line of a
+    suffix grows the prefix at its first place, what follows it is the new suffix; equal ones are added up."""
+    first = F.array_distinct("suffix")
+    at = F.col("at").cast("int")
+    step = projected.select("site", "pattern", "suffix", "n", F.explode(first).alias("item")).withColumn("at", F.array_position("suffix", F.col("item")))
+    rest = F.slice("suffix", at + 1, F.greatest(F.size("suffix") - at, F.lit(0)))
+    return step.groupBy("site", F.concat("pattern", F.array("item")).alias("pattern"), rest.alias("suffix")).agg(F.sum("n").alias("n"))
 
-def prefix_span(sources: DataFrame, support: int = 5, max_length: int = 4) -> tuple[DataFrame, DataFrame]:
+
+def prefix_span(sources: DataFrame, support: int = 5, max_length: int | None = 3) -> tuple[DataFrame, DataFrame]:
     """(occurrences, sequences).
 
     occurrences: (site, id, line_no) of every line in a frequent sequence, to be
-    deleted. sequences: (site, length, pattern, support, sample_id, sample_line),
-    pattern being the sequence's hash, with the place of one occurrence.
+    deleted. sequences: (site, length, pattern, support): every frequent sequence,
+    gaps allowed, as the hashes of its lines, with the number of pages that hold it.
+    Without ``max_length`` sequences of any length are found.
     """
-    pages = materialise(page_lines(sources), "lines")
-    hits = materialise(occurrences(pages, materialise(frequent_lines(pages, support), "frequent")), "hits")
-    if max_length < 1:
+    if max_length is not None and max_length < 1:
         raise ValueError("max_length must be at least 1")
-    order = Window.partitionBy("id").orderBy("line_no")
-    grown = hits.select("site", "id", "line_no", F.col("h1").alias("item"), F.col("h1").alias("pattern"))
-    levels = []
-    for length in range(1, max_length + 1):
-        if length > 1:
-            grown = grown.withColumn("next", F.lead("item", length - 1).over(order)).withColumn(
-                "pattern", F.when(F.col("pattern").isNotNull() & F.col("next").isNotNull(), F.xxhash64("pattern", "next"))
-            ).drop("next")
-        place = F.min(F.struct("id", "line_no"))
-        found = (
-            grown.where("pattern is not null").groupBy("site", "pattern", "id").agg(F.min("line_no").alias("line_no"))
-            .groupBy("site", "pattern").agg(F.count("*").alias("support"), place.alias("at")).where(F.col("support") >= support)
-        )
-        found = materialise(found, "level")
-        levels.append(found.select("site", F.lit(length).alias("length"), "pattern", "support", F.col("at.id").alias("sample_id"), F.col("at.line_no").alias("sample_line")))
-        if length < max_length:
-            side, n = broadcast_below(found.select("pattern", F.lit(1).alias("alive")), 500_000)
-            if not n:
-                break
-            grown = grown.join(side, "pattern", "left").select("site", "id", "line_no", "item", F.when(F.col("alive").isNotNull(), F.col("pattern")).alias("pattern"))
-            grown = materialise(grown, "grown")
-    sequences = levels[0]
-    for x in levels[1:]:
-        sequences = sequences.unionByName(x)
-    return hits.select("site", "id", "line_no"), sequences
+    pages = materialise(page_lines(sources), "lines")
+    frequent = materialise(frequent_lines(pages, support), "frequent")
+    hits = materialise(occurrences(pages, frequent), "hits")
+    projected = projections(hits).select("site", F.array().cast("array<bigint>").alias("pattern"), F.col("items").alias("suffix"), "n")
+    levels: list[DataFrame] = []
+    while max_length is None or len(levels) < max_length:
+        projected = materialise(grown(projected), "projected")
+        found = materialise(projected.groupBy("site", "pattern").agg(F.sum("n").alias("support")).where(F.col("support") >= support), "level")
+        side, n = broadcast_below(found.select("site", "pattern"))
+        if not n and levels:
+            break
+        levels.append(found.select("site", F.lit(len(levels) + 1).alias("length"), "pattern", "support"))
+        projected = projected.join(side, ["site", "pattern"]).where(F.size("suffix") > 0)
+    sequences = functools.reduce(DataFrame.unionByName, levels)
+    lines = materialise(sequences.select(F.explode("pattern").alias("h1")).distinct(), "items")
+    side, _ = broadcast_below(lines)
+    return hits.join(side, "h1").select("site", "id", "line_no"), sequences
 
 
 def without(sources: DataFrame, lines: DataFrame) -> DataFrame:

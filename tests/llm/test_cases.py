@@ -492,10 +492,19 @@ def test_learned_names_match_in_any_case_in_both_branches(spark):
     assert few == {r.doc_id: r.text for r in personal.mask(df, b"k").collect()} and "FENNA" not in few[3]
 
 
-def test_long_sequences_are_registered(spark, tmp_path):
-    from tessera.llm import catalog
+def test_prefix_span_equals_all_subsequences(spark):
+    import random
+    from collections import Counter
 
-    rows = [(f"p{i}", "a.org", "u", None, f"One\nTwo\nown {i}\nThree\nFour" if i < 5 else "One\nTwo\nThree") for i in range(7)]
-    sources(spark, rows).write.parquet(str(tmp_path / "sources.parquet"))
-    got = {(r.site, r.length): r.n_sequences for r in catalog.QUERIES["p2_long_sequences"](spark, str(tmp_path)).collect()}
-    assert got == {("a.org", 1): 4, ("a.org", 2): 3, ("a.org", 3): 2, ("a.org", 4): 1}
+    r = random.Random(3)
+    pages = {f"p{i}": [r.choice("ABCDE") if r.random() < 0.8 else f"own {i}" for _ in range(r.randint(0, 6))] for i in range(24)}
+    src = sources(spark, [(i, ["a.org", "b.org"][int(i[1:]) % 2], "u", None, "\n".join(x)) for i, x in pages.items()])
+    held = Counter()
+    for i, x in pages.items():
+        subs = {tuple(x[k] for k in c) for n in range(1, len(x) + 1) for c in itertools.combinations(range(len(x)), n)}
+        held.update((int(i[1:]) % 2, s) for s in subs)
+    for most in (1, 2, None):
+        want = Counter((["a.org", "b.org"][s], len(x), n) for (s, x), n in held.items() if n >= 4 and (most is None or len(x) <= most))
+        hits, seqs = repeats.prefix_span(src, support=4, max_length=most)
+        assert Counter((r.site, r.length, r.support) for r in seqs.collect()) == want
+        assert {(r.id, r.line_no) for r in hits.collect()} == {(i, k) for i, x in pages.items() for k, t in enumerate(x) if held[int(i[1:]) % 2, (t,)] >= 4}
