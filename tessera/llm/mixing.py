@@ -36,9 +36,9 @@ def source_key(c: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(c, r"[\s ]+", " ")))
 
 
-def domain_key(c: Column) -> Column:
+def domain_of(source: str) -> str:
     """The first part of a source's name stands for its domain."""
-    return F.substring_index(c, "-", 1)
+    return source.split("-")[0]
 
 
 def language_key(c: Column) -> Column:
@@ -107,23 +107,21 @@ def mix(
     t = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").alias("share"), F.col("max_repeats").alias("reps")).where(
         "source is not null"
     ).groupBy("source").agg(F.max("share").alias("share"), F.max("reps").alias("reps"))
-    counted = token_counts(docs, "doc_id", "text", vocabulary)
-    meta = docs.select("doc_id", source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang"))
-    sized = materialise(
-        meta.where("source is not null").join(counted, "doc_id").where("n > 0")
-        .join(F.broadcast(t.where("share > 0").select("source")), "source"),
-        "sized",
-    )
+    wanted = F.broadcast(t.select("source"))  # grouped by source name; bounded by the targets
+    meta = docs.where("text <> ''").select("doc_id", "text", source_key(F.col("source")).alias("source"), language_key(F.col("lang")).alias("lang")).where("source is not null").join(wanted, "source")
+    # only the named sources are encoded; the row's key carries what is needed after, so nothing is joined back
+    keyed = meta.select(F.struct("doc_id", "source", "lang").alias("doc"), "text")
+    sized = materialise(token_counts(keyed, "doc", "text", vocabulary).select("doc.doc_id", "doc.source", "doc.lang", "n").where("n > 0"), "sized")
     per_leaf = sized.groupBy("source", "lang").agg(F.sum("n").alias("tokens"), F.count("*").alias("records"))
     rows = per_leaf.join(F.broadcast(t), "source").collect()  # one row per named source and language
     of_source: dict[str, int] = {}
     for r in rows:
         of_source[r.source] = of_source.get(r.source, 0) + r.tokens
     leaves = [
-        Leaf(r.source.split("-")[0], r.lang, r.source, r.tokens, r.share * r.tokens / of_source[r.source], r.tokens * max(int(r.reps or 1), 1))
+        Leaf(domain_of(r.source), r.lang, r.source, r.tokens, max(r.share or 0.0, 0.0) * r.tokens / of_source[r.source], r.tokens * max(int(r.reps or 1), 1))
         for r in rows
     ]
-    budgets(leaves, float(total_tokens if total_tokens is not None else sum(of_source.values())))
+    budgets(leaves, float(total_tokens if total_tokens is not None else sum(x.tokens for x in leaves if x.weight > 0)))
     records = {(r.source, r.lang): r.records for r in rows}
     plan = []
     for x in leaves:

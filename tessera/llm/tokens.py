@@ -5,7 +5,8 @@ of its own (positions are kept as index lists, so a pre-token that occurs a
 million times in a batch travels once). The batch dictionaries are exploded,
 the distinct words of the whole corpus are encoded once each, the ids are
 joined back to (batch, index), and each document is reassembled by position.
-Decoding joins the ids with the table of token bytes.
+Decoding joins the ids with the table of token bytes, which is bounded by the
+vocabulary and held by every task: a batch's ids are looked up in it at once.
 
 Defined cases: a null text and an empty text both give the empty list; text
 that looks like a special token is ordinary text; repeated rows each give a
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.runtime import materialise
+from tessera.runtime import materialise, parts_for, written_bytes
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
@@ -184,7 +185,7 @@ def _run(df: DataFrame, key: str, text: str, vocabulary: str, counts: bool) -> D
         "block", F.lit(0).alias("kind"), "at", F.lit(None).cast(kt).alias("key"), F.col("ids").alias("list")
     )
     docs = coded.where("words is null").select("block", F.lit(1).alias("kind"), F.lit(0).alias("at"), "key", F.col("codes").alias("list"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts_for(df.sparkSession, 4 * written_bytes(coded))  # packed files hold about a quarter
     both = entries.unionByName(docs).repartition(parts, "block").sortWithinPartitions("block", "kind", "at")
     out = f"key {kt}, n long" if counts else f"key {kt}, ids array<int>"
     return both.mapInArrow(_reassemble(counts), out).withColumnRenamed("key", key)
@@ -200,17 +201,36 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     return _run(df, key, text, vocabulary, True)
 
 
-def byte_table(spark: SparkSession, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(id, bytes) of each token; its size is that of the vocabulary file."""
-    return spark.createDataFrame([(i, bytearray(b)) for i, b in token_bytes(vocabulary)], "id int, bytes binary")
+@functools.cache
+def byte_table(vocabulary: str) -> pa.Array:
+    """The bytes of each token by its id; ids that the vocabulary leaves out have none."""
+    ranks = token_bytes(vocabulary)
+    out = [b""] * (max(i for i, _ in ranks) + 1)
+    for i, b in ranks:
+        out[i] = b
+    return pa.array(out, pa.binary())
+
 
+def _join_bytes(vocabulary: str):
+    """(key, ids) -> (key, text): a batch's ids joined with the byte table, and the bytes of each row put together."""
+    import pyarrow.compute as pc
 
-def _bytes_of(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = dict(token_bytes(vocabulary))
+        table = byte_table(vocabulary)
         for batch in batches:
-            texts = [b"".join([table.get(i, b"") for i in ids or ()]).decode("utf-8", "replace") for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["key", "text"])
+            ids = pc.fill_null(batch.column(1), pa.scalar([], batch.column(1).type)) if batch.column(1).null_count else batch.column(1)
+            flat = ids.flatten().to_numpy(zero_copy_only=False)
+            known = (flat >= 0) & (flat < len(table))
+            parts = table.take(pa.array(np.where(known, flat, 0).astype(np.int64)))
+            if not known.all():
+                parts = pc.if_else(pa.array(known), parts, pa.scalar(b"", pa.binary()))
+            rows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())]).astype(np.int32)), parts)
+            joined = pc.binary_join(rows, pa.scalar(b"", pa.binary()))
+            try:
+                text = joined.cast(pa.string())
+            except pa.ArrowInvalid:  # some row is no UTF-8
+                text = pa.array([b.decode("utf-8", "replace") for b in joined.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text], names=["key", "text"])
 
     return run
 
@@ -218,11 +238,10 @@ def _bytes_of(vocabulary: str):
 def decode(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, text) from (key, ids): each id joined with the token-byte table, in place.
 
-    The table is bounded by the vocabulary and read once a task, so the join
-    moves no row and keeps the order. An empty or null list decodes to the empty
-    text; an id outside the vocabulary adds nothing; bytes that are no UTF-8
-    become U+FFFD.
+    The join moves no row and keeps the order. An empty or null list decodes to the
+    empty text; a null id or one outside the vocabulary adds nothing; bytes that are
+    no UTF-8 become U+FFFD.
     """
     kt = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("key"), F.col(ids).alias("ids"))
-    return rows.mapInArrow(_bytes_of(vocabulary), f"key {kt}, text string").withColumnRenamed("key", key)
+    rows = df.select(F.col(key).alias("key"), F.filter(F.col(ids), lambda x: x.isNotNull()).cast("array<int>").alias("ids"))
+    return rows.mapInArrow(_join_bytes(vocabulary), f"key {kt}, text string").withColumnRenamed("key", key)

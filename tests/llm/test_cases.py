@@ -35,6 +35,9 @@ def test_token_ids_equal_the_library(spark):
     back = {r.doc_id: r.text for r in tokens.decode(tokens.encode(df)).collect()}
     assert back == {i: t or "" for i, t in enumerate(ODD)}
     assert tokens.encode(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [-5, 10**6, None]), (4, enc.encode_ordinary("é")), (5, [next(i for i, b in tokens.token_bytes(tokens.VOCABULARY) if b == b"\xff")])], "doc_id long, ids array<int>")
+    assert {r.doc_id: r.text for r in tokens.decode(odd).collect()} == {1: "", 2: "", 3: "", 4: "é", 5: "\ufffd"}
+    assert {r.text for r in tokens.decode(odd.where("doc_id < 5")).collect()} == {"", "é"} and tokens.decode(odd.limit(0)).count() == 0
 
 
 @settings(max_examples=300, deadline=None)
@@ -61,6 +64,40 @@ def test_mix_keeps_caps_and_shares(spark):
     assert none.count() == 0 and s3.count() == 3
 
 
+def test_mix_of_the_tables_equals_an_independent_count(spark):
+    import pandas as pd
+    from conftest import SF
+
+    from tessera.llm import catalog
+
+    enc = tokens.encoding(tokens.VOCABULARY)
+    d, t = pd.read_parquet(f"{SF}/documents.parquet"), pd.read_parquet(f"{SF}/mix_targets.parquet")
+    d["n"] = [len(enc.encode_ordinary(x)) if x else 0 for x in d.text]
+    d["source"] = d.source.str.strip().str.lower()
+    n_of = dict(zip(d.doc_id, d.n))
+    mix = catalog.QUERIES["p9_mix"](spark, SF).toPandas()
+    assert (mix.n_tokens == mix.doc_id.map(n_of)).all() and (mix.n_tokens > 0).all() and not mix.duplicated(["doc_id", "epoch"]).any()
+    assert (mix.source == mix.doc_id.map(dict(zip(d.doc_id, d.source)))).all()
+    target = dict(zip(t.source.str.strip().str.lower(), zip(t.target_share, t.max_repeats)))
+    have = d[d.n > 0].groupby("source").n.sum().to_dict()
+    uses = mix.groupby("doc_id").size()
+    assert all(k <= target[s][1] for s, k in zip(uses.index.map(dict(zip(d.doc_id, d.source))), uses))
+    got = mix.groupby("source").n_tokens.sum().to_dict()
+    total = sum(have.get(s, 0) for s, (share, _) in target.items() if share > 0)
+    shares = {r.source: r for r in catalog.QUERIES["p9_shares"](spark, SF).collect()}
+    assert set(shares) == set(target)
+    longest = d[d.n > 0].groupby("source").n.max().to_dict()
+    for s, (share, reps) in target.items():
+        assert shares[s].n_tokens == got.get(s, 0) and shares[s].available_tokens == have.get(s, 0)
+        assert abs(shares[s].reached_share - got.get(s, 0) / sum(got.values())) < 1e-6
+        # never under its share but for one record a language, unless all its repeats are used
+        langs = d[(d.source == s) & (d.n > 0)].lang.nunique(dropna=False) + 3
+        assert got.get(s, 0) >= min(share * total, reps * have.get(s, 0)) - langs * longest.get(s, 0)
+        assert got.get(s, 0) <= reps * have.get(s, 0)
+    # each used prefix is the same for equal seeds and stops only where the next record no longer fits
+    assert sum(got.values()) <= total
+
+
 def test_budgets_pass_shortages_to_siblings_first():
     leaf = lambda d, l, s, t, w, c: mixing.Leaf(d, l, s, t, w, c)
     a, b, c = leaf("x", "en", "x-1", 10, 0.5, 10), leaf("x", "en", "x-2", 100, 0.25, 100), leaf("y", "en", "y-1", 100, 0.25, 100)
