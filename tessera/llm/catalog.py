@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import boilerplate, mixing, neardup, personal, pieces, repeats, tokens, truncation
 from tessera.llm import sentences as op_sentences
-from tessera.runtime import latest, shared_root, table
+from tessera.runtime import latest, materialise, shared_root, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -156,8 +156,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return op_sentences.sentences(fields).withColumnRenamed("id", "claim_field_id")
 
 
+def unit_site():
+    return repeats.site(F.col("source_domain"), F.lit("")).alias("site")
+
+
 def inspected_units(spark: SparkSession, d: str) -> DataFrame:
-    units = latest(table(spark, d, "evidence_units"), "id", "loaded_at").select("id", "source_id", F.col("snippet").alias("t"), F.col("char_start").alias("a"), F.col("char_end").alias("b"))
+    units = latest(table(spark, d, "evidence_units"), "id", "loaded_at").select("id", "source_id", unit_site(), F.col("snippet").alias("t"), F.col("char_start").alias("a"), F.col("char_end").alias("b"))
     sources = latest(table(spark, d, "sources"), "id", "updated_at").select("id", F.col("text_raw").alias("text"))
     return truncation.inspect(units, sources)
 
@@ -174,9 +178,9 @@ def p6_shares(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p6_limits(spark: SparkSession, d: str) -> DataFrame:
-    """Storage limits that the lengths of the snippets show."""
-    units = latest(table(spark, d, "evidence_units"), "id", "loaded_at").select(F.col("snippet").alias("t")).where("t is not null and t <> ''")
-    return truncation.storage_limits(truncation.with_lengths(units))
+    """Storage limits that the lengths of the snippets show, of each site and of all (site null)."""
+    units = latest(table(spark, d, "evidence_units"), "id", "loaded_at").select(F.col("snippet").alias("t"), unit_site()).where("t is not null and trim(t) <> ''")
+    return truncation.storage_limits(materialise(truncation.length_counts(truncation.with_lengths(units)), "counts"))
 
 
 @query()

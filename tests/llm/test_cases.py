@@ -317,24 +317,51 @@ def test_cut_passages(spark):
         "stored": (0, 80, "The first sentence stands he...", True), "line": (*end("A third one"), None, False), "list": (*end("without mark"), None, False), "page": (*end("in the mid"), None, True),
     }
     rows = [(k, "s", c or norm[a:b], a, b) for k, (a, b, c, _) in cases.items()]
-    rows += [("null", "s", None, 0, 1), ("blank", "s", " ", 0, 1), ("orphan", "zz", "Not in any", 5, 2), ("swapped", "s", norm[:31], 31, 0), ("nopos", "s", norm[:31], None, None), ("twice", "s", norm[:31], 0, 31), ("twice2", "gone", "A whole one.", 0, 3)]
-    u = spark.createDataFrame(rows, "id string, source_id string, t string, a int, b int")
+    rows += [("null", "s", None, 0, 1), ("blank", "s", " ", 0, 1), ("orphan", "zz", "Not in any", 5, 2), ("swapped", "s", norm[:31], 31, 0), ("nopos", "s", norm[:31], None, None), ("twice", "s", norm[:31], 0, 31), ("twice2", "gone", "A whole one.", 0, 3), ("lost", None, "Stops in the mid", 0, 3), ("lost2", None, "Whole.", None, 3)]
+    u = spark.createDataFrame(rows, "id string, source_id string, t string, a int, b int").withColumn("site", F.lit("x.org")).withColumn("hit", F.lit("clash"))
     got = {r.id: r.cut for r in truncation.inspect(u, src, hot=3).collect()}
     assert {k: got[k] for k in cases} == {k: c[3] for k, c in cases.items()}
-    assert got["orphan"] and not got["swapped"] and not got["nopos"] and not got["twice2"] and not {"null", "blank"} & set(got)
+    assert got["orphan"] and got["lost"] and not got["lost2"] and not got["swapped"] and not got["nopos"] and not got["twice2"] and not {"null", "blank"} & set(got)
     assert truncation.inspect(u.limit(0), src).count() == 0
     share = {r.source_id: r.share for r in truncation.shares(truncation.inspect(u, src)).collect()}
     assert 0 < share["s"] < 1
 
 
-def test_storage_limits_stand_out(spark):
+def test_storage_limits_of_a_site_decide_in_doubt(spark):
     import random
 
     r = random.Random(1)
-    lengths = [r.randint(50, 300) for _ in range(3000)] + [255] * 200
-    df = spark.createDataFrame([("x" * n,) for n in lengths], "t string")
-    got = {(x.measure, x.length) for x in truncation.storage_limits(truncation.with_lengths(df)).collect()}
-    assert ("chars", 255) in got and ("utf8", 255) in got and all(n == 255 for _, n in got)
+    line = lambda n: "- " + "x" * (n - 2)
+    rows = [(f"a{i}", "a.org", line(r.randint(50, 300))) for i in range(600)] + [(f"z{i}", "a.org", line(255)) for i in range(30)] + [(f"b{i}", "b.org", line(r.randint(50, 300)) + ".") for i in range(5000)] + [("bb", "b.org", line(255))]
+    df = spark.createDataFrame(rows, "id string, site string, t string").withColumn("source_id", F.lit(None).cast("string")).withColumn("a", F.lit(None).cast("int")).withColumn("b", F.col("a"))
+    limits = truncation.storage_limits(truncation.length_counts(truncation.with_lengths(df)))
+    got = {(x.site, x.measure, x.length) for x in limits.collect()}
+    assert ("a.org", "chars", 255) in got and ("a.org", "utf8", 255) in got and {n for *_, n in got} == {255} and not any(s == "b.org" for s, *_ in got)
+    src = spark.createDataFrame([], "id string, text string")
+    cut = {x.id for x in truncation.inspect(df, src).collect() if x.cut}  # list lines: cut at the limit only
+    assert cut >= {f"z{i}" for i in range(30)} and cut <= {x[0] for x in rows if len(x[2]) == 255}
+    # an escaped length shows where the plain one doesn't
+    rows = [("e", "&" * r.randint(0, 30) + "x" * r.randint(40, 90)) for _ in range(800)]
+    rows += [("e", "&" * k + "x" * (200 - 5 * k)) for k in range(30) for _ in range(2)]
+    esc = spark.createDataFrame(rows, "site string, t string")
+    got = {(x.measure, x.length) for x in truncation.storage_limits(truncation.length_counts(truncation.with_lengths(esc))).collect()}
+    assert ("html", 200) in got and not any(m == "chars" for m, _ in got)
+    assert truncation.storage_limits(truncation.length_counts(truncation.with_lengths(esc.limit(0)))).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab .", max_size=12), st.text(alphabet="ab .", min_size=1, max_size=8))
+def test_the_longest_begin_is_found(page, s):
+    p = truncation.Page(page)
+    start, n = p.place(s, None, 2)
+    assert n == max((k for k in range(len(s) + 1) if s[:k] in p.text), default=0) and p.text[start : start + n] == s[:n]
+
+
+@pytest.mark.parametrize("tail,cut", [("", False), ("...", False), (" […]", False), (" (continued)", False)])
+def test_a_passage_changed_inside_is_judged_by_its_end(tail, cut):
+    page = truncation.Page("One sentence is here and goes on. Two more words follow it there. Three are cut")
+    assert truncation.is_cut("One sentense is here and goes on. Two more words follow it there." + tail, 0, 60, page, False) is cut
+    assert truncation.is_cut("One sentense is here and goes on. Two more words fol" + tail, 0, 60, page, False)
 
 
 def split_cases():
