@@ -2,20 +2,25 @@
 
 Method: mentions are found by format and by the words around them. Given names
 are learned from the whole corpus: a capitalised word is one if it stands in mid
-sentence, after a small letter, before at least ``least`` different capitalised words
-that no further capitalised word follows. Up to ``MOST_NAMES`` learned words go
-to every task; beyond that each text gets, by a join, those it contains.
-
-Masked text keeps the rest of a text as it is. Validated numbers (phones,
-identity numbers) become format-preserving Feistel pseudonyms: a keyed
-permutation of the numbers of the same length, laid into the same layout, so
-equal numbers stay equal across documents and the format stays readable. Dates
-can be permuted within their range likewise. Other kinds become a placeholder
-with a keyed tag of the value.
+sentence, after a small letter or as the whole of what a label's colon names,
+before at least ``least`` different capitalised words that no further capitalised
+word follows. Up to
+``MOST_NAMES`` learned words go to every task; beyond that each text gets, by a
+join, those it contains.
+
+Masked text keeps the rest of a text as it is. Numbers and dates become
+format-preserving Feistel pseudonyms: a keyed permutation of the numbers of the
+same length, laid into the same layout, so equal numbers stay equal across
+documents and the format stays readable. Numbers are validated first, by the
+rules of their kind (check digits, ranges, calendar): a valid number becomes a
+valid number of the same kind, with its check digits made anew, and a date a date.
+Numbers of no known kind, or wrong ones, are permuted digit for digit. Other kinds
+become a placeholder with a keyed 64-bit tag of the value.
 
 Defined cases: null and empty texts have no mention and stay as they are; rows
 with a null id are ignored; repeated rows give equal rows, which count once;
-where formats overlap the order email, id_number, address, phone, name decides.
+where formats overlap the order email, id_number, address, phone, name, date
+decides. Dates are masked only, they are no mention of their own in ``find``.
 """
 
 from __future__ import annotations
@@ -80,7 +85,6 @@ ID_VALUE = re.compile(
     r"|\d{4}[- ]\d{4}[- ]\d{4}(?:[- ]\d{3,6})?(?!\d)|\d{17}[\dXx](?!\d)|\d{12,18}(?!\d)"
     r"|[A-Z]{1,2} ?\d{6,9}[A-Z]?(?![\dA-Za-z])|[XYZ]?-?\d{7,8} ?-? ?[A-Z](?![A-Za-z])|[A-Z]\d[A-Z0-9]{7,8}(?![\dA-Za-z])|\d{8,11}(?!\d)"
 )
-ID_SSN = re.compile(r"(?<![\w.-])\d{3}-\d{2}-\d{4}(?![\w-])(?= belongs)")
 
 TOWN = rf"{WORD}(?:[ -]{WORD})?"
 _EN_TOWN = rf"{WORD}(?:-{WORD})?"
@@ -89,7 +93,7 @@ ADDRESS = {
         rf"(?<![\w/.,-])(?:(?:Flat|Apt\.?|Apartment|Unit) \d+[A-Z]?, )?\d{{1,4}}[A-Z]?(?:/\d+)? {WORD}(?: {WORD})? (?:Street|Road|Lane|Terrace|Avenue|Close|Drive|Square|Court|St\.|Rd\.|Ave\.)(?![\w])"
         rf"(?:, (?:Flat|Apt\.?|Apartment|Unit) \d+[A-Z]?)?(?:, {_EN_TOWN}(?: \d{{5}})?(?![\w]))?"
     ),
-    "de": re.compile(rf"(?<!\w)(?!During|Spring|String)(?:{WORD}(?:gasse|weg|str\.|straße|strasse|platz|allee|ring|ufer)|{WORD}(?:er|sche) (?:Straße|Weg|Platz|Allee)) \d{{1,3}} ?[a-z]?(?![\w])(?:, (?:D-)?\d{{5}} {_EN_TOWN})?"),
+    "de": re.compile(rf"(?<!\w)(?:{WORD}(?:gasse|weg|str\.|straße|strasse|platz|allee|ring|ufer)|{WORD}(?:er|sche) (?:Straße|Weg|Platz|Allee)) \d{{1,3}} ?[a-z]?(?![\w])(?:, (?:D-)?\d{{5}} {_EN_TOWN})?"),
     "fr": re.compile(rf"(?<![\w,/-])\d{{1,4}}(?: ?(?:bis|ter|quater))?,? (?:rue|avenue|place|boulevard|chemin|impasse|quai|allée|cours|route) (?:(?:de la|de l'|du|des|de|d')\s?)?{WORD}(?:-{WORD})?(?:, \d{{5}} {_EN_TOWN})?"),
     "es": re.compile(rf"(?<!\w)(?:Calle|Avenida|Plaza|Paseo|Camino|C/|Avda\.?|Pl\.) ?(?:(?:de la|del|de los|de las|de) )?{WORD}, (?:n\.?º ?)?\d{{1,4}}(?:, (?:bajo|ático|\d{{1,2}}\.?º(?: [A-Z](?![\w]))?))?(?:, \d{{5}} {_EN_TOWN})?"),
     "ru": re.compile(rf"(?:\d{{6}}, )?(?:(?:г\. ?|город )?{TOWN}, )?(?:ул\.|улица|пр\.|проспект|пер\.|наб\.) ?{WORD}, (?:д\.|дом) ?\d{{1,4}}[а-я]?(?:, (?:корп\.|стр\.) ?\d+)?(?:, (?:кв\.|квартира) ?\d+)?"),
@@ -114,17 +118,17 @@ TURNED = re.compile(rf"(?<![\w’'-])({SURNAME}), ({WORD})(?![\w’'-])(?: [{_U}
 JA_NAME = re.compile(r"([一-龯々ヶノ]{2,8})(?=さん|氏(?![一-龯])|様(?![一-龯]))")
 ZH_TITLES = ("先生", "女士", "小姐", "老师", "博士")
 ZH_NAME = re.compile(rf"(?:属于|是|由|找|给|请|问|与|和|为|联系人|[：:，。、“\s])([一-龥]{{2,4}}?)(?={'|'.join(ZH_TITLES)})")
-LABEL_NAME = re.compile(rf"(?:принадлежит|Ответственн(?:ый|ая)\s*:|Контакт\s*:|gehört|a nombre de|belongs to|Reviewer:|Kontakt:|Contact :)\s+({WORD} (?:[{_U}]\. ?)*{SURNAME})(?![\w])")
 
 
 def _pairs_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text) -> (given, surname, n): capitalised pairs that can be names, summed by batch."""
-    find = re.compile(rf"(?<=[{_L}] )({WORD}) (?:[{_U}]\. ?)*({SURNAME})(?=[ ,.;:?!”»)—–<\n]|$)(?! {WORD})")
+    name = rf"({WORD}) (?:[{_U}]\. ?)*({SURNAME})"
+    find = re.compile(rf"(?<=[{_L}] ){name}(?=[ ,.;:?!”»)—–<\n]|$)(?! {WORD})|(?<=[{_L}][:：] ){name}(?=[.;\n]|$)")
     for batch in batches:
         n: Counter = Counter()
         for text in batch.column(0).to_pylist():
             for m in find.finditer(text or ""):
-                n[m[1], m[2]] += 1
+                n[m[1] or m[3], m[2] or m[4]] += 1
         n = Counter({k: v for k, v in n.items() if k[1].lower() not in ORGANISATIONS and k[0].lower() not in NO_GIVEN and not re.fullmatch(TITLES, k[0])})
         if n:
             a, b = zip(*n)
@@ -175,9 +179,6 @@ class Finder:
         if lang == "fr":
             for m in re.finditer(rf"(?<![\w.])M\. ({SURNAME})(?![\w])", text):
                 yield m.span(1)
-        for m in LABEL_NAME.finditer(text):
-            if m[1].rpartition(" ")[2].lower() not in ORGANISATIONS:
-                yield m.span(1)
         for m in PAIR.finditer(text):
             if m[1].lower() in known and m[3].lower() not in ORGANISATIONS and m[3].lower() not in known:
                 yield m.start(), m.end(3)
@@ -222,9 +223,6 @@ class Finder:
             for m in ID_WORD.finditer(text):
                 if v := ID_VALUE.match(text, m.end()):
                     take("id_number", *v.span())
-        if " belongs" in text:
-            for m in ID_SSN.finditer(text):
-                take("id_number", *m.span())
         for kind, pattern in ADDRESS.items():
             if any(h in text for h in ADDRESS_HINT[kind]):
                 for m in pattern.finditer(text):
@@ -287,21 +285,150 @@ def feistel(n: int, length: int, secret: bytes, tweak: bytes = b"", back: bool =
     return a * low + b
 
 
+# Kinds of numbers with rules of their own: what a number's letters and digits look
+# like, the places that are permuted, and what the check characters must be.
+
+
+def _check_es(x: str) -> str:
+    return "TRWAGMYFPDXBNJZSQVHLCKE"[int(x.translate(str.maketrans("XYZ", "012"))) % 23]
+
+
+def _check_fr(x: str) -> str:
+    return f"{97 - int(x.replace('2A', '19').replace('2B', '18')) % 97:02d}"
+
+
+def _check_zh(x: str) -> str:
+    return "10X98765432"[sum(int(c) * pow(2, 17 - i, 11) for i, c in enumerate(x)) % 11]
+
+
+def _check_snils(x: str) -> str:
+    n = sum(int(c) * (9 - i) for i, c in enumerate(x)) % 101
+    return f"{n % 100:02d}"
+
+
+def _check_ja(x: str) -> str:
+    n = sum(int(c) * (k + 1 if k <= 6 else k - 5) for k, c in enumerate(reversed(x), 1)) % 11
+    return str(0 if n <= 1 else 11 - n)
+
+
+def _check_inn(x: str) -> str:
+    one = sum(int(c) * w for c, w in zip(x, (7, 2, 4, 10, 3, 5, 9, 4, 6, 8))) % 11 % 10
+    two = sum(int(c) * w for c, w in zip(x + str(one), (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8))) % 11 % 10
+    return f"{one}{two}"
+
+
+def _birth(x: str) -> bool:
+    try:
+        date(int(x[:4]), int(x[4:6]), int(x[6:8]))
+    except ValueError:
+        return False
+    return True
+
+
+def _always(x: str) -> bool:
+    return True
+
+
+#: name: (pattern of letters and digits; group 1 stays, group 2 is permuted, what follows are check characters), check, rule of the two groups.
+SCHEMES = {
+    "es_dni": (re.compile(r"()(\d{8})[A-Z]"), _check_es, _always),
+    "es_nie": (re.compile(r"([XYZ])(\d{7})[A-Z]"), _check_es, _always),
+    "fr_nir": (re.compile(r"([12]\d\d(?:0[1-9]|1[0-2])(?:\d\d|2[AB]))(\d{6})\d\d"), _check_fr, _always),
+    "zh_id": (re.compile(r"(\d{6})(\d{11})[\dX]"), _check_zh, lambda x: x[6:8] in ("19", "20") and _birth(x[6:14])),
+    "ru_snils": (re.compile(r"()(\d{9})\d\d"), _check_snils, _always),
+    "ru_inn": (re.compile(r"()(\d{10})\d\d"), _check_inn, _always),
+    "ja_number": (re.compile(r"()(\d{11})\d"), _check_ja, _always),
+    "us_ssn": (re.compile(r"()(\d{9})"), lambda x: "", lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"),
+}
+
+
+def validated(value: str) -> str | None:
+    """The kind of an identity number whose check digits and ranges hold; None if it is of no known kind or wrong."""
+    chars = "".join(c for c in value.upper() if c.isalnum() and c.isascii())
+    for name, (pattern, check, rule) in SCHEMES.items():
+        m = pattern.fullmatch(chars)
+        if m and m[1] + m[2] + check(m[1] + m[2]) == chars and rule(m[1] + m[2]):
+            return name
+    return None
+
+
+def laid(value: str, chars: str) -> str:
+    """chars in the places of value's ASCII letters and digits."""
+    new = iter(chars)
+    return "".join(next(new) if c.isalnum() and c.isascii() else c for c in value)
+
+
 def pseudonym(value: str, kind: str, secret: bytes, back: bool = False) -> str:
     """value with its digits permuted and its layout kept; equal digits give equal digits in any layout.
 
+    A valid identity number becomes a valid one of its kind: the permutation is
+    walked on until the kind's rule holds, and the check characters are made anew.
     A country code written with + stays. Fewer than two digits stay as they are.
     """
+    scheme = validated(value) if kind == "id_number" else None
+    if scheme:
+        pattern, check, _ = SCHEMES[scheme]
+        m = pattern.fullmatch("".join(c for c in value.upper() if c.isalnum() and c.isascii()))
+        x = m[2]
+        while True:
+            x = str(feistel(int(x), len(x), secret, (scheme + m[1]).encode(), back)).zfill(len(x))
+            out = laid(value, m[1] + x + check(m[1] + x))
+            if validated(out) == scheme:  # not by chance of a kind that is tried before
+                return out
     keep = re.match(r"\(?\+\d{1,3}", value)
     start = keep.end() if keep and kind == "phone" else 0
     digits = [c for c in value[start:] if c in "0123456789"]
     if len(digits) < 2:
         return value
-    new = iter(str(feistel(int("".join(digits)), len(digits), secret, kind.encode(), back)).zfill(len(digits)))
-    return value[:start] + "".join(next(new) if c in "0123456789" else c for c in value[start:])
-
-
-def date_pseudonym(d: date, secret: bytes, first: date = date(1900, 1, 1), last: date = date(2099, 12, 31), back: bool = False) -> date:
+    x = "".join(digits)
+    while True:
+        x = str(feistel(int(x), len(x), secret, kind.encode(), back)).zfill(len(x))
+        new = iter(x)
+        out = value[:start] + "".join(next(new) if c in "0123456789" else c for c in value[start:])
+        if kind != "id_number" or not validated(out):  # what is valid belongs to the permutation of valid ones
+            return out
+
+
+# The months' names.
+MONTHS = {
+    "en": "January February March April May June July August September October November December",
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "ru": "января февраля марта апреля мая июня июля августа сентября октября ноября декабря",
+}
+_MONTHS = {k: v.split() for k, v in MONTHS.items()}
+_NAMES = "|".join(sorted({m for v in _MONTHS.values() for m in v}, key=len, reverse=True))
+_Y, _M, _D = r"(?P<y>(?:19|20)\d\d)", r"(?P<m>\d{1,2})", r"(?P<d>\d{1,2})"
+DATES = [
+    re.compile(rf"(?<![\w.-]){_Y}(?P<s>[-/.]){_M}(?P=s){_D}(?![\w-]|\.\d)"),
+    re.compile(rf"(?<![\w./-]){_D}(?P<s>[-/.]){_M}(?P=s){_Y}(?![\w-]|\.\d)"),
+    re.compile(rf"(?<!\d){_Y}年{_M}月{_D}日"),
+    re.compile(rf"(?<![\w.]){_D}\.? (?:de )?(?P<n>{_NAMES})(?: de)? {_Y}(?!\w)", re.I),
+    re.compile(rf"(?<!\w)(?P<n>{_NAMES}) {_D}(?:st|nd|rd|th)?,? {_Y}(?!\w)", re.I),
+]
+FIRST, LAST = date(1900, 1, 1), date(2099, 12, 31)
+
+
+def date_of(m: re.Match) -> tuple[date, str | None] | None:
+    """(the date, the language of its month's name) of a match; None if the calendar has no such date.
+
+    Of two numbers, the first is the day unless only the second can be one.
+    """
+    g = m.groupdict()
+    lang, month = None, g.get("m")
+    if g.get("n"):
+        lang = next(k for k, v in _MONTHS.items() if g["n"].lower() in map(str.lower, v))
+        month = [x.lower() for x in _MONTHS[lang]].index(g["n"].lower()) + 1
+    for a, b in ((int(month), int(g["d"])), *([(int(g["d"]), int(month))] if g.get("m") and m.start("d") < m.start("m") else [])):
+        try:
+            return date(int(g["y"]), a, b), lang
+        except ValueError:
+            continue
+    return None
+
+
+def date_pseudonym(d: date, secret: bytes, first: date = FIRST, last: date = LAST, back: bool = False) -> date:
     """A keyed permutation of the dates from first to last (cycle walking)."""
     size = (last - first).days + 1
     n, length = (d - first).days, len(str(size))
@@ -311,17 +438,51 @@ def date_pseudonym(d: date, secret: bytes, first: date = date(1900, 1, 1), last:
             return first + timedelta(days=n)
 
 
-def masked(text: str, mentions: list[tuple[str, int, int]], secret: bytes) -> str:
+def date_text(m: re.Match, secret: bytes, back: bool = False) -> str | None:
+    """The match with its date permuted, in its own layout and language; None if it is no date."""
+    got = date_of(m)
+    if not got:
+        return None
+    d, lang = date_pseudonym(got[0], secret, back=back), got[1]
+    parts = {"y": f"{d.year:04d}", "d": f"{d.day:02d}" if m["d"][0] == "0" or len(m["d"]) == 2 else str(d.day)}
+    if lang:
+        name = _MONTHS[lang][d.month - 1]
+        parts["n"] = name.upper() if m["n"].isupper() and len(m["n"]) > 1 else name.capitalize() if m["n"][0].isupper() else name.lower()
+    else:
+        parts["m"] = f"{d.month:02d}" if m["m"][0] == "0" or len(m["m"]) == 2 else str(d.month)
+    out, at = [], m.start()
+    for k in sorted(parts, key=m.start):
+        out += [m.string[at : m.start(k)], parts[k]]
+        at = m.end(k)
+    return "".join(out) + m.string[at : m.end()]
+
+
+def dates(text: str | None, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, re.Match]]:
+    """('date', start, end, match) of the dates that touch none of the mentions taken."""
+    out: list[tuple[str, int, int, re.Match]] = []
+    for p in DATES if text else ():
+        for m in p.finditer(text):
+            a, b = m.span()
+            if date_of(m) and all(y <= a or x >= b for _, x, y, *_ in taken) and all(y <= a or x >= b for _, x, y, _ in out):
+                out.append(("date", a, b, m))
+    return out
+
+
+def masked(text: str, mentions: list[tuple[str, int, int]], secret: bytes) -> tuple[str, int]:
+    """(text with placeholders, their number): mentions and dates as ``[KIND:pseudonym or tag]``."""
     out, at = [], 0
-    for kind, a, b in mentions:
+    every = sorted([*((*m, None) for m in mentions), *dates(text, mentions)], key=lambda x: x[1])
+    for kind, a, b, m in every:
         value = text[a:b]
         if kind in ("phone", "id_number"):
             new = pseudonym(value, kind, secret)
+        elif kind == "date":
+            new = date_text(m, secret)
         else:
-            new = hmac.new(secret, (kind + "|" + " ".join(value.lower().split())).encode(), hashlib.sha256).hexdigest()[:8]
+            new = hmac.new(secret, (kind + "|" + " ".join(value.lower().split())).encode(), hashlib.sha256).hexdigest()[:16]
         out += [text[at:a], f"[{kind.upper()}:{new}]"]
         at = b
-    return "".join(out) + text[at:]
+    return "".join(out) + text[at:], len(every)
 
 
 def mask(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text", lang: str = "lang", least: int = 4, most_names: int = MOST_NAMES) -> DataFrame:
@@ -335,8 +496,9 @@ def mask(docs: DataFrame, secret: bytes, key: str = "doc_id", text: str = "text"
             texts, counts = [], []
             for t, g, own in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 got = (whole if own is None else Finder(own)).mentions(t, g)
-                texts.append(masked(t, got, secret) if t else t)
-                counts.append(len(got))
+                new, n = masked(t, got, secret) if t else (t, 0)
+                texts.append(new)
+                counts.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["key", "text", "n_mentions"])
 
     return rows.mapInArrow(run, f"key {kt}, text string, n_mentions int").withColumnRenamed("key", key)

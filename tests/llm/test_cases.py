@@ -528,6 +528,80 @@ def test_date_pseudonyms_come_back(d):
     assert dt.date(1900, 1, 1) <= x <= dt.date(2099, 12, 31) and personal.date_pseudonym(x, b"k", back=True) == d
 
 
+VALID = {"es_dni": "12345678-Z", "es_nie": "X1234567L", "fr_nir": "2 55 08 14 168 025 38", "zh_id": "11010519491231002X", "ru_snils": "112-233-445 95", "ru_inn": "500100732259", "ja_number": "1234 5678 9018", "us_ssn": "219-09-9999"}
+
+
+@pytest.mark.parametrize("kind,value", sorted(VALID.items()))
+def test_valid_numbers_become_valid_numbers(kind, value):
+    assert personal.validated(value) == kind
+    new = personal.pseudonym(value, "id_number", b"k")
+    assert new != value and personal.validated(new) == kind and [c.isalnum() for c in new] == [c.isalnum() for c in value]
+    assert personal.pseudonym(new, "id_number", b"k", back=True) == value
+    plain = "".join(c for c in value if c.isalnum())
+    assert personal.pseudonym(plain, "id_number", b"k") == "".join(c for c in new if c.isalnum())  # linked in any layout
+    wrong = value[:-1] + ("1" if value[-1] != "1" else "2") if kind != "us_ssn" else "919-09-9999"
+    assert personal.validated(wrong) != kind
+    bad = personal.pseudonym(wrong, "id_number", b"k")
+    assert personal.validated(bad) == personal.validated(wrong) and personal.pseudonym(bad, "id_number", b"k", back=True) == wrong
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.from_regex(r"[A-Z]?\d{6,14}[A-Z]?", fullmatch=True))
+def test_identity_numbers_come_back(value):
+    new = personal.pseudonym(value, "id_number", b"s")
+    assert len(new) == len(value) and personal.pseudonym(new, "id_number", b"s", back=True) == value
+
+
+DATES = ["2014-03-07", "7.3.2014", "07/03/2014", "2014年3月7日", "7 March 2014", "March 7, 2014", "7. März 2014", "7 mars 2014", "7 de marzo de 2014", "7 марта 2014", "7 MARCH 2014"]
+
+
+def test_dates_are_permuted_in_their_layout():
+    news = set()
+    for t in DATES:
+        text, n = personal.masked(f"Born on {t}, he said.", [], b"k")
+        got = re.fullmatch(r"Born on \[DATE:(.*)\], he said\.", text)
+        m = next(m for p in personal.DATES if (m := p.fullmatch(got[1])))
+        assert n == 1 and re.sub(r"[^\W\d_]+|\d+", "x", got[1]) == re.sub(r"[^\W\d_]+|\d+", "x", t)
+        news.add(personal.date_of(m)[0])
+        assert personal.date_of(next(x for p in personal.DATES if (x := p.fullmatch(personal.date_text(m, b"k", back=True)))))[0] == dt.date(2014, 3, 7)
+    assert news == {personal.date_pseudonym(dt.date(2014, 3, 7), b"k")}  # equal dates stay linked in all layouts
+    assert personal.masked("Version 2014-13-45, 31.2.2014, 1.2.3.2014, 2014-03-07-1.", [], b"k")[1] == 0
+    assert personal.masked("ID 2014-03-07", [("id_number", 3, 13)], b"k")[0].startswith("ID [ID_NUMBER:")
+
+
+def test_masked_tables_equal_a_recomputation(spark):
+    from conftest import SF
+
+    from tessera.llm import catalog
+
+    found = {}
+    for r in catalog.QUERIES["p10_found"](spark, SF).collect():
+        found.setdefault(r.doc_id, []).append((r.kind, r.char_start, r.char_end))
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    key, tags, n_dates = b"a secret that the caller keeps", {}, 0
+    for r in catalog.QUERIES["p10_masked"](spark, SF).collect():
+        t = texts[r.doc_id]
+        if not t:
+            assert r.text == t and r.n_mentions == 0
+            continue
+        spots = sorted([*found.get(r.doc_id, []), *(x[:3] for x in personal.dates(t, found.get(r.doc_id, [])))], key=lambda x: x[1])
+        pattern, at = "", 0
+        for _, a, b in spots:
+            pattern += re.escape(t[at:a]) + r"\[([A-Z_]+):([^\]]*)\]"
+            at = b
+        m = re.fullmatch(pattern + re.escape(t[at:]), r.text, re.S)  # all else is unchanged
+        assert m and r.n_mentions == len(spots)
+        for k, (kind, a, b) in enumerate(spots):
+            assert m[2 * k + 1] == kind.upper()
+            value, new = " ".join(t[a:b].lower().split()), m[2 * k + 2]
+            if kind in ("phone", "id_number"):
+                assert personal.pseudonym(new, kind, key, back=True) == t[a:b]
+            elif kind != "date":
+                assert tags.setdefault((kind, value), new) == new and len(new) == 16
+            n_dates += kind == "date"
+    assert len(set(tags.values())) == len(tags) > 50  # equal values are linked, others apart
+
+
 def test_feistel_permutes():
     for n in (2, 3):
         assert sorted(personal.feistel(i, n, b"k") for i in range(10**n)) == list(range(10**n))
@@ -546,6 +620,12 @@ def test_personal_rows(spark):
     assert personal.find(df.limit(0)).count() == 0
 
 
+def test_names_are_learned_from_labels(spark):
+    rows = [(i, f"Report done. Reviewer: Fenna {x}. Role: When {x} lost it, we came.", "en", "s") for i, x in enumerate(["Aaa", "Bbb", "Ccc", "Ddd"])]
+    rows += [(10 + i, f"Contact: Ulla {x}\nRole: When {x} lost it, we came.", "en", "s") for i, x in enumerate(["Aaa", "Bbb", "Ccc", "Ddd"])]
+    assert {r.given for r in personal.given_names(docs(spark, rows)).collect()} == {"Fenna", "Ulla"}
+
+
 def test_learned_names_match_in_any_case_in_both_branches(spark):
     rows = [(1, "We met Fenna Aaa and then Fenna Bbb, with Fenna Ccc or Fenna Ddd.", "en", "s"), (2, "to Ulla Aaa, of Ulla Bbb, by Ulla Ccc, for Ulla Ddd.", None, "s"), (3, "Then FENNA Lee came.", "en", "s"), (4, "ULLA LEE left.", "en", "s")]
     df = docs(spark, rows)
