@@ -1,26 +1,32 @@
 """Main content of web pages by inferred site wrappers (problem 4).
 
 Method: union-free regular-expression inference over the line streams of each
-site. Lines are aligned by their tokens, with numbers and the site's own name as
-text slots; where whole lines don't match, a second round aligns them with runs
-of capitalised words as slots too. What aligns on most pages is a fixed token of
-the site's wrapper; one that is missing on some pages is an optional group; a
-token after which several unmatched title-like lines stand, page after page, opens
-a repeated group. What stays unmatched is a slot. The alignment is counted, not
-done page against page: how often a token stands on the pages of the sites that
-use it is the same in any order of pages, combines before the shuffle and bears
-sites of any size. Tokens are pooled over sites, so a site with one page is
-aligned with the wrappers of the others.
-
-A wrapper token stands on a large part (``FIXED``) of its sites' pages, each site
-counting by its pages, but by ``WEIGHT`` at most; or surely (``SURE``) on that part
-of the own site's pages, and then for this site only. Headings that articles share
-(a summary, open questions) stand on many sites, but on few pages of each, and stay
-in the article. A rarer line is an optional group of its own site's wrapper if it
-stands, nearly wherever it stands, in a gap of at most ``GAP`` lines between fixed
-tokens or the ends of the page; a heading has its article after it. The article is
-what lies in the slots, without the optional and repeated groups, user comments and
-notes on authors.
+host, in three steps. Lines are read as tokens, with numbers and the site's own
+name as text slots; a second token has runs of capitalised words as slots too.
+
+Support. A token can only align with other pages if it stands on them, and belongs
+to the frame only if it stands on a large part (``FIXED``) of the pages: of its
+sites together, each site counting by its pages, but by ``WEIGHT`` at most, so that
+a site of one page is read by the frames of the others; or surely (``SURE``) of the
+own site's, and then for this site only. Headings that articles share stand on
+many sites, but on few pages of each, and stay text.
+
+Alignment. The streams of a host's pages are folded into one expression: the
+tokens both sides have in the same order (a longest common subsequence) are
+matched; a token that one side lacks becomes optional; one that a page repeats
+becomes repeated; one that stands elsewhere keeps its place and is counted as
+moved; what matches nothing is a text slot after the token before it. Each task
+folds its own pages, and the partial expressions of a host, small and one a task,
+are aligned with each other in a tree, so a host with a third of all pages is no
+single task. A slot in which several title-like lines stand page after page is a
+repeated group (teasers); by the host's own pages, or by those of all hosts where
+it has few. A rarer line that nearly wherever it stands is in a gap of at most
+``GAP`` lines between tokens is an optional group of its host.
+
+Matching. Each page is aligned with its host's expression. What is matched is frame,
+as is what stands in repeated and optional groups. A token out of its place is text
+if it surely keeps its place on the host's pages (all but ``MOVES`` of them). The article is what lies in the text slots,
+without user comments and notes on authors.
 
 Defined cases: null and empty texts have no line; rows with a null id are
 ignored; of repeated deliveries the latest counts; pages without domain and host
@@ -31,11 +37,12 @@ empty has no article.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.repeats import site
@@ -61,7 +68,16 @@ _INNER = re.compile(r"[^\W\d_A-Z]{3}[.!?][\"”»“]? \S|[。！？].")
 _DATA = re.compile(r"[(（][^()（）]*[,、][^()（）]*[)）]$")
 _SEP = re.compile(r"\s*[·|>/｜»•]\s*")
 
+#: Characters of scripts without blanks: about three make a word.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u3040-\u30ff\u3400-\u9fff]")
+
 OPEN, PROSE, LIST, RUN, USER, NOTE, TITLE = range(7)
+#: Elements of every expression: the begin of the page, and a line of menu entries in any order.
+BEGIN, MENU = 0, 1
+#: Share of its pages on which an element may be out of its place to be held to it.
+MOVES = 0.02
+#: Occurrences that a site needs for its own evidence on a slot.
+OWN = 8
 
 
 def hashed(s: str) -> int:
@@ -132,7 +148,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(parts) == 1 and 3 <= words <= 24 and kind == OPEN:
                     parts = parts[0].split()
                 rows.append({
-                    "line_no": i, "kind": kind, "words": min(words, 999), "token": hashed(token(raw, name)),
+                    "line_no": i, "kind": kind, "words": min(words + len(_UNSPACED.findall(raw)) // 3, 999), "token": hashed(token(raw, name)),
                     "loose": hashed("user") if kind == USER else loosely(raw, name) if words <= 7 else None,
                     "parts": [hashed(p) for p in parts] if len(parts) > 1 else [],
                 })
@@ -186,9 +202,9 @@ def wrapper_tokens(aligned: DataFrame) -> DataFrame:
     return every.unionByName(own).distinct()
 
 
-def known_lines(pages: DataFrame, tokens: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+def known_lines(pages: DataFrame, tokens: DataFrame) -> DataFrame:
     """(site, id, lines): the pages with the role of each line, its token or the parts of a menu line."""
-    side, _ = broadcast_below(tokens, broadcast_rows)
+    side, _ = broadcast_below(tokens)
     seen = pages.select("site", "id", F.explode("lines").alias("x")).select("site", "id", "x.line_no", "x.words", F.array_compact(F.concat(F.array("x.token", "x.loose"), F.coalesce("x.parts", F.array().cast("array<bigint>")))).alias("all"), "x.token", "x.loose")
     hit = seen.select("site", "id", "line_no", "token", "loose", F.explode("all").alias("k")).join(side.withColumnRenamed("token", "k"), "k").where("at is null or at = site")
     roles = hit.groupBy("id", "line_no").agg(
@@ -207,7 +223,8 @@ def stream(lines: list[dict], roles: list[dict] | None) -> list[dict]:
         role = r["role"] if r else None
         menu = bool(r and len(x["parts"] or ()) >= 2 and sum(p in set(r["parts"]) for p in x["parts"]) >= 0.8 * len(x["parts"]) and x["kind"] in (OPEN, RUN))
         fixed = (role == 9 or menu) and x["kind"] != TITLE
-        out.append({**x, "fixed": fixed, "heading": role == 2 and not fixed})
+        key = None if not fixed else MENU if role != 9 else x["token"] if x["token"] in r["parts"] else x["loose"]
+        out.append({**x, "fixed": fixed, "heading": role == 2 and not fixed, "key": key})
     return out
 
 
@@ -215,62 +232,241 @@ def title_like(x: dict) -> bool:
     return not x["fixed"] and not x["heading"] and x["kind"] in (OPEN, TITLE)
 
 
-def _followers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(site, lines, roles) -> (token, site, seen, open, run), summed by batch.
-
-    Site null: what stands after each fixed token. Else seen is the number of the
-    site's pages that hold the token, not fixed, in a short gap.
-    """
+def in_order(places: list[int]) -> list[int]:
+    """The indexes of a longest increasing subsequence."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(places)
+    for i, p in enumerate(places):
+        k = bisect_left(ends, p)
+        if k:
+            before[i] = last[k - 1]
+        if k == len(ends):
+            ends.append(p)
+            last.append(i)
+        else:
+            ends[k], last[k] = p, i
+    out, i = [], last[-1] if last else -1
+    while i >= 0:
+        out.append(i)
+        i = before[i]
+    return out[::-1]
+
+
+#: What an element counts: pages that have it, that repeat it, on which it moved; its occurrences, those before
+#: title-like lines, the number of these lines; pages with text after it.
+STATS = ("count", "again", "moved", "seen", "open", "run", "text")
+ELEMENTS = "array<struct<key: bigint, " + ", ".join(f"{c}: bigint" for c in STATS) + ", id: string, line_no: int>>"
+_ELEMENT = pa.struct([("key", pa.int64()), *((c, pa.int64()) for c in STATS), ("id", pa.string()), ("line_no", pa.int32())])
+
+
+class Expression:
+    """The wrapper of a host: elements in order, each with its counts and the place of one occurrence."""
+
+    def __init__(self):
+        self.pages = 0
+        self.keys: list[int] = []
+        self.at: dict[int, int] = {}
+        self.counts: dict[int, list] = {}
+
+    def merge(self, keys: list[int], counts: dict[int, list], pages: int) -> None:
+        """Align with another expression: elements in the same order match, the others are kept in between."""
+        common = [i for i, k in enumerate(keys) if k in self.at]
+        matched = {common[i] for i in in_order([self.at[keys[i]] for i in common])}
+        after: dict[int, list[int]] = {}
+        place = -1
+        for i, k in enumerate(keys):
+            new = counts[k]
+            if k not in self.at:
+                after.setdefault(place, []).append(k)
+                self.counts[k] = list(new)
+                continue
+            old = self.counts[k]
+            for j in range(len(STATS)):
+                old[j] += new[j]
+            if new[7:] < old[7:]:
+                old[7:] = new[7:]
+            if i in matched:
+                place = self.at[k]
+            else:
+                old[2] += new[0]
+        if after:
+            order = after.get(-1, [])
+            for p, k in enumerate(self.keys):
+                order.append(k)
+                order += after.get(p, ())
+            self.keys = order
+            self.at = {k: p for p, k in enumerate(order)}
+        self.pages += pages
+
+    def add_page(self, id_: str, s: list[dict]) -> None:
+        keys, counts = [BEGIN], {BEGIN: [1, 0, 0, 1, 0, 0, 0, id_, -1]}
+        here, i, n = counts[BEGIN], 0, len(s)
+        while True:
+            j = i
+            while j < n and title_like(s[j]):
+                j += 1
+            here[4] += j > i
+            here[5] += j - i
+            while j < n and not s[j]["fixed"]:
+                j += 1
+            here[6] |= j > i
+            if j == n:
+                break
+            x = s[j]
+            here = counts.get(x["key"])
+            if here is None:
+                keys.append(x["key"])
+                here = counts[x["key"]] = [1, 0, 0, 0, 0, 0, 0, id_, x["line_no"]]
+            else:
+                here[1] = 1
+            here[3] += 1
+            i = j + 1
+        self.merge(keys, counts, 1)
+
+    def rows(self) -> list[dict]:
+        names = ("key", *STATS, "id", "line_no")
+        return [dict(zip(names, (k, *self.counts[k]))) for k in self.keys]
+
+    def add_rows(self, rows: list[dict], pages: int) -> None:
+        self.merge([r["key"] for r in rows], {r["key"]: [*(r[c] for c in STATS), r["id"], r["line_no"]] for r in rows}, pages)
+
+
+FOLDED = f"site string, part long, pages long, elements {ELEMENTS}, token long, seen long"
+
+
+def _folded(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.int64(), pa.list_(_ELEMENT), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["site", "part", "pages", "elements", "token", "seen"])
+
+
+def _fold(held: int = 200_000):
+    """(site, id, lines, roles) -> a partial expression for each site of the task, and the number of pages (token
+    set) on which a line that is no token stands in a short gap. What is held is passed on beyond ``held`` elements."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        part = context.partitionId() if context else 0
+        sites: dict[str, Expression] = {}
+        for batch in batches:
+            gaps: dict[tuple, int] = {}
+            for site_, id_, lines, roles in zip(*(c.to_pylist() for c in batch.columns)):
+                s = stream(lines, roles)
+                fixed = [-1, *(i for i, x in enumerate(s) if x["fixed"]), len(s)]
+                for t in {x["token"] for a, b in zip(fixed, fixed[1:]) if 1 < b - a <= GAP + 1 and b - a <= len(s) for x in s[a + 1 : b] if not x["heading"] and x["kind"] != TITLE}:
+                    gaps[site_, t] = gaps.get((site_, t), 0) + 1
+                e = sites.get(site_)
+                if e is None:
+                    e = sites[site_] = Expression()
+                e.add_page(id_, s)
+            if gaps:
+                yield _folded([(k[0], None, None, None, k[1], n) for k, n in gaps.items()])
+            if sum(len(e.keys) for e in sites.values()) > held:
+                yield _folded([(k, part, e.pages, e.rows(), None, None) for k, e in sites.items()])
+                sites = {}
+        if sites:
+            yield _folded([(k, part, e.pages, e.rows(), None, None) for k, e in sites.items()])
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial expressions (site, part, pages, elements) sorted by site and part -> one for each."""
+    now, e = None, Expression()
     for batch in batches:
-        stats: dict[tuple, list[int]] = {}
-        for site_, lines, roles in zip(*(c.to_pylist() for c in batch.columns)):
-            s = stream(lines, roles)
-            fixed = [-1, *(i for i, x in enumerate(s) if x["fixed"]), len(s)]
-            short = {x["token"] for a, b in zip(fixed, fixed[1:]) if 1 < b - a <= GAP + 1 and b - a <= len(s) for x in s[a + 1 : b] if not x["heading"] and x["kind"] != TITLE}
-            for t in short:
-                stats.setdefault((t, site_), [0, 0, 0])[0] += 1
-            for i, x in enumerate(s):
-                if x["fixed"]:
-                    j = i + 1
-                    while j < len(s) and title_like(s[j]):
-                        j += 1
-                    e = stats.setdefault((x["token"], None), [0, 0, 0])
-                    e[0] += 1
-                    e[1] += j > i + 1
-                    e[2] += j - i - 1
-        if stats:
-            k, v = list(zip(*stats)), list(zip(*stats.values()))
-            yield pa.RecordBatch.from_arrays([pa.array(k[0], pa.int64()), pa.array(k[1], pa.string()), *(pa.array(c, pa.int64()) for c in v)], names=["token", "site", "seen", "open", "run"])
+        out = []
+        for site_, part, pages, elements in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            if (site_, part) != now:
+                if now:
+                    out.append((*now, e.pages, e.rows(), None, None))
+                now, e = (site_, part), Expression()
+            e.add_rows(elements, pages)
+        if out:
+            yield _folded(out)
+    if now:
+        yield _folded([(*now, e.pages, e.rows(), None, None)])
+
+
+def expressions(folded: DataFrame, fan: int = 64) -> DataFrame:
+    """(site, pages, elements): one expression a site, its partial ones aligned ``fan`` at a time and those again."""
+    e = folded.where("elements is not null")
+    parts = (e.agg(F.max("part")).first()[0] or 0) + 1
+    while True:
+        up = F.floor(F.col("part") / fan) if parts > fan else F.lit(0).cast("long")
+        first = F.element_at("elements", 1)["id"]
+        e = e.select("site", up.alias("part"), "pages", "elements", first.alias("first")).repartition("site", "part").sortWithinPartitions("site", "part", "first")
+        e = materialise(e.select("site", "part", "pages", "elements").mapInArrow(_merge, FOLDED), "expressions")
+        if parts <= fan:
+            return e.select("site", "pages", "elements")
+        parts = -(-parts // fan)
+
+
+def with_slots(expressions: DataFrame) -> DataFrame:
+    """(site, pages, elements, groups): groups are the elements after which a repeated group stands.
+
+    Title-like lines follow nearly always, and several: by the site's own pages, or where the element stands
+    less than ``OWN`` times there, by those of all sites.
+    """
+    one = expressions.select("site", F.explode("elements").alias("x")).select("site", "x.key", "x.seen", "x.open", "x.run").where(F.col("key") != BEGIN)
+    every = one.groupBy("key").agg(*(F.sum(c).alias("all_" + c) for c in ("seen", "open", "run")))
+    opens = lambda p: (F.col(p + "open") >= 0.8 * F.col(p + "seen")) & (F.col(p + "run") >= 1.6 * F.col(p + "seen"))
+    known = one.join(every, "key").where(F.when(F.col("seen") >= OWN, opens("")).otherwise((F.col("all_seen") >= 3) & opens("all_")))
+    groups = known.groupBy("site").agg(F.collect_list("key").alias("groups"))
+    return expressions.join(groups, "site", "left").select("site", "pages", "elements", F.coalesce("groups", F.array().cast("array<bigint>")).alias("groups"))
 
 
-def followers(pages: DataFrame) -> DataFrame:
-    stats = pages.select("site", "lines", "roles").mapInArrow(_followers, "token long, site string, seen long, open long, run long")
-    return stats.groupBy("token", "site").agg(F.sum("seen").alias("seen"), F.sum("open").alias("open"), F.sum("run").alias("run")).where("seen >= 3")
+def optional_groups(known: DataFrame, folded: DataFrame) -> DataFrame:
+    """(id, optional): of each page the lines that nearly always stand in a short gap of their site's wrapper, on 5 pages at least."""
+    total = folded.where("token is not null").groupBy("site", "token").agg(F.sum("seen").alias("seen")).where("seen >= 5")
+    gaps, _ = broadcast_below(materialise(total, "followers"))
+    held = materialise(known.select("site", "id", F.explode(F.array_distinct("lines.token")).alias("token")).join(gaps, ["site", "token"]), "gaps")
+    kept, _ = broadcast_below(materialise(held.groupBy("site", "token", "seen").agg(F.count("*").alias("n")).where("seen >= 0.9 * n").select("site", "token"), "optional"))
+    return held.join(kept, ["site", "token"]).groupBy("id").agg(F.collect_set("token").alias("optional"))
 
 
-def group_openers(total: DataFrame) -> DataFrame:
-    """(token): fixed tokens that open a repeated group: title-like lines follow nearly always, and several."""
-    return total.where(F.col("site").isNull() & (F.col("open") >= 0.8 * F.col("seen")) & (F.col("run") >= 1.6 * F.col("seen"))).select("token")
+class Wrapper:
+    """A host's expression, ready to be matched: places of its elements, those that move, those that open groups."""
 
+    def __init__(self, keys: list[int], moved: list[bool], groups: list[int]):
+        self.at = {k: i for i, k in enumerate(keys)}
+        self.floating = {k for k, m in zip(keys, moved) if m}
+        self.groups = set(groups)
 
-def optional_groups(known: DataFrame, total: DataFrame) -> DataFrame:
-    """(id, optional): of each page the lines that nearly always stand in a short gap of their site's wrapper, on 5 pages at least."""
-    gaps, _ = broadcast_below(total.where("site is not null and seen >= 5").select("site", "token", "seen"), 500_000)
-    held = materialise(known.select("site", "id", F.explode(F.array_distinct("lines.token")).alias("token")).join(gaps, ["site", "token"]), "gaps")
-    kept, _ = broadcast_below(materialise(held.groupBy("site", "token", "seen").agg(F.count("*").alias("n")).where("seen >= 0.9 * n").select("site", "token"), "optional"), 500_000)
-    return held.join(kept, ["site", "token"]).groupBy("id").agg(F.collect_set("token").alias("optional"))
+    def match(self, s: list[dict]) -> None:
+        """Take the fixed mark from the lines that are out of their place though they surely keep it elsewhere."""
+        fixed = [x for x in s if x["fixed"]]
+        known = [x for x in fixed if x["key"] in self.at and x["key"] not in self.floating]
+        first: dict[int, dict] = {}
+        for x in known:
+            first.setdefault(x["key"], x)  # repetitions go with the first
+        line = list(first.values())
+        kept = {line[i]["key"] for i in in_order([self.at[x["key"]] for x in line])}
+        for x in known:
+            if x["key"] not in kept:
+                x["fixed"] = False
 
 
 def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, lines, roles, openers, optional) -> (source_id, line_no) of the article's lines."""
+    """(id, lines, roles, optional, site, keys, moved, groups) -> (source_id, line_no) of the article's lines."""
+    known: dict[str, Wrapper] = {}
     for batch in batches:
         ids, nos = [], []
-        for id_, lines, roles, openers, optional in zip(*(c.to_pylist() for c in batch.columns)):
-            opens, extra = set(openers or ()), set(optional or ())
+        cols = [batch.column(i).to_pylist() for i in range(5)]
+        for n, (id_, lines, roles, optional, site_) in enumerate(zip(*cols)):
+            w = known.get(site_)
+            if w is None:
+                if len(known) > 2_000:
+                    known.clear()
+                w = known[site_] = Wrapper(*(batch.column(i)[n].as_py() or [] for i in (5, 6, 7)))
+            extra = set(optional or ())
+            s = stream(lines, roles)
+            w.match(s)
             inside = False
-            for x in stream(lines, roles):
+            for x in s:
                 if x["fixed"]:
-                    inside = x["token"] in opens
+                    inside = x["key"] in w.groups
                 elif x["token"] in extra and x["kind"] != TITLE or inside and title_like(x) and x["kind"] != TITLE:
                     pass  # an optional group, or an element of the repeated group
                 else:
@@ -281,63 +477,43 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(nos, pa.int32())], names=["source_id", "line_no"])
 
 
-def _labelled(sources: DataFrame) -> DataFrame:
-    """(site, id, lines, roles, openers, optional) of every page with text."""
+def _inferred(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pages with the roles of their lines, folded, expressions with slots)."""
     pages = materialise(page_tokens(sources), "tokens")
     tokens = materialise(wrapper_tokens(alignment(pages)), "wrapper")
     known = materialise(pages.join(known_lines(pages, tokens), "id", "left"), "known")
-    total = materialise(followers(known), "followers")
-    openers, _ = broadcast_below(group_openers(total), 500_000)
-    used = known.select("id", F.explode("lines.token").alias("token")).join(openers, "token").groupBy("id").agg(F.collect_set("token").alias("openers"))
-    return known.join(used, "id", "left").join(optional_groups(known, total), "id", "left").select("site", "id", "lines", "roles", "openers", "optional")
+    folded = materialise(known.select("site", "id", "lines", "roles").mapInArrow(_fold(), FOLDED), "folded")
+    return known, folded, materialise(with_slots(expressions(folded)), "slots")
 
 
-def article_lines(sources: DataFrame) -> DataFrame:
-    """(source_id, line_no) of the non-blank lines of each page's article."""
-    return _labelled(sources).select("id", "lines", "roles", "openers", "optional").mapInArrow(_label, "source_id string, line_no int")
+def _at_most(m: Column, n: Column) -> Column:
+    """The upper Wilson bound of m / n."""
+    z2 = SURE * SURE
+    return (m + z2 / 2 + SURE * F.sqrt(m * (n - m) / n + z2 / 4)) / (n + z2)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(site, id, lines, roles, openers, optional) -> a row for each fixed token of a page, and one (token null) for its slots."""
-    for batch in batches:
-        out = []
-        for site_, id_, lines, roles, openers, optional in zip(*(c.to_pylist() for c in batch.columns)):
-            s, opens, extra, seen, free = stream(lines, roles), set(openers or ()), set(optional or ()), {}, []
-            for i, x in enumerate(s):
-                if x["fixed"] or x["token"] in extra and x["kind"] != TITLE:
-                    key = x["token"] if x["loose"] is None else x["loose"]
-                    e = seen.setdefault(key, [i / len(s), 0, x["line_no"], False])
-                    e[1] += 1
-                    e[3] |= x["token"] in opens
-                else:
-                    free.append(i / len(s))
-            out += [(site_, id_, t, at, n > 1, opens_, no) for t, (at, n, no, opens_) in seen.items()]
-            if free:
-                out.append((site_, id_, None, sorted(free)[len(free) // 2], len(free) > 1, False, None))
-        if out:
-            types = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.bool_(), pa.bool_(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["site", "id", "token", "at", "again", "opens", "line_no"])
+def article_lines(sources: DataFrame) -> DataFrame:
+    """(source_id, line_no) of the non-blank lines of each page's article."""
+    known, folded, inferred = _inferred(sources)
+    moves = F.transform("elements", lambda x: _at_most(x["moved"], x["count"]) > MOVES)
+    slim, _ = broadcast_below(inferred.select("site", F.col("elements.key").alias("keys"), moves.alias("moved"), "groups"))
+    rows = known.join(optional_groups(known, folded), "id", "left").join(slim, "site")
+    return rows.select("id", "lines", "roles", "optional", "site", "keys", "moved", "groups").mapInArrow(_label, "source_id string, line_no int")
 
 
 def wrappers(sources: DataFrame) -> DataFrame:
-    """(site, pages, wrapper): each site's wrapper as a union-free expression.
+    """(site, pages, wrapper): each site's wrapper as a union-free expression, as article_lines matches it.
 
-    Tokens stand in the order of their mean place, each as one of its lines; ``( )?`` is a token that some
-    pages lack, ``( )+`` one that a page repeats, ``#TEXT`` a slot, ``(#TEXT)+``
-    after a token the group it opens. A row per site holds its tokens, which are
-    those of one page frame, not of its pages.
+    Elements stand in the order of the alignment, each as one of its lines; ``( )?`` is one that some
+    pages lack, ``( )+`` one that a page repeats, ``#TEXT`` a text slot, ``(#TEXT)+`` a repeated group.
     """
-    labelled = materialise(_labelled(sources), "labelled")
-    places = labelled.mapInArrow(_places, "site string, id string, token long, at double, again boolean, opens boolean, line_no int")
-    size = labelled.groupBy("site").agg(F.count("*").alias("pages"))
-    each = places.groupBy("site", "token").agg(F.count("*").alias("n"), F.avg("at").alias("at"), F.max("again").alias("again"), F.max("opens").alias("opens"), F.min(F.struct("id", "line_no")).alias("where"))
-    each = materialise(each, "each").select("site", "token", "n", "at", "again", "opens", F.col("where.id").alias("id"), F.col("where.line_no").alias("line_no"))
+    _, _, inferred = _inferred(sources)
+    e = inferred.select("site", "pages", "groups", F.posexplode("elements").alias("at", "x")).select("site", "pages", "at", "x.*", F.array_contains("groups", F.col("x.key")).alias("opens"))
+    e = materialise(e, "elements")
     text = latest(sources, "id", "updated_at").select(F.col("id").cast("string").alias("id"), F.col("text_raw").alias("t"))
-    named = each.where("token is not null").join(text, "id").withColumn("word", F.trim(F.split("t", "\n")[F.col("line_no")]))
-    all_ = named.select("site", "n", "at", "again", "opens", "word").unionByName(each.where("token is null").select("site", "n", "at", F.lit(False).alias("again"), "opens", F.lit("#TEXT").alias("word")))
-    e = all_.join(size, "site")
-    part = F.when(F.col("again"), F.concat(F.lit("("), "word", F.lit(")+"))).otherwise(F.col("word"))
-    part = F.when(F.col("n") < F.col("pages"), F.concat(F.lit("("), part, F.lit(")?"))).otherwise(part)
-    part = F.concat(part, F.when(F.col("opens"), F.lit(" (#TEXT)+")).otherwise(F.lit("")))
-    g = e.groupBy("site").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list(F.struct("at", part.alias("p")))).alias("x"))
-    return g.select("site", "pages", F.array_join("x.p", " ").alias("wrapper"))
+    named = e.join(text, "id", "left").withColumn("word", F.when(F.col("key") == BEGIN, "").otherwise(F.trim(F.split("t", "\n")[F.col("line_no")])))
+    part = F.when(F.col("again") > 0, F.concat(F.lit("("), "word", F.lit(")+"))).otherwise(F.col("word"))
+    part = F.when(F.col("count") < F.col("pages"), F.concat(F.lit("("), part, F.lit(")?"))).otherwise(part)
+    slot = F.when(F.col("opens"), " (#TEXT)+").when(F.col("text") > 0, " #TEXT").otherwise("")
+    g = named.groupBy("site").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list(F.struct("at", F.concat(part, slot).alias("p")))).alias("x"))
+    return g.select("site", "pages", F.trim(F.array_join("x.p", " ")).alias("wrapper"))

@@ -307,6 +307,68 @@ def test_rare_lines_between_wrapper_lines_are_optional_groups(spark):
     assert len(left_in(spark, rows, "Our view")) == 6
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.permutations(range(8)))
+def test_longest_common_order(places):
+    got = [places[i] for i in boilerplate.in_order(places)]
+    assert got == sorted(got) and len(got) == max(n for n in range(9) for c in itertools.combinations(places, n) if list(c) == sorted(c))
+
+
+def expression(*pages):
+    e = boilerplate.Expression()
+    for i, page in enumerate(pages):
+        s = [{"fixed": x.isupper(), "key": ord(x) if x.isupper() else None, "kind": boilerplate.OPEN if x == "t" else boilerplate.PROSE, "heading": False, "line_no": k} for k, x in enumerate(page)]
+        e.add_page(f"p{i}", s)
+    return e
+
+
+def test_mismatches_become_options_repetitions_and_slots():
+    e = expression("AxBC", "AxxC", "ABCttDttD", "CDtt")
+    assert "".join(map(chr, e.keys[1:])) == "ABCD" and e.pages == 4
+    c = {chr(k): dict(zip(boilerplate.STATS, v)) for k, v in e.counts.items()}
+    assert [c[k]["count"] for k in "ABCD"] == [3, 2, 4, 2] and c["D"]["again"] == 1 and c["D"]["seen"] == 3
+    assert c["A"]["text"] == 2 and c["B"]["text"] == 0 and c["C"]["open"] == 1 and c["C"]["run"] == 2 and c["D"]["run"] == 4
+    assert {chr(k): v[2] for k, v in expression("ABC", "ABC", "CAB").counts.items() if k and v[2]} == {"C": 1}
+
+
+def test_partial_expressions_align_as_their_pages_do():
+    pages = ["AxBC", "ABxD", "AxCD", "BCtD", "ABCD"] * 3
+    whole = expression(*pages)
+    parts = [expression(*pages[i : i + 4]) for i in range(0, len(pages), 4)]
+    e = boilerplate.Expression()
+    for p in parts:
+        e.add_rows(p.rows(), p.pages)
+    same = lambda x: {k: v[:2] + v[3:7] for k, v in x.counts.items()}  # noqa: E731 - what moved depends on the order found first
+    assert e.keys == whole.keys and e.pages == whole.pages and same(e) == same(whole)
+
+
+def test_expressions_are_merged_in_a_tree(spark):
+    rows = [r for k in range(3) for r in site_pages(f"small{chr(97 + k)}.org", 20, lambda i: (["Menu"] if i % 2 else [], ["Share", "Share"]))]
+    _, folded, one = boilerplate._inferred(sources(spark, rows).repartition(7))
+    tree = {r.site: (r.pages, {(x.key, x["count"], x.again, x.seen) for x in r.elements}) for r in boilerplate.expressions(folded, fan=2).collect()}
+    assert tree == {r.site: (r.pages, {(x.key, x["count"], x.again, x.seen) for x in r.elements}) for r in one.collect()} and {n for n, _ in tree.values()} == {20}
+    text = {r.site: r.wrapper for r in boilerplate.wrappers(sources(spark, rows)).collect()}
+    assert text["smalla.org"] == "Home #TEXT (Menu)? #TEXT (Share)+ Back to top"  # where there is no menu, the text follows at once
+
+
+def test_what_is_out_of_a_sure_place_is_text(spark):
+    rows = site_pages("sure.org", 1000, lambda i: (["Our picks"], []))
+    rows[7] = (*rows[7][:4], rows[7][4].replace("Our picks\n", "").replace("Back to top", "Back to top\nLast words of it are here. They end.\nOur picks"))
+    assert left_in(spark, rows, "Our picks") == {"sure.org/7"}
+    moving = site_pages("moving.org", 1000, lambda i: (["Our picks"], []) if i % 2 else ([], ["Our picks"]))
+    assert not left_in(spark, moving, "Our picks")
+
+
+def test_teasers_of_scripts_without_blanks(spark):
+    rows = []
+    for k in range(6):
+        for i in range(12):
+            own = "".join(chr(0x4E00 + int(c)) for c in str(i * 7919 + k * 31 + 104729))
+            rows.append((f"{k}/{i}", f"ja{k}.org", f"http://ja{k}.org/x", None, f"ホーム\n{own}の話\n{own}が終わった。次の話{own}が始まった。\nあわせて読みたい\n月浦の長い計測装置の話、計画なしに（第{i}回）\n若潮の長い聞き取りの記録、開館の前に（第{i}回）\nもどる"))
+    got = {(r.source_id, r.line_no) for r in boilerplate.article_lines(sources(spark, rows)).collect()}
+    assert got == {(r[0], n) for r in rows for n in (1, 2)}
+
+
 def test_cut_passages(spark):
     text = "The first sentence stands here. The second costs 38.7 percent more, said Dr. Who in York. A third one\n- a list line without mark\nThe fourth sentence is cut off in the mid"
     src = spark.createDataFrame([("s", text, 1), ("gone", None, 1)], "id string, text string, cut int")
