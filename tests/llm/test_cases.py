@@ -352,7 +352,7 @@ def test_expressions_are_merged_in_a_tree(spark):
 
 
 def test_what_is_out_of_a_sure_place_is_text(spark):
-    rows = site_pages("sure.org", 1000, lambda i: (["Our picks"], []))
+    rows = site_pages("sure.org", 1000, lambda i: (["Our picks"], ["Legal"]))
     rows[7] = (*rows[7][:4], rows[7][4].replace("Our picks\n", "").replace("Back to top", "Back to top\nLast words of it are here. They end.\nOur picks"))
     assert left_in(spark, rows, "Our picks") == {"sure.org/7"}
     moving = site_pages("moving.org", 1000, lambda i: (["Our picks"], []) if i % 2 else ([], ["Our picks"]))
