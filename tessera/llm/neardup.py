@@ -1,18 +1,22 @@
 """Records that say almost the same (problem 3).
 
-Method: a multi-index Hamming join. The signature of a text has 32 lanes of
-minimum hashes over its word shingles; b = 128 bits of it (4 of each lane) are
-compared. The lanes are cut into 8 chunks of 4. By the pigeonhole principle two
-signatures that differ in at most 15 lanes have a chunk with at most one
-differing lane; all ways to leave out one lane of a chunk are enumerated (32
-keys a text), so every pair within lane distance 15 meets under some key. Pairs
-that meet are compared by signature and survivors by their exact shingle sets.
-
-Lanes differ with probability 1 - s at similarity s. The chance that a pair
-meets under no key is 0.6 % at s = 0.6, 0.1 % at 0.65 and below 0.02 % from 0.7.
-
-A key that more than ``hot`` classes share is worked on in blocks, two at a time,
-in tasks of their own.
+Method: a multi-index Hamming join. The signature of a text has 36 lanes of
+minimum hashes over its word shingles; two signatures are near if they differ in
+at most ``FAR`` = 23 lanes. The lanes are cut into 12 chunks of 3. By the
+pigeonhole principle two signatures that differ in at most 12 * 2 - 1 = 23 lanes
+have a chunk with at most one differing lane; all ways to leave out one lane of a
+chunk are enumerated (36 keys a text), so every pair under the threshold meets
+under some key: none is left to chance. Pairs that meet are compared by a code of
+4 bits a lane, which never calls a near pair far, and survivors by their exact
+shingle sets.
+
+Lanes differ with probability 1 - s at similarity s. The chance that a pair is
+beyond the threshold of the signatures is 0.1 % at s = 0.6, below 0.01 % at 0.65.
+
+A key that more than ``hot`` classes share isn't searched pair by pair: its classes
+are joined by the prefixes of their shingle sets, rarest shingles first, which
+finds all their pairs exactly; only texts that share a rare shingle, have the
+sizes and enough shingles left to be similar are met.
 
 Texts with the same words are one class: keys are emitted once a class and
 batch, so a text copied a million times costs no more than one copy. Keys and
@@ -37,13 +41,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import components
-from tessera.runtime import broadcast_below, materialise
+from tessera.runtime import broadcast_below, materialise, parts_for, written_bytes
 
 WORD = re.compile(r"[^\W_]+")
-LANES, CHUNKS, SPAN = 32, 8, 4
-#: Lanes that must agree in 4 bits for a pair to be looked at exactly: 3.6
-#: standard deviations below the mean at similarity 0.6.
-AGREE = 10
+LANES, CHUNKS, SPAN = 36, 12, 3
+#: Lanes in which near signatures differ at most: one less than two in every chunk.
+FAR = 2 * CHUNKS - 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # public finalizer constants
 
 
@@ -121,11 +124,15 @@ def keys_of(lanes: np.ndarray) -> np.ndarray:
     return np.stack(keys)
 
 
-def packed(lanes: np.ndarray) -> np.ndarray:
-    """(texts, 2) words of 64 bits with 4 bits of each lane."""
+def packed(lanes: np.ndarray) -> list[np.ndarray]:
+    """4 bits of each lane, in two words of 64 bits and one of 16."""
     low = mixed(lanes) & np.uint64(15)
-    half = [sum((low[h * 16 + i] << np.uint64(4 * i) for i in range(16)), np.zeros(lanes.shape[1], np.uint64)) for h in (0, 1)]
-    return np.stack(half, axis=1)
+    zero = np.zeros(lanes.shape[1], np.uint64)
+    words = [sum((low[i] << np.uint64(4 * k) for k, i in enumerate(range(h, min(h + 16, LANES)))), zero) for h in range(0, LANES, 16)]
+    return [words[0], words[1], words[2].astype(np.uint16)]
+
+
+_ROW = np.dtype([("k", "<u4"), ("c", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u2")])
 
 
 def _signatures(size: int, ranges: int):
@@ -151,11 +158,13 @@ def _signatures(size: int, ranges: int):
             lanes, c, spaces = lanes[:, one], cls[one], spaces[one]
             keys = mixed(keys_of(lanes) + spaces * _PLACE[42]).ravel()
             sig = packed(lanes)
-            rows = np.zeros(len(keys), dtype=[("k", "<u4"), ("c", "<u8"), ("s0", "<u8"), ("s1", "<u8")])
+            rows = np.zeros(len(keys), dtype=_ROW)
             part = ((keys >> np.uint64(32)) % np.uint64(ranges)).astype(np.int32)
             rows["k"] = keys.astype(np.uint32)
             tile = CHUNKS * SPAN
-            rows["c"], rows["s0"], rows["s1"] = np.tile(c, tile), np.tile(sig[:, 0], tile), np.tile(sig[:, 1], tile)
+            rows["c"] = np.tile(c, tile)
+            for name, x in zip(("s0", "s1", "s2"), sig):
+                rows[name] = np.tile(x, tile)
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
@@ -168,23 +177,18 @@ def _signatures(size: int, ranges: int):
     return run
 
 
-_ROW = np.dtype([("k", "<u4"), ("c", "<u8"), ("s0", "<u8"), ("s1", "<u8")])
 _NIBBLE = np.uint64(0x1111111111111111)
 
 
 def _differing(x: np.ndarray) -> np.ndarray:
-    y = x | (x >> np.uint64(1))
-    y = (y | (y >> np.uint64(2))) & _NIBBLE
+    y = x | (x >> x.dtype.type(1))
+    y = (y | (y >> x.dtype.type(2))) & x.dtype.type(int(_NIBBLE) & np.iinfo(x.dtype).max)
     return np.bitwise_count(y)
 
 
-def _far(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray) -> np.ndarray:
-    return _differing(x0 ^ y0) + _differing(x1 ^ y1)
-
-
 def _meet(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Class pairs of rows (sorted, distinct) under one key whose signatures agree enough."""
-    k, c, s0, s1 = rows["k"].copy(), rows["c"].copy(), rows["s0"].copy(), rows["s1"].copy()
+    """Class pairs of rows (sorted, distinct) under one key whose codes differ in no more than FAR lanes."""
+    k, c, *codes = (rows[x].copy() for x in ("k", "c", "s0", "s1", "s2"))
     at = np.arange(len(k) - 1)
     step = 1
     while len(at):
@@ -192,14 +196,13 @@ def _meet(rows: np.ndarray) -> Iterator[np.ndarray]:
         at = at[k[at] == k[at + step]]
         if not len(at):
             return
-        ok = at[_far(s0[at], s1[at], s0[at + step], s1[at + step]) <= LANES - AGREE]
+        ok = at[sum(_differing(s[at] ^ s[at + step]) for s in codes) <= FAR]
         if len(ok):
             yield np.stack([c[ok], c[ok + step]], axis=1)
         step += 1
 
 
-MET = "a long, b long, key long, s0 long, s1 long"
-_MET = ["a", "b", "key", "s0", "s1"]
+MET = "a long, b long"
 
 
 def _pair_batches(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -207,14 +210,13 @@ def _pair_batches(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         ab = np.unique(np.sort(np.concatenate(got), axis=1), axis=0)
         for i in range(0, len(ab), 100_000):
             p = ab[i : i + 100_000].copy().view(np.int64)
-            none = pa.nulls(len(p), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), none, none, none], names=_MET)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
 
 def _pairs(hot: int):
-    """Rows sorted by part -> class pairs; rows of keys with more than ``hot`` classes are passed on instead."""
+    """Rows sorted by part -> class pairs (a, b); the classes of keys that more than ``hot`` share are passed on instead (b null)."""
 
-    def flush(part: int, blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def flush(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(blocks), dtype=_ROW)
         rows = rows[np.lexsort((rows["c"], rows["k"]))]
         k, c = rows["k"], rows["c"]
@@ -222,72 +224,135 @@ def _pairs(hot: int):
         _, inverse, n = np.unique(rows["k"], return_inverse=True, return_counts=True)
         crowded = n[inverse] > hot
         yield from _pair_batches(list(_meet(rows[~crowded])))
-        big = rows[crowded]
+        big = np.unique(rows["c"][crowded]).view(np.int64)
         for i in range(0, len(big), 100_000):
             r = big[i : i + 100_000]
-            key = (np.int64(part) << np.int64(32)) | r["k"].astype(np.int64)
-            cols = [r["c"].copy().view(np.int64), None, key, r["s0"].copy().view(np.int64), r["s1"].copy().view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64()) if x is None else pa.array(x) for x in cols], names=_MET)
+            yield pa.RecordBatch.from_arrays([pa.array(r), pa.nulls(len(r), pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
         for batch in batches:
             for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if p != part and blocks:
-                    yield from flush(part, blocks)
+                    yield from flush(blocks)
                     blocks = []
                 part = p
                 blocks.append(b)
         if blocks:
-            yield from flush(part, blocks)
+            yield from flush(blocks)
 
     return run
 
 
-def _blocks_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, lo, hi, side, a, s0, s1) sorted by the first three: two blocks of a key against each other."""
-
-    def flush(rows: list[tuple[np.ndarray, ...]], same: bool) -> Iterator[pa.RecordBatch]:
-        side, c, s0, s1 = (np.concatenate(x) for x in zip(*rows))
-        c, s0, s1 = c.view(np.uint64), s0.view(np.uint64), s1.view(np.uint64)
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        got = []
-        for i, x in enumerate(left):
-            y = right[i + 1 :] if same else right
-            ok = y[_far(s0[x], s1[x], s0[y], s1[y]) <= LANES - AGREE]
-            if len(ok):
-                got.append(np.stack([np.full(len(ok), c[x], np.uint64), c[ok]], axis=1))
+def _blocks_meet(threshold: float):
+    """Rows (token, lo, hi, side, cls, n, at) sorted by the first three and n -> class pairs that can be similar.
+
+    n is the size of a class's set, at the token's place in it. A pair can only be similar if the smaller set is
+    large enough, and what follows the token too. Rows with lo = hi meet among themselves, others the other side.
+    """
+    share = threshold / (1 + threshold)
+
+    def near(n: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return 1 + np.minimum(n[x] - at[x], n[y] - at[y]) >= share * (n[x] + n[y]) - 1e-9
+
+    def meet(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        token, lo, hi, side, c, n, at = cols
+        got, held = [], 0
+        x = np.arange(len(token) - 1)
+        step = 1
+        while len(x):
+            x = x[x + step < len(token)]
+            y = x + step
+            x = x[(token[x] == token[y]) & (lo[x] == lo[y]) & (hi[x] == hi[y]) & (n[x] >= threshold * n[y] - 1e-9)]
+            y = x + step
+            ok = near(n, at, x, y) & ((lo[x] == hi[x]) | (side[x] != side[y]))
+            if ok.any():
+                got.append(np.stack([c[x[ok]], c[y[ok]]], axis=1).view(np.uint64))
+                held += int(ok.sum())
+                if held > 1_000_000:
+                    yield from _pair_batches(got)
+                    got, held = [], 0
+            step += 1
         yield from _pair_batches(got)
 
-    now, rows = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None
+        for batch in batches:
+            cols = [batch.column(i).to_numpy() for i in range(7)]
+            if rest is not None:
+                cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
+            new = np.flatnonzero(np.any([np.diff(x) != 0 for x in cols[:3]], axis=0))
+            cut = new[-1] + 1 if len(new) else 0  # the last group may go on
+            if cut:
+                yield from meet([x[:cut] for x in cols])
+            rest = [x[cut:].copy() for x in cols]
+        if rest is not None and len(rest[0]):
+            yield from meet(rest)
+
+    return run
+
+
+#: Buckets by which shingles are counted where prefixes are ordered: a bound of what is brought to the driver and the tasks.
+BUCKETS = 1 << 21
+
+
+def _bucket(tokens: np.ndarray) -> np.ndarray:
+    return (tokens.view(np.uint64) >> np.uint64(43)).astype(np.int64)
+
+
+def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingles packed) -> (bucket, n), summed by task."""
+    n = np.zeros(BUCKETS, np.int64)
     for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(7)]
-        cuts = [0, *(np.flatnonzero(np.any([np.diff(x) != 0 for x in cols[:3]], axis=0)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            if a == b:
-                continue
-            it = tuple(int(x[a]) for x in cols[:3])
-            if it != now and rows:
-                yield from flush(rows, now[1] == now[2])
-                rows = []
-            now = it
-            rows.append(tuple(x[a:b].copy() for x in cols[3:]))
-    if rows:
-        yield from flush(rows, now[1] == now[2])
-
-
-def crowded_pairs(rows: DataFrame, hot: int) -> DataFrame:
-    """The pairs of keys that too many classes share: each key's classes are cut into
-    blocks of about ``hot``, and every two blocks meet in a task of their own. No
-    pair is left out, and no task holds more than two blocks."""
-    size = F.broadcast(rows.groupBy("key").agg(F.ceil(F.count("*") / hot).cast("int").alias("cut")))  # one row for each ``hot`` rows at most
-    r = rows.join(size, "key").withColumn("own", F.pmod(F.xxhash64("a"), F.col("cut")).cast("int"))
+        packed_sets = batch.column(0).to_pylist()
+        if packed_sets:
+            n += np.bincount(_bucket(np.frombuffer(b"".join(packed_sets), np.int64)), minlength=BUCKETS)
+    some = np.flatnonzero(n)
+    for i in range(0, len(some), 100_000):
+        k = some[i : i + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n[k])], names=["bucket", "n"])
+
+
+def _prefixes(threshold: float, counts):
+    """(cls, shingles packed) -> (token, cls, n, at): the first shingles of each set, rarest first, that another set can have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = counts.value
+        for batch in batches:
+            out = []
+            for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                t = np.frombuffer(x, np.int64)
+                df = many[_bucket(t)]
+                order = np.lexsort((t, df))[: len(t) - int(np.ceil(len(t) * threshold - 1e-9)) + 1]
+                at = np.flatnonzero(df[order] > 1)
+                out.append((t[order[at]], np.full(len(at), c), np.full(len(at), len(t)), at + 1))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["token", "cls", "n", "at"])
+
+    return run
+
+
+def crowded_pairs(sets: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """(a, b): pairs of classes (cls, shingles packed) that can reach the threshold; none that does is missing.
+
+    Each set is put in order of how rare its shingles are (counted by bucket: any order that is the same for all
+    sets is right); two sets of that similarity share one of their first n - ceil(threshold * n) + 1. A shingle
+    that more than ``hot`` classes have there is cut into blocks that meet two by two in tasks of their own.
+    """
+    spark = sets.sparkSession
+    n = np.zeros(BUCKETS, np.int64)
+    got = sets.select("shingles").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    n[got["bucket"].to_numpy()] = got["n"].to_numpy()
+    counts = spark.sparkContext.broadcast(np.minimum(n, 2**31 - 1).astype(np.int32))
+    prefix = materialise(sets.mapInArrow(_prefixes(threshold, counts), "token long, cls long, n long, at long"), "prefixes")
+    often = materialise(prefix.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("token", F.ceil(F.col("k") / hot).cast("int").alias("cut")), "often")
+    side, _ = broadcast_below(often)
+    r = prefix.join(side, "token", "left").withColumn("cut", F.coalesce("cut", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("cut")).cast("int"))
     r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    r = r.select("key", lo.alias("lo"), hi.alias("hi"), F.when(F.col("own") == lo, 0).otherwise(1).alias("side"), "a", "s0", "s1")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return r.repartition(n, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_blocks_meet, MET)
+    r = r.select("token", lo.alias("lo"), hi.alias("hi"), F.when(F.col("own") == lo, 0).otherwise(1).alias("side"), "cls", "n", "at")
+    parts = parts_for(spark, 2 * written_bytes(prefix))
+    return r.repartition(parts, "token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n").mapInArrow(_blocks_meet(threshold), MET)
 
 
 def _sets(size: int):
@@ -324,31 +389,32 @@ def _verify(threshold: float):
     return run
 
 
-def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int = 2_000_000, broadcast_rows: int = 1_000_000, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
+def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int = 2_000_000, hot: int = 1024) -> tuple[DataFrame, DataFrame]:
     """(members, links) of items (space int, id string, text string).
 
     members: (space, id, cls), one row per item with words. links: (a, b,
     similarity), one row per pair of different classes at or above the threshold.
     """
     spark = items.sparkSession
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = items.count()
-    ranges = max(shuffles, -(-n * CHUNKS * SPAN // key_rows))
+    ranges = parts_for(spark, items.count() * CHUNKS * SPAN * _ROW.itemsize, key_rows * _ROW.itemsize)
     made = items.mapInArrow(_signatures(size, ranges), "part int, space int, id string, cls long, block binary")
     made = materialise(made, "signatures")
     members = made.where("part is null").select("space", "id", "cls")
     blocks = made.where("part is not null").select("part", "block")
     first = materialise(blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairs(hot), MET), "first")
-    met = first.where("key is null").select("a", "b")
-    crowded = first.where("key is not null").select("key", "a", "s0", "s1")
+
+    def sets_of(classes: DataFrame) -> DataFrame:
+        """(cls, shingles) of each class, from one of its members."""
+        reps = materialise(members.join(classes, "cls").groupBy("cls").agg(F.min(F.struct("space", "id")).alias("r")).select("cls", "r.space", "r.id"), "reps")
+        side, _ = broadcast_below(reps)
+        return materialise(items.join(side, ["space", "id"]).select("cls", "text").mapInArrow(_sets(size), "cls long, shingles binary"), "sets")
+
+    met = first.where("b is not null")
+    crowded = materialise(first.where("b is null").select(F.col("a").alias("cls")).distinct(), "crowded")
     if crowded.limit(1).count():
-        met = met.unionByName(crowded_pairs(crowded, hot).select("a", "b"))
+        met = met.unionByName(crowded_pairs(sets_of(crowded), threshold, hot))
     met = materialise(met.distinct(), "met")
-    wanted = met.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    reps = materialise(members.join(wanted, "cls").groupBy("cls").agg(F.min(F.struct("space", "id")).alias("r")).select("cls", "r.space", "r.id"), "reps")
-    side, _ = broadcast_below(reps, broadcast_rows)
-    sets = items.join(side, ["space", "id"]).select("cls", "text").mapInArrow(_sets(size), "cls long, shingles binary")
-    sets = materialise(sets, "sets")
+    sets = sets_of(met.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     joined = (
         met.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -358,7 +424,7 @@ def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int =
     return members, links
 
 
-def near_pairs(items: DataFrame, size: int = 3, threshold: float = 0.6, hot: int = 4096) -> DataFrame:
+def near_pairs(items: DataFrame, size: int = 3, threshold: float = 0.6, hot: int = 1024) -> DataFrame:
     """(space, id_a, id_b), id_a < id_b: every pair of different ids at or above the threshold."""
     members, links = near_classes(items, size, threshold, hot=hot)
     m = members.distinct()
