@@ -15,8 +15,8 @@ beyond the threshold of the signatures is 0.1 % at s = 0.6, below 0.01 % at 0.65
 
 A key that more than ``hot`` classes share isn't searched pair by pair: its classes
 are joined by the prefixes of their shingle sets, rarest shingles first, which
-finds all their pairs exactly; only texts that share a rare shingle, have the
-sizes and enough shingles left to be similar are met.
+misses none of their pairs; only texts that share a rare shingle, have the sizes
+and enough shingles left to be similar are met, and their codes compared.
 
 Texts with the same words are one class: keys are emitted once a class and
 batch, so a text copied a million times costs no more than one copy. Keys and
@@ -37,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import components
@@ -135,25 +135,36 @@ def packed(lanes: np.ndarray) -> list[np.ndarray]:
 _ROW = np.dtype([("k", "<u4"), ("c", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u2")])
 
 
+def _classes_of(batch: pa.RecordBatch, size: int, known: _WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows with words, their shingle hashes and ends, spaces, classes)."""
+    h, ends, cls = shingle_hashes(batch.column(2).to_pylist(), size, known)
+    some = np.flatnonzero(np.diff(np.concatenate([[0], ends])))
+    spaces = batch.column(0).to_numpy().astype(np.uint64)[some]
+    return some, h, ends[some], spaces, mixed(cls[some] + spaces * _PLACE[41])
+
+
+def _members(size: int):
+    """(space, id, text) -> (space, id, cls) of the texts with words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _WordHash()
+        for batch in batches:
+            some, _, _, _, cls = _classes_of(batch, size, known)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), pa.array(cls.view(np.int64))], names=["space", "id", "cls"])
+
+    return run
+
+
 def _signatures(size: int, ranges: int):
-    """(space, id, text) -> membership rows (part null) and packed key blocks (part set)."""
+    """(space, id, text) -> packed key blocks (part, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            h, ends, cls = shingle_hashes(texts, size, known)
-            n = np.diff(np.concatenate([[0], ends]))
-            some = np.flatnonzero(n)
+            some, h, ends, spaces, cls = _classes_of(batch, size, known)
             if not len(some):
                 continue
-            spaces = batch.column(0).to_numpy().astype(np.uint64)[some]
-            cls = mixed(cls[some] + spaces * _PLACE[41])
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(len(some), pa.int32()), batch.column(0).take(pa.array(some)), batch.column(1).take(pa.array(some)), pa.array(cls.view(np.int64)), pa.nulls(len(some), pa.binary())],
-                names=["part", "space", "id", "cls", "block"],
-            )
-            lanes = lanes_of(h, ends[some])
+            lanes = lanes_of(h, ends)
             _, one = np.unique(cls, return_index=True)
             lanes, c, spaces = lanes[:, one], cls[one], spaces[one]
             keys = mixed(keys_of(lanes) + spaces * _PLACE[42]).ravel()
@@ -168,11 +179,7 @@ def _signatures(size: int, ranges: int):
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-            m = len(cuts) - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cuts[:-1]]), pa.nulls(m, pa.int32()), pa.nulls(m, batch.schema.field(1).type), pa.nulls(m, pa.int64()), pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())],
-                names=["part", "space", "id", "cls", "block"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array([rows[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())], names=["part", "block"])
 
     return run
 
@@ -203,6 +210,8 @@ def _meet(rows: np.ndarray) -> Iterator[np.ndarray]:
 
 
 MET = "a long, b long"
+#: Pairs; or a class of a crowded key (b null) with its code.
+FIRST = MET + ", s0 long, s1 long, s2 long"
 
 
 def _pair_batches(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +223,7 @@ def _pair_batches(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(hot: int):
-    """Rows sorted by part -> class pairs (a, b); the classes of keys that more than ``hot`` share are passed on instead (b null)."""
+    """Rows sorted by part -> class pairs (a, b); the classes of keys that more than ``hot`` share are passed on instead (b null), with their codes."""
 
     def flush(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(blocks), dtype=_ROW)
@@ -223,11 +232,15 @@ def _pairs(hot: int):
         rows = rows[np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])]
         _, inverse, n = np.unique(rows["k"], return_inverse=True, return_counts=True)
         crowded = n[inverse] > hot
-        yield from _pair_batches(list(_meet(rows[~crowded])))
-        big = np.unique(rows["c"][crowded]).view(np.int64)
+        for pairs in _pair_batches(list(_meet(rows[~crowded]))):
+            none = pa.nulls(pairs.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([*pairs.columns, none, none, none], names=["a", "b", "s0", "s1", "s2"])
+        big = rows[crowded]
+        big = big[np.unique(big["c"], return_index=True)[1]]
         for i in range(0, len(big), 100_000):
             r = big[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(r), pa.nulls(len(r), pa.int64())], names=["a", "b"])
+            codes = [pa.array(r[x].astype(np.uint64).view(np.int64)) for x in ("s0", "s1", "s2")]
+            yield pa.RecordBatch.from_arrays([pa.array(r["c"].copy().view(np.int64)), pa.nulls(len(r), pa.int64()), *codes], names=["a", "b", "s0", "s1", "s2"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
@@ -327,7 +340,7 @@ def _prefixes(threshold: float, counts):
                 at = np.flatnonzero(df[order] > 1)
                 out.append((t[order[at]], np.full(len(at), c), np.full(len(at), len(t)), at + 1))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out)], names=["token", "cls", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t)) for x, t in zip(zip(*out), (np.int64, np.int64, np.int32, np.int32))], names=["token", "cls", "n", "at"])
 
     return run
 
@@ -344,7 +357,7 @@ def crowded_pairs(sets: DataFrame, threshold: float, hot: int) -> DataFrame:
     got = sets.select("shingles").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
     n[got["bucket"].to_numpy()] = got["n"].to_numpy()
     counts = spark.sparkContext.broadcast(np.minimum(n, 2**31 - 1).astype(np.int32))
-    prefix = materialise(sets.mapInArrow(_prefixes(threshold, counts), "token long, cls long, n long, at long"), "prefixes")
+    prefix = materialise(sets.mapInArrow(_prefixes(threshold, counts), "token long, cls long, n int, at int"), "prefixes")
     often = materialise(prefix.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("token", F.ceil(F.col("k") / hot).cast("int").alias("cut")), "often")
     side, _ = broadcast_below(often)
     r = prefix.join(side, "token", "left").withColumn("cut", F.coalesce("cut", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("cut")).cast("int"))
@@ -389,19 +402,32 @@ def _verify(threshold: float):
     return run
 
 
-def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int = 2_000_000, hot: int = 1024) -> tuple[DataFrame, DataFrame]:
+def near_codes(pairs: DataFrame, codes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose codes (cls, s0, s1, s2) differ in no more than FAR lanes."""
+    side, _ = broadcast_below(codes)
+    one = lambda k: side.select(F.col("cls").alias(k), *(F.col(x).alias(f"{k}_{x}") for x in ("s0", "s1", "s2")))
+
+    def differing(x: str) -> Column:
+        y = F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))
+        y = y.bitwiseOR(F.shiftrightunsigned(y, 1))
+        return F.bit_count(y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(F.lit(int(_NIBBLE))))
+
+    met = pairs.join(one("a"), "a").join(one("b"), "b")
+    return met.where(differing("s0") + differing("s1") + differing("s2") <= FAR).select("a", "b")
+
+
+def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int = 2_000_000, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(members, links) of items (space int, id string, text string).
 
     members: (space, id, cls), one row per item with words. links: (a, b,
     similarity), one row per pair of different classes at or above the threshold.
     """
     spark = items.sparkSession
-    ranges = parts_for(spark, items.count() * CHUNKS * SPAN * _ROW.itemsize, key_rows * _ROW.itemsize)
-    made = items.mapInArrow(_signatures(size, ranges), "part int, space int, id string, cls long, block binary")
-    made = materialise(made, "signatures")
-    members = made.where("part is null").select("space", "id", "cls")
-    blocks = made.where("part is not null").select("part", "block")
-    first = materialise(blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairs(hot), MET), "first")
+    members = materialise(items.mapInArrow(_members(size), "space int, id string, cls long"), "members")
+    ranges = parts_for(spark, members.count() * CHUNKS * SPAN * _ROW.itemsize, key_rows * _ROW.itemsize)
+    # the blocks, larger than the texts, are shuffled once and not written before
+    blocks = items.mapInArrow(_signatures(size, ranges), "part int, block binary")
+    first = materialise(blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairs(hot), FIRST), "first")
 
     def sets_of(classes: DataFrame) -> DataFrame:
         """(cls, shingles) of each class, from one of its members."""
@@ -409,10 +435,10 @@ def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int =
         side, _ = broadcast_below(reps)
         return materialise(items.join(side, ["space", "id"]).select("cls", "text").mapInArrow(_sets(size), "cls long, shingles binary"), "sets")
 
-    met = first.where("b is not null")
-    crowded = materialise(first.where("b is null").select(F.col("a").alias("cls")).distinct(), "crowded")
+    met = first.where("b is not null").select("a", "b")
+    crowded = materialise(first.where("b is null").select(F.col("a").alias("cls"), "s0", "s1", "s2").dropDuplicates(["cls"]), "crowded")
     if crowded.limit(1).count():
-        met = met.unionByName(crowded_pairs(sets_of(crowded), threshold, hot))
+        met = met.unionByName(near_codes(crowded_pairs(sets_of(crowded.select("cls")), threshold, hot), crowded))
     met = materialise(met.distinct(), "met")
     sets = sets_of(met.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
     joined = (
@@ -424,7 +450,7 @@ def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int =
     return members, links
 
 
-def near_pairs(items: DataFrame, size: int = 3, threshold: float = 0.6, hot: int = 1024) -> DataFrame:
+def near_pairs(items: DataFrame, size: int = 3, threshold: float = 0.6, hot: int = 4096) -> DataFrame:
     """(space, id_a, id_b), id_a < id_b: every pair of different ids at or above the threshold."""
     members, links = near_classes(items, size, threshold, hot=hot)
     m = members.distinct()
