@@ -132,17 +132,27 @@ def packed(lanes: np.ndarray) -> list[np.ndarray]:
     return [words[0], words[1], words[2].astype(np.uint16)]
 
 
-_ROW = np.dtype([("k", "<u4"), ("c", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u2")])
+#: A key with its class, the class's code and how many shingles it has, in sixteenths of a doubling.
+_ROW = np.dtype([("k", "<u4"), ("c", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u2"), ("n", "u1")])
+DOUBLING = 16
 
 
 def _classes_of(batch: pa.RecordBatch, size: int, known: _WordHash) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows with words, their shingle hashes and ends, spaces, classes)."""
+    """(rows with words, their shingle hashes and ends, spaces, classes); texts without words have no shingles."""
     h, ends, cls = shingle_hashes(batch.column(2).to_pylist(), size, known)
     some = np.flatnonzero(np.diff(np.concatenate([[0], ends])))
     spaces = batch.column(0).to_numpy().astype(np.uint64)[some]
     return some, h, ends[some], spaces, mixed(cls[some] + spaces * _PLACE[41])
 
 
+def _distinct(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The number of distinct shingles of each text."""
+    text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    order = np.lexsort((h, text))
+    t, x = text[order], h[order]
+    return np.bincount(t[np.concatenate([[True], (t[1:] != t[:-1]) | (x[1:] != x[:-1])])], minlength=len(ends))
+
+
 def _members(size: int):
     """(space, id, text) -> (space, id, cls) of the texts with words."""
 
@@ -174,6 +184,7 @@ def _signatures(size: int, ranges: int):
             rows["k"] = keys.astype(np.uint32)
             tile = CHUNKS * SPAN
             rows["c"] = np.tile(c, tile)
+            rows["n"] = np.tile(np.minimum(np.rint(DOUBLING * np.log2(_distinct(h, ends)[one])), 255).astype(np.uint8), tile)
             for name, x in zip(("s0", "s1", "s2"), sig):
                 rows[name] = np.tile(x, tile)
             order = np.argsort(part, kind="stable")
@@ -193,9 +204,11 @@ def _differing(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(y)
 
 
-def _meet(rows: np.ndarray) -> Iterator[np.ndarray]:
-    """Class pairs of rows (sorted, distinct) under one key whose codes differ in no more than FAR lanes."""
+def _meet(rows: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
+    """Class pairs of rows (sorted, distinct) under one key whose codes differ in no more than FAR lanes, and of sizes that allow the threshold."""
     k, c, *codes = (rows[x].copy() for x in ("k", "c", "s0", "s1", "s2"))
+    n = rows["n"].astype(np.int16)
+    apart = int(DOUBLING * np.log2(1 / threshold)) + 1  # both are rounded by half a step
     at = np.arange(len(k) - 1)
     step = 1
     while len(at):
@@ -203,7 +216,8 @@ def _meet(rows: np.ndarray) -> Iterator[np.ndarray]:
         at = at[k[at] == k[at + step]]
         if not len(at):
             return
-        ok = at[sum(_differing(s[at] ^ s[at + step]) for s in codes) <= FAR]
+        ok = at[np.abs(n[at] - n[at + step]) <= apart]
+        ok = ok[sum(_differing(s[ok] ^ s[ok + step]) for s in codes) <= FAR]
         if len(ok):
             yield np.stack([c[ok], c[ok + step]], axis=1)
         step += 1
@@ -222,7 +236,7 @@ def _pair_batches(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
 
-def _pairs(hot: int):
+def _pairs(hot: int, threshold: float):
     """Rows sorted by part -> class pairs (a, b); the classes of keys that more than ``hot`` share are passed on instead (b null), with their codes."""
 
     def flush(blocks: list[bytes]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +246,7 @@ def _pairs(hot: int):
         rows = rows[np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])]
         _, inverse, n = np.unique(rows["k"], return_inverse=True, return_counts=True)
         crowded = n[inverse] > hot
-        for pairs in _pair_batches(list(_meet(rows[~crowded]))):
+        for pairs in _pair_batches(list(_meet(rows[~crowded], threshold))):
             none = pa.nulls(pairs.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*pairs.columns, none, none, none], names=["a", "b", "s0", "s1", "s2"])
         big = rows[crowded]
@@ -305,12 +319,28 @@ def _blocks_meet(threshold: float):
     return run
 
 
+#: Bytes of a shingle's hash where sets are compared: a set of a thousand shingles meets a wrong one once in a million pairs.
+BYTES = 5
+
+
+def tight(h: np.ndarray) -> bytes:
+    """The distinct hashes, sorted, ``BYTES`` each."""
+    x = np.unique(h >> np.uint64(64 - 8 * BYTES)).astype("<u8")
+    return x.view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def loose(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(x, np.uint8).reshape(-1, BYTES)
+    return out.reshape(-1).view("<u8")
+
+
 #: Buckets by which shingles are counted where prefixes are ordered: a bound of what is brought to the driver and the tasks.
 BUCKETS = 1 << 21
 
 
 def _bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens.view(np.uint64) >> np.uint64(43)).astype(np.int64)
+    return (tokens >> np.uint64(8 * BYTES - 21)).astype(np.int64)
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +349,7 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         packed_sets = batch.column(0).to_pylist()
         if packed_sets:
-            n += np.bincount(_bucket(np.frombuffer(b"".join(packed_sets), np.int64)), minlength=BUCKETS)
+            n += np.bincount(_bucket(loose(b"".join(packed_sets))), minlength=BUCKETS)
     some = np.flatnonzero(n)
     for i in range(0, len(some), 100_000):
         k = some[i : i + 100_000]
@@ -334,7 +364,7 @@ def _prefixes(threshold: float, counts):
         for batch in batches:
             out = []
             for c, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                t = np.frombuffer(x, np.int64)
+                t = loose(x)
                 df = many[_bucket(t)]
                 order = np.lexsort((t, df))[: len(t) - int(np.ceil(len(t) * threshold - 1e-9)) + 1]
                 at = np.flatnonzero(df[order] > 1)
@@ -376,9 +406,7 @@ def _sets(size: int):
         for batch in batches:
             h, ends, _ = shingle_hashes(batch.column(1).to_pylist(), size, known)
             starts = np.concatenate([[0], ends[:-1]])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([np.unique(h[a:b]).tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["cls", "shingles"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([tight(h[a:b]) for a, b in zip(starts, ends)], pa.binary())], names=["cls", "shingles"])
 
     return run
 
@@ -390,7 +418,7 @@ def _verify(threshold: float):
         for batch in batches:
             keep, sims = [], []
             for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                x, y = loose(x), loose(y)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 s = both / (len(x) + len(y) - both)
                 if s >= threshold:
@@ -427,7 +455,7 @@ def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int =
     ranges = parts_for(spark, members.count() * CHUNKS * SPAN * _ROW.itemsize, key_rows * _ROW.itemsize)
     # the blocks, larger than the texts, are shuffled once and not written before
     blocks = items.mapInArrow(_signatures(size, ranges), "part int, block binary")
-    first = materialise(blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairs(hot), FIRST), "first")
+    first = materialise(blocks.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_pairs(hot, threshold), FIRST), "first")
 
     def sets_of(classes: DataFrame) -> DataFrame:
         """(cls, shingles) of each class, from one of its members."""
