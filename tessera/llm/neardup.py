@@ -1,17 +1,17 @@
 """Records that say almost the same (problem 3).
 
-Method: a multi-index Hamming join. The signature of a text has 36 lanes of
+Method: a multi-index Hamming join. The signature of a text has 30 lanes of
 minimum hashes over its word shingles; two signatures are near if they differ in
-at most ``FAR`` = 23 lanes. The lanes are cut into 12 chunks of 3. By the
-pigeonhole principle two signatures that differ in at most 12 * 2 - 1 = 23 lanes
+at most ``FAR`` = 19 lanes. The lanes are cut into 10 chunks of 3. By the
+pigeonhole principle two signatures that differ in at most 10 * 2 - 1 = 19 lanes
 have a chunk with at most one differing lane; all ways to leave out one lane of a
-chunk are enumerated (36 keys a text), so every pair under the threshold meets
+chunk are enumerated (30 keys a text), so every pair under the threshold meets
 under some key: none is left to chance. Pairs that meet are compared by a code of
 4 bits a lane, which never calls a near pair far, and survivors by their exact
 shingle sets.
 
 Lanes differ with probability 1 - s at similarity s. The chance that a pair is
-beyond the threshold of the signatures is 0.1 % at s = 0.6, below 0.01 % at 0.65.
+beyond the threshold of the signatures is 0.3 % at s = 0.6, 0.04 % at 0.65 and below 0.01 % from 0.7.
 
 A key that more than ``hot`` classes share isn't searched pair by pair: its classes
 are joined by the prefixes of their shingle sets, rarest shingles first, which
@@ -44,7 +44,7 @@ from tessera.operators.graph import components
 from tessera.runtime import broadcast_below, materialise, parts_for, written_bytes
 
 WORD = re.compile(r"[^\W_]+")
-LANES, CHUNKS, SPAN = 36, 12, 3
+LANES, CHUNKS, SPAN = 30, 10, 3
 #: Lanes in which near signatures differ at most: one less than two in every chunk.
 FAR = 2 * CHUNKS - 1
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)  # public finalizer constants
@@ -125,15 +125,14 @@ def keys_of(lanes: np.ndarray) -> np.ndarray:
 
 
 def packed(lanes: np.ndarray) -> list[np.ndarray]:
-    """4 bits of each lane, in two words of 64 bits and one of 16."""
+    """4 bits of each lane, in two words of 64 bits."""
     low = mixed(lanes) & np.uint64(15)
     zero = np.zeros(lanes.shape[1], np.uint64)
-    words = [sum((low[i] << np.uint64(4 * k) for k, i in enumerate(range(h, min(h + 16, LANES)))), zero) for h in range(0, LANES, 16)]
-    return [words[0], words[1], words[2].astype(np.uint16)]
+    return [sum((low[i] << np.uint64(4 * k) for k, i in enumerate(range(h, min(h + 16, LANES)))), zero) for h in range(0, LANES, 16)]
 
 
 #: A key with its class, the class's code and how many shingles it has, in sixteenths of a doubling.
-_ROW = np.dtype([("k", "<u4"), ("c", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("s2", "<u2"), ("n", "u1")])
+_ROW = np.dtype([("k", "<u4"), ("c", "<u8"), ("s0", "<u8"), ("s1", "<u8"), ("n", "u1")])
 DOUBLING = 16
 
 
@@ -185,7 +184,7 @@ def _signatures(size: int, ranges: int):
             tile = CHUNKS * SPAN
             rows["c"] = np.tile(c, tile)
             rows["n"] = np.tile(np.minimum(np.rint(DOUBLING * np.log2(_distinct(h, ends)[one])), 255).astype(np.uint8), tile)
-            for name, x in zip(("s0", "s1", "s2"), sig):
+            for name, x in zip(("s0", "s1"), sig):
                 rows[name] = np.tile(x, tile)
             order = np.argsort(part, kind="stable")
             rows, part = rows[order], part[order]
@@ -206,7 +205,7 @@ def _differing(x: np.ndarray) -> np.ndarray:
 
 def _meet(rows: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
     """Class pairs of rows (sorted, distinct) under one key whose codes differ in no more than FAR lanes, and of sizes that allow the threshold."""
-    k, c, *codes = (rows[x].copy() for x in ("k", "c", "s0", "s1", "s2"))
+    k, c, *codes = (rows[x].copy() for x in ("k", "c", "s0", "s1"))
     n = rows["n"].astype(np.int16)
     apart = int(DOUBLING * np.log2(1 / threshold)) + 1  # both are rounded by half a step
     at = np.arange(len(k) - 1)
@@ -225,7 +224,7 @@ def _meet(rows: np.ndarray, threshold: float) -> Iterator[np.ndarray]:
 
 MET = "a long, b long"
 #: Pairs; or a class of a crowded key (b null) with its code.
-FIRST = MET + ", s0 long, s1 long, s2 long"
+FIRST = MET + ", s0 long, s1 long"
 
 
 def _pair_batches(got: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -248,13 +247,13 @@ def _pairs(hot: int, threshold: float):
         crowded = n[inverse] > hot
         for pairs in _pair_batches(list(_meet(rows[~crowded], threshold))):
             none = pa.nulls(pairs.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*pairs.columns, none, none, none], names=["a", "b", "s0", "s1", "s2"])
+            yield pa.RecordBatch.from_arrays([*pairs.columns, none, none], names=["a", "b", "s0", "s1"])
         big = rows[crowded]
         big = big[np.unique(big["c"], return_index=True)[1]]
         for i in range(0, len(big), 100_000):
             r = big[i : i + 100_000]
-            codes = [pa.array(r[x].astype(np.uint64).view(np.int64)) for x in ("s0", "s1", "s2")]
-            yield pa.RecordBatch.from_arrays([pa.array(r["c"].copy().view(np.int64)), pa.nulls(len(r), pa.int64()), *codes], names=["a", "b", "s0", "s1", "s2"])
+            codes = [pa.array(r[x].astype(np.uint64).view(np.int64)) for x in ("s0", "s1")]
+            yield pa.RecordBatch.from_arrays([pa.array(r["c"].copy().view(np.int64)), pa.nulls(len(r), pa.int64()), *codes], names=["a", "b", "s0", "s1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, blocks = None, []
@@ -431,9 +430,9 @@ def _verify(threshold: float):
 
 
 def near_codes(pairs: DataFrame, codes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose codes (cls, s0, s1, s2) differ in no more than FAR lanes."""
+    """The pairs (a, b) whose codes (cls, s0, s1) differ in no more than FAR lanes."""
     side, _ = broadcast_below(codes)
-    one = lambda k: side.select(F.col("cls").alias(k), *(F.col(x).alias(f"{k}_{x}") for x in ("s0", "s1", "s2")))
+    one = lambda k: side.select(F.col("cls").alias(k), *(F.col(x).alias(f"{k}_{x}") for x in ("s0", "s1")))
 
     def differing(x: str) -> Column:
         y = F.col(f"a_{x}").bitwiseXOR(F.col(f"b_{x}"))
@@ -441,7 +440,7 @@ def near_codes(pairs: DataFrame, codes: DataFrame) -> DataFrame:
         return F.bit_count(y.bitwiseOR(F.shiftrightunsigned(y, 2)).bitwiseAND(F.lit(int(_NIBBLE))))
 
     met = pairs.join(one("a"), "a").join(one("b"), "b")
-    return met.where(differing("s0") + differing("s1") + differing("s2") <= FAR).select("a", "b")
+    return met.where(differing("s0") + differing("s1") <= FAR).select("a", "b")
 
 
 def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int = 2_000_000, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -464,7 +463,7 @@ def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int =
         return materialise(items.join(side, ["space", "id"]).select("cls", "text").mapInArrow(_sets(size), "cls long, shingles binary"), "sets")
 
     met = first.where("b is not null").select("a", "b")
-    crowded = materialise(first.where("b is null").select(F.col("a").alias("cls"), "s0", "s1", "s2").dropDuplicates(["cls"]), "crowded")
+    crowded = materialise(first.where("b is null").select(F.col("a").alias("cls"), "s0", "s1").dropDuplicates(["cls"]), "crowded")
     if crowded.limit(1).count():
         met = met.unionByName(near_codes(crowded_pairs(sets_of(crowded.select("cls")), threshold, hot), crowded))
     met = materialise(met.distinct(), "met")
