@@ -58,7 +58,9 @@ EMAIL = re.compile(
 EMAIL_HINT = ("@", "＠", "dot", "DOT")
 EMAIL_AT = re.compile(r"[(\[{<]\s?at\s?[)\]}>]")
 EMAIL_CAPITAL_AT = re.compile(r"[\s(\[{<]AT[\s)\]}>]")
-ID_HINT = ("ecurity", "SSN", "assport", "ID", "écurité", "asseport", "CNI", "usweis", "Reisepass", "identidad", "DNI", "NIE", "asaporte", "аспорт", "СНИЛС", "ИНН", "身份", "护照", "番号", "マイナンバー")
+#: What each label of an identity number holds, and how far into the label it stands.
+ID_HINT = {"ecurity": 8, "SSN": 0, "assport": 1, "ID": 0, "Steuer": 0, "écurité": 1, "asseport": 1, "CNI": 0, "Personalausweis": 0, "usweis": 1, "Reisepass": 0, "identidad": 13, "DNI": 0, "NIE": 0,
+           "asaporte": 1, "аспорт": 1, "СНИЛС": 0, "ИНН": 0, "身份": 0, "护照": 0, "旅券": 0, "番号": 0, "マイナンバー": 0}
 
 PHONE = re.compile(
     r"(?<![A-Za-z0-9_.@/#+-])(?:"
@@ -109,6 +111,7 @@ ADDRESS_HINT = {
     "ja": ("丁目",),
     "zh": ("号",),
 }
+DE_NUMBER = re.compile(r"(?:gasse|weg|str\.|straße|strasse|platz|allee|ring|ufer|Straße|Weg|Platz|Allee) \d")
 CJK_LEAD = re.compile(r"^(?:住所は|住所|地址|住在|位于|在|至|到|由|于|は|の)")
 
 TITLED = re.compile(rf"(?<![\w])(?:{TITLES})\.? ((?:(?:{WORD}) )??(?:[{_U}]\. ?)*{SURNAME})(?![\w])")
@@ -196,6 +199,21 @@ class Finder:
             for m in ZH_NAME.finditer(text):
                 yield m.span(1)
 
+    @staticmethod
+    def _labels(text: str) -> Iterator[re.Match]:
+        """The matches of ID_WORD in order, tried only where a hint stands."""
+        starts = set()
+        for hint, lead in ID_HINT.items():
+            at = text.find(hint)
+            while at >= 0:
+                starts.add(at - lead)
+                at = text.find(hint, at + 1)
+        end = 0
+        for i in sorted(starts):
+            if i >= end and (m := ID_WORD.match(text, i)):
+                end = m.end()
+                yield m
+
     @staticmethod
     def _initial_fits(text: str, m: re.Match) -> bool:
         """A single initial must not be the end of a sentence or a flat's letter."""
@@ -219,12 +237,11 @@ class Finder:
         if any(h in text for h in EMAIL_HINT) or EMAIL_AT.search(text) or ("AT" in text and EMAIL_CAPITAL_AT.search(text)):
             for m in EMAIL.finditer(text):
                 take("email", *m.span())
-        if any(h in text for h in ID_HINT):
-            for m in ID_WORD.finditer(text):
-                if v := ID_VALUE.match(text, m.end()):
-                    take("id_number", *v.span())
+        for m in self._labels(text):
+            if v := ID_VALUE.match(text, m.end()):
+                take("id_number", *v.span())
         for kind, pattern in ADDRESS.items():
-            if any(h in text for h in ADDRESS_HINT[kind]):
+            if any(h in text for h in ADDRESS_HINT[kind]) and (kind != "de" or DE_NUMBER.search(text)):
                 for m in pattern.finditer(text):
                     a, b = m.span()
                     if kind in ("ja", "zh"):

@@ -664,6 +664,13 @@ def test_masked_tables_equal_a_recomputation(spark):
     assert len(set(tags.values())) == len(tags) > 50  # equal values are linked, others apart
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["Social Security", "social security number", "SSN", "Passport no.", "ID", "ID card", "Steuer-ID", "SteuerID", "sécurité sociale", "passeport", "CNI", "Ausweis", "Ausweisnummer", "Personalausweis", "Reisepass",
+                                 "Documento de identidad", "DNI", "NIE", "pasaporte", "паспорт", "СНИЛС", "ИНН", "身份证号码", "护照号", "旅券番号", "番号", "マイナンバー", " ", "x", "123", ":"]), max_size=12).map("".join))
+def test_labels_are_found_as_the_pattern_finds_them(text):
+    assert [m.span() for m in personal.Finder._labels(text)] == [m.span() for m in personal.ID_WORD.finditer(text)]
+
+
 def test_feistel_permutes():
     for n in (2, 3):
         assert sorted(personal.feistel(i, n, b"k") for i in range(10**n)) == list(range(10**n))
