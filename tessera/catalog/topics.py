@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from tessera.catalog import query
 from tessera.operators import keywords as kw
 from tessera.operators import topics as tp
-from tessera.runtime import materialise, table
+from tessera.runtime import materialise, spread, table
 
 C = F.col
 TERMS = "list_filter(string_split_regex(regexp_replace(lower(text), '[^A-Za-z0-9_ -]', ' ', 'g'), ' +'), lambda x: length(x) between 3 and 20)"
@@ -23,12 +23,16 @@ TF = f"""with occ as (select doc_id as doc, unnest({TERMS}) as term, generate_su
 
 
 def tf(spark: SparkSession, d: str) -> DataFrame:
-    return kw.frequencies(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    docs = table(spark, d, "documents")
+    return kw.frequencies(spread(docs.where("text is not null").select("doc_id", "text"), docs), "doc_id", "text")
 
 
-def weighted(spark: SparkSession, d: str, own: bool = False) -> DataFrame:
+def weighted(spark: SparkSession, d: str, own: bool = False, stop: list[str] | None = None) -> DataFrame:
+    """Weighted terms without stop words: the given ones, or those that the corpus shows."""
     t = materialise(tf(spark, d), "tf")
-    return kw.tf_idf(t, own).join(kw.stop_words(t), "term", "left_anti")
+    df = materialise(kw.document_frequencies(t), "df")
+    words = kw.stop_words(t, df=df) if stop is None else kw.listed(spark, stop)
+    return kw.tf_idf(t, own, df).join(F.broadcast(words), "term", "left_anti")  # at most a few words of each text can stand in so many
 
 
 @query(f"select doc_id, {TERMS} as terms from documents where text is not null", lists=("terms",))
@@ -44,6 +48,15 @@ def key2_stop_words(spark: SparkSession, d: str) -> DataFrame:
 STEM = "case " + " ".join(f"when ends_with(term, '{s}') and length(term) > {len(s) + 2} then substring(term, 1, length(term) - {len(s)})" for s in kw.SUFFIXES) + " when ends_with(term, 's') and length(term) > 3 and not ends_with(term, 'ss') then substring(term, 1, length(term) - 1) else term end"
 
 
+GIVEN = ["the", "and", "for", "with", "of", "was", "that", "this"]
+
+
+@query(TF + f"select doc, term, round(weight, 9) as weight, rank from (select *, row_number() over (partition by doc order by weight desc, n desc, first) as rank from (select tf.*, tf * ln(docs::double / df.df) as weight from tf join df using (term), nd where term not in ({', '.join(repr(x) for x in GIVEN)}))) where rank <= 5")
+def key2_listed_stop_words(spark: SparkSession, d: str) -> DataFrame:
+    """Top terms with a list of stop words given as data."""
+    return kw.top(weighted(spark, d, stop=GIVEN), "weight", 5).select("doc", "term", F.round("weight", 9).alias("weight"), "rank")
+
+
 @query(TF + f"select term, {STEM} as stem from df")
 def key3_stems(spark: SparkSession, d: str) -> DataFrame:
     return tf(spark, d).select("term").distinct().select("term", kw.stem(C("term")).alias("stem"))

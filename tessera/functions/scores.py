@@ -119,18 +119,28 @@ def authority_sql() -> str:
 # Recency. Input columns: title, text, url, age (days).
 
 
-def recency() -> dict[str, Column]:
+def recency_counts() -> dict[str, Column]:
+    """The indicators that recency() needs, each counted once; to be selected before it."""
     all_ = F.concat_ws(" ", F.coalesce("title", F.lit("")), "text", F.coalesce("url", F.lit("")))
-    t, age = F.col("text"), F.col("age")
-    n = {k: indicators(all_, p) for k, p in P.CONTENT_TYPES.items()}
+    t = F.col("text")
+    return {
+        **{f"n_{k}": indicators(all_, p) for k, p in P.CONTENT_TYPES.items()},
+        "n_fresh": indicators(t, P.FRESH), "n_timeless": indicators(t, P.TIMELESS), "n_factual": indicators(t, P.FACTUAL), "n_opinion": indicators(t, P.OPINION),
+    }
+
+
+def recency() -> dict[str, Column]:
+    """kind, decay (from kind) and score (from decay), from recency_counts() and age."""
+    age = F.col("age")
+    n = {k: F.col(f"n_{k}") for k in P.CONTENT_TYPES}
     top = F.greatest(*n.values())
     kind = _when((top == 0, F.lit("reference")), *[(n[k] == top, F.lit(k)) for k in n], other=F.lit("reference"))
     decay = F.lit(0.0)
     for k, (half, most, base) in P.DECAY.items():
         decay = F.when((F.col("kind") == k) & (age < most), F.lit(base) * F.pow(F.lit(0.5), age / F.lit(float(half)))).otherwise(decay)
-    fresh = (indicators(t, P.FRESH) > 0) & (age > 7)
+    fresh = (F.col("n_fresh") > 0) & (age > 7)
     after = F.when(fresh, F.greatest(F.lit(0.0), F.col("decay") - F.least(F.lit(0.4), (age - 7) * 0.02))).otherwise(F.col("decay"))
-    score = clamp(after + F.when(indicators(t, P.TIMELESS) > 0, 0.3 * (1 - F.col("decay"))).otherwise(0.0) + F.when(indicators(t, P.FACTUAL) > indicators(t, P.OPINION), 0.15 * (1 - F.col("decay"))).otherwise(0.0))
+    score = clamp(after + F.when(F.col("n_timeless") > 0, 0.3 * (1 - F.col("decay"))).otherwise(0.0) + F.when(F.col("n_factual") > F.col("n_opinion"), 0.15 * (1 - F.col("decay"))).otherwise(0.0))
     return {"kind": kind, "decay": decay, "score": score}
 
 
@@ -152,7 +162,7 @@ def recency_sql(rows: str) -> str:
 def relevance(topics: list[str], fields: list[str], keywords: list[str]) -> Column:
     t = F.col("text")
     low = F.lower(t)
-    hits = lambda ks, ps: reduce(lambda a, b: a + b, [F.contains(low, F.lit(k.lower())).cast("int") for k in ks] + [fx.matches(low, p if p.startswith("(?i)") else "(?i)" + p if p.islower() else p).cast("int") for p in ps])
+    hits = lambda ks, ps: reduce(lambda a, b: a + b, [F.contains(low, F.lit(k.lower())).cast("int") for k in ks] + [fx.matches(low, p).cast("int") for p in ps])
     direct = F.lit(0.0)
     for k in topics:
         weight, ks, ps = P.TOPICS[k]
@@ -171,7 +181,7 @@ def relevance(topics: list[str], fields: list[str], keywords: list[str]) -> Colu
 
 def relevance_sql(topics: list[str], fields: list[str], keywords: list[str]) -> str:
     low = "lower(text)"
-    hits = lambda ks, ps: "(" + " + ".join([f"contains({low}, '{k.lower()}')::int" for k in ks] + [fx.matches_sql(low, "(?i)" + p if p.islower() else p) + "::int" for p in ps]) + ")"
+    hits = lambda ks, ps: "(" + " + ".join([f"contains({low}, '{k.lower()}')::int" for k in ks] + [fx.matches_sql(low, p) + "::int" for p in ps]) + ")"
     parts = [f"{hits(*P.TOPICS[k][1:])} * {P.TOPICS[k][0]} * 0.1" for k in topics] + [f"{hits(*P.FIELDS[k][1:])} * {P.FIELDS[k][0]} * 0.15" for k in fields] + [f"contains({low}, '{k.lower()}')::int * 0.1" for k in keywords]
     context = "greatest(" + ", ".join("case when " + " or ".join(fx.matches_sql("text", p) for p in ps) + f" then {v} else 0 end" for v, ps in P.CONTEXTS.values()) + ")"
     terms = " + ".join(fx.count_sql("text", p) for p in P.TERMS)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.config import ConfidenceConfig
 from tessera.functions import patterns as P
 from tessera.functions import text as fx
 from tessera.functions.scores import clamp
@@ -43,7 +44,7 @@ def negated(c: Column) -> Column:
     return fx.matches(c, P.NEGATION)
 
 
-def claim_confidence(support: DataFrame) -> DataFrame:
+def claim_confidence(support: DataFrame, config: ConfidenceConfig = ConfidenceConfig()) -> DataFrame:
     """(id, agreement, n_score, quality, recency, score, uncertainty, low, high) from per-claim sums.
 
     support: id, s (supporting), c (conflicting), q_sim (sum of quality x
@@ -53,12 +54,12 @@ def claim_confidence(support: DataFrame) -> DataFrame:
     s, c = F.col("s"), F.col("c")
     n = s + c
     agreement = F.when(n == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.try_divide(s.cast("double"), n) - 0.3 * F.try_divide(c.cast("double"), n)))
-    count = F.when(s == 0, 0.0).when(s >= 10, 1.0).otherwise(F.least(F.lit(1.0), s / F.lit(2.0)))
+    count = F.when(s == 0, 0.0).when(s >= config.most, 1.0).otherwise(F.least(F.lit(1.0), s / F.lit(float(config.least))))
     quality = F.greatest(F.lit(0.0), (F.coalesce(F.try_divide(F.col("q_sim"), F.col("sim")), F.lit(0.0)) - 0.5) / 0.5)
     recency = F.coalesce(F.try_divide(F.col("q_rec"), F.col("q")), F.lit(0.0))
     out = support.select("id", "s", "c", agreement.alias("agreement"), count.alias("n_score"), quality.alias("quality"), recency.alias("recency"))
-    out = out.withColumn("score", clamp(F.col("agreement") * 0.4 + F.col("n_score") * 0.3 + F.col("quality") * 0.2 + F.col("recency") * 0.1))
-    few = F.when(n < 2, 0.3 * (1 - n / F.lit(2.0))).otherwise(0.0)
+    out = out.withColumn("score", clamp(F.col("agreement") * config.agreement + F.col("n_score") * config.count + F.col("quality") * config.quality + F.col("recency") * config.recency))
+    few = F.when(n < config.least, 0.3 * (1 - n / F.lit(float(config.least)))).otherwise(0.0)
     u = F.when(n == 0, 0.5).otherwise(F.least(F.lit(0.5), few + 0.2 * F.try_divide(c.cast("double"), n) + 0.1 * (1 - 2 * F.abs(F.col("score") - 0.5))))
     out = out.withColumn("uncertainty", u)
     return out.withColumn("low", clamp(F.col("score") - 1.96 * F.col("uncertainty"))).withColumn("high", clamp(F.col("score") + 1.96 * F.col("uncertainty")))

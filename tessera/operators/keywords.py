@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -32,27 +32,46 @@ def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, term, n, first, total, tf): term counts, first places and shares in each text."""
-    n = occurrences(docs, key, text).groupBy("doc", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    total = n.groupBy("doc").agg(F.sum("n").alias("total"))
-    return n.join(total, "doc").withColumn("tf", F.col("n") / F.col("total"))
+    """(doc, term, n, first, total, tf): term counts, first places and shares in each text.
+
+    Counted inside each row: its terms are sorted with their places, and runs of
+    equal terms are its counts, so nothing is shuffled. Keys must be unique.
+    """
+    sorted_ = F.array_sort(F.transform(terms(F.col(text)), lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+    rows = docs.select(F.col(key).alias("doc"), sorted_.alias("s")).where(F.size("s") > 0)
+    starts = F.filter(F.sequence(F.lit(0), F.size("s") - 1), lambda i: (i == 0) | (F.get("s", i)["t"] != F.get("s", i - 1)["t"]))
+    rows = rows.select("doc", "s", F.size("s").alias("all"), starts.alias("k"))
+    runs = F.transform("k", lambda i, j: F.struct(
+        F.get("s", i)["t"].alias("term"), (F.coalesce(F.get(F.col("k"), j + 1), F.col("all")) - i).cast("long").alias("n"), F.get("s", i)["i"].alias("first")
+    ))
+    return rows.select("doc", F.col("all").cast("long").alias("total"), F.inline(runs)).select("doc", "term", "n", "first", "total", (F.col("n") / F.col("total")).alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
     return tf.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def stop_words(tf: DataFrame, share: float = 0.2) -> DataFrame:
-    """(term): the terms of more than ``share`` of all texts. The list follows from the corpus, by this rule."""
-    docs = tf.agg(F.count_distinct("doc").alias("docs"))
-    return document_frequencies(tf).crossJoin(F.broadcast(docs)).where(F.col("df") > F.col("docs") * share).select("term")  # one row
+def documents(tf: DataFrame) -> DataFrame:
+    """(docs): the number of texts with terms: in each, one term is the first."""
+    return tf.agg(F.count_if(F.col("first") == 0).alias("docs"))
+
+
+def stop_words(tf: DataFrame, share: float = 0.2, df: DataFrame | None = None) -> DataFrame:
+    """(term): the terms of more than ``share`` of all texts, where no list is given (see ``listed``)."""
+    df = document_frequencies(tf) if df is None else df
+    return df.crossJoin(F.broadcast(documents(tf))).where(F.col("df") > F.col("docs") * share).select("term")  # one row
+
+
+def listed(spark: SparkSession, words: list[str]) -> DataFrame:
+    """(term): a given list of stop words, as data, for those who want the words of another system."""
+    return spark.createDataFrame([(w,) for w in sorted({w.lower() for w in words})], "term string")
 
 
-def tf_idf(tf: DataFrame, self_counted: bool = False) -> DataFrame:
+def tf_idf(tf: DataFrame, self_counted: bool = False, df: DataFrame | None = None) -> DataFrame:
     """tf with (df, docs, weight = tf * ln(docs / df)); ``self_counted`` counts the text itself once more."""
     more = 1 if self_counted else 0
-    docs = tf.agg((F.count_distinct("doc") + more).alias("docs"))
-    df = document_frequencies(tf).withColumn("df", F.col("df") + more)
+    docs = documents(tf).select((F.col("docs") + more).alias("docs"))
+    df = (document_frequencies(tf) if df is None else df).withColumn("df", F.col("df") + more)
     return tf.join(df, "term").crossJoin(F.broadcast(docs)).withColumn("weight", F.col("tf") * F.log(F.col("docs") / F.col("df")))  # one row
 
 

@@ -10,14 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.runtime import latest, table
+from tessera.runtime import latest, spread, table
 
 STATUSES = ["DRAFT", "PENDING_REVIEW", "APPROVED", "REJECTED"]
 
 
 def current(df: DataFrame, stamp: str, key: str = "id") -> DataFrame:
     """The latest delivery of each key; only keys are shuffled, not the rows."""
-    return latest(df, key, stamp)
+    return spread(latest(df, key, stamp), df)
 
 
 def units(spark: SparkSession, d: str) -> DataFrame:

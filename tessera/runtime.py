@@ -157,6 +157,12 @@ def latest(df: DataFrame, key: str, stamp: str, broadcast_bytes: int = BROADCAST
     return single.unionByName(one)
 
 
+def spread(df: DataFrame, scan: DataFrame) -> DataFrame:
+    """df over all cores, if ``scan``, the table it was read from, is so small that fewer tasks read it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
+
+
 def blank(c: Column) -> Column:
     """True for null and for text of white space only."""
     return c.isNull() | F.trim(c).eqNullSafe("")
