@@ -257,9 +257,29 @@ def fil18_search_query(spark: SparkSession, d: str) -> DataFrame:
     return v.units(spark, d).where(keep).join(s, "source_id", "left_semi").select("id")
 
 
+@query("select id, (row_number() over (order by id) - 1) // 100 as chunk from (select distinct id from evidence_units where id is not null)")
+def src15_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of 100 units in the order of their ids.
+
+    Ids are numbered within ranges, in tasks of their own, and the ranges' sizes summed up.
+    """
+    ids = table(spark, d, "evidence_units").where("id is not null").select("id").distinct()
+    cut = F.substring("id", 1, 2)
+    before = ids.groupBy(cut.alias("r")).agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("r")) - C("n"))  # a row per range
+    n = F.row_number().over(Window.partitionBy("r").orderBy("id"))
+    return ids.withColumn("r", cut).withColumn("k", n).join(before, "r").select("id", F.floor((C("before") + C("k") - 1) / 100).alias("chunk"))
+
+
 # Joins
 
 
+@query(w("u", "select id, min(id) over (partition by source_id, snippet) as original_id from u where snippet <> '' and source_id is not null"))
+def joi13_originals(spark: SparkSession, d: str) -> DataFrame:
+    """Each unit with the first unit of its source that has the same text."""
+    u = v.units(spark, d).where("snippet <> '' and source_id is not null").select("id", "source_id", F.xxhash64("snippet").alias("h"), F.md5("snippet").alias("m"))
+    return u.select("id", F.min("id").over(Window.partitionBy("source_id", "h", "m")).alias("original_id"))
+
+
 @query(w("us", "select u.id, s.title, s.url, s.tier from u left join s on s.id = u.source_id"))
 def joi1_enrich(spark: SparkSession, d: str) -> DataFrame:
     s = v.sources(spark, d).select(C("id").alias("source_id"), "title", "url", "tier")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query
+from tessera.functions import text as fx
 from tessera.plans import views as v
 from tessera.plans.views import with_views as w
 from tessera.runtime import shared_root, table
@@ -44,6 +45,32 @@ def stm2_global_limit(spark: SparkSession, d: str) -> DataFrame:
     return li.global_windows(table(spark, d, "events"), "ts", "event_id", 60, 5)
 
 
+@query("""with recursive o as (select event_id, user_id, epoch_us(ts) as t, row_number() over (partition by user_id order by ts, event_id) as k from events where user_id is not null and ts is not null),
+  r as (select event_id, user_id, t, k, t as s, false as hit from o where k = 1
+    union all select o.event_id, o.user_id, o.t, o.k, case when o.t - r.s > 300000000 then o.t else r.s end, o.t - r.s <= 300000000 from r join o on o.user_id = r.user_id and o.k = r.k + 1)
+  select event_id, hit from r""")
+def stm3_cache_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Requests that a cache answers which keeps an answer for 300 seconds from when it was made.
+
+    A request is a hit unless it opens a window of its key. How many answers the
+    cache can hold doesn't matter to a batch: it is a matter of memory.
+    """
+    return li.fixed_windows(table(spark, d, "events"), "user_id", "ts", "event_id", 300, 1).select("event_id", C("blocked").alias("hit"))
+
+
+@query()
+def stm3_first_requests_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a stream without those whose key was seen within the watermark: those that no cache answers."""
+    import uuid
+
+    e = table(spark, d, "events")
+    stream = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    out = f"{shared_root(spark)}/first-{uuid.uuid4().hex[:12]}"
+    rows = stream.where("user_id is not null and ts is not null").withColumn("ts", C("ts").cast("timestamp")).withWatermark("ts", "300 seconds").dropDuplicatesWithinWatermark(["user_id"])
+    rows.select("event_id", "user_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, user_id long").parquet(out)
+
+
 @query("select date_trunc('day', ts) + interval 1 day as until, count(*) as n, round(avg(case when value is null or value < 1 then 1.0 else 0.0 end), 6) as rate from events group by 1", times=("until",))
 def stm4_error_rate(spark: SparkSession, d: str) -> DataFrame:
     r = au.error_rate(table(spark, d, "events"), "ts", C("value").isNull() | (C("value") < 1))
@@ -57,16 +84,16 @@ def stm5_retention(spark: SparkSession, d: str) -> DataFrame:
     return au.retained(v.audit(spark, d), dt.datetime(2024, 12, 31, tzinfo=dt.timezone.utc)).select("id", "action")
 
 
-@query("select id, count(*) as n from audit_logs group by 1")
+@query(f"select id, details, count(*) as n from (select id, {fx.redact_sql('details')} as details from audit_logs) group by 1, 2")
 def stm5_audit_stream(spark: SparkSession, d: str) -> DataFrame:
-    """The log streamed through redaction into an append-only table, then counted by id."""
+    """The log streamed through redaction into an append-only table, then counted by id and redacted details."""
     import uuid
 
     log = table(spark, d, "audit_logs")
     stream = spark.readStream.schema(log.schema).option("pathGlobFilter", "audit_logs.parquet").parquet(d)
     out = f"{shared_root(spark)}/audit-{uuid.uuid4().hex[:12]}"
     au.append(stream, out, out + "-state").awaitTermination()
-    return spark.read.schema(log.schema).parquet(out).groupBy("id").agg(F.count("*").alias("n"))
+    return spark.read.schema(log.schema).parquet(out).groupBy("id", "details").agg(F.count("*").alias("n"))
 
 
 CONF = "try_cast(case when json_valid(metadata) then metadata ->> '$.confidenceScore' end as double)"
@@ -90,6 +117,15 @@ def agg25_usage(spark: SparkSession, d: str) -> DataFrame:
     return last.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("value", F.lit(0.0))), 4).alias("tokens"), F.round(F.avg(bad), 6).alias("error_rate"))
 
 
+@query("""select event_type, count(*) as n, round(sum(coalesce(value, 0)), 4) as tokens, round(avg(case when value = 0 or value is null then 1.0 else 0.0 end), 6) as error_rate
+  from (select * from events where ts is not null order by ts desc, event_id desc limit 1000) group by 1""")
+def agg25_last_usage(spark: SparkSession, d: str) -> DataFrame:
+    """Usage over the ring of the last 1,000 requests."""
+    last = table(spark, d, "events").where("ts is not null").orderBy(C("ts").desc(), C("event_id").desc()).limit(1000)
+    bad = F.when((C("value") == 0) | C("value").isNull(), 1.0).otherwise(0.0)
+    return last.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum(F.coalesce("value", F.lit(0.0))), 4).alias("tokens"), F.round(F.avg(bad), 6).alias("error_rate"))
+
+
 @query("select event_type, count(*) filter (where value > 0) as succeeded, count(*) filter (where not coalesce(value > 0, false)) as failed, round(sum(value), 4) as tokens, round(sum(value) * 0.002, 4) as cost from events group by 1")
 def agg29_batch_summary(spark: SparkSession, d: str) -> DataFrame:
     ok = F.coalesce(C("value") > 0, F.lit(False))

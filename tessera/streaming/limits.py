@@ -38,8 +38,7 @@ def fixed_windows(events: DataFrame, client: str, ts: str, order: str, window_s:
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(starts, pa.int64()), pa.array(counts, pa.int32()), pa.array(blocked, pa.bool_())], names=["k", "s", "n", "blocked"])
 
     rows = events.where(F.col(client).isNotNull() & F.col(ts).isNotNull()).select(F.col(client).alias("c"), F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("k"))
-    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = rows.repartition(parts, "c").sortWithinPartitions("c", "t", "k").mapInArrow(walk, f"k {kinds[order]}, s long, n int, blocked boolean")
+    out = rows.repartition("c").sortWithinPartitions("c", "t", "k").mapInArrow(walk, f"k {kinds[order]}, s long, n int, blocked boolean")
     return out.select(F.col("k").alias(order), F.timestamp_micros("s").alias("window_start"), "n", "blocked")
 
 
