@@ -203,29 +203,35 @@ def wrapper_tokens(aligned: DataFrame) -> DataFrame:
 
 
 def known_lines(pages: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(site, id, lines): the pages with the role of each line, its token or the parts of a menu line."""
+    """(id, roles): of each page's lines that hold a wrapper token: the role, whether the exact token has it, whether most entries of a menu line have it."""
     side, _ = broadcast_below(tokens)
-    seen = pages.select("site", "id", F.explode("lines").alias("x")).select("site", "id", "x.line_no", "x.words", F.array_compact(F.concat(F.array("x.token", "x.loose"), F.coalesce("x.parts", F.array().cast("array<bigint>")))).alias("all"), "x.token", "x.loose")
-    hit = seen.select("site", "id", "line_no", "token", "loose", F.explode("all").alias("k")).join(side.withColumnRenamed("token", "k"), "k").where("at is null or at = site")
+    one = lambda k, of: F.struct(k.alias("k"), F.lit(of).alias("of"))
+    keys = F.filter(F.concat(F.array(one(F.col("x.token"), 1), one(F.col("x.loose"), 2)), F.transform(F.coalesce("x.parts", F.array().cast("array<bigint>")), lambda k: one(k, 0))), lambda y: y["k"].isNotNull())
+    seen = pages.select("site", "id", F.explode("lines").alias("x")).select("site", "id", "x.line_no", F.size("x.parts").alias("entries"), F.explode(keys).alias("y")).select("site", "id", "line_no", "entries", "y.k", "y.of")
+    hit = seen.join(side.withColumnRenamed("token", "k"), "k").where("at is null or at = site")
+    fixed = F.col("role") == 1
     roles = hit.groupBy("id", "line_no").agg(
-        F.max(F.when((F.col("k") == F.col("token")) | (F.col("k") == F.col("loose")), F.when(F.col("role") == 1, 9).otherwise(F.col("role")))).alias("role"),
-        F.collect_set(F.when(F.col("role") == 1, F.col("k"))).alias("parts"),
+        F.max(F.when(F.col("of") > 0, F.when(fixed, 9).otherwise(F.col("role")))).alias("role"),
+        F.coalesce(F.bool_or((F.col("of") == 1) & fixed), F.lit(False)).alias("exact"),
+        ((F.max("entries") >= 2) & (F.count_if((F.col("of") == 0) & fixed) >= 0.8 * F.max("entries"))).alias("menu"),
     )
-    return roles.groupBy("id").agg(F.collect_list(F.struct("line_no", "role", "parts")).alias("roles"))
+    return roles.groupBy("id").agg(F.collect_list(F.struct("line_no", "role", "exact", "menu")).alias("roles"))
 
 
 def stream(lines: list[dict], roles: list[dict] | None) -> list[dict]:
-    """The lines in order with fixed / heading flags."""
+    """The lines in order with fixed / heading flags and the key of their element."""
     by = {r["line_no"]: r for r in roles or ()}
-    out = []
-    for x in sorted(lines, key=lambda x: x["line_no"]):
-        r = by.get(x["line_no"])
-        role = r["role"] if r else None
-        menu = bool(r and len(x["parts"] or ()) >= 2 and sum(p in set(r["parts"]) for p in x["parts"]) >= 0.8 * len(x["parts"]) and x["kind"] in (OPEN, RUN))
-        fixed = (role == 9 or menu) and x["kind"] != TITLE
-        key = None if not fixed else MENU if role != 9 else x["token"] if x["token"] in r["parts"] else x["loose"]
-        out.append({**x, "fixed": fixed, "heading": role == 2 and not fixed, "key": key})
-    return out
+    lines.sort(key=lambda x: x["line_no"])
+    for x in lines:
+        x["fixed"] = x["heading"] = False
+        x["key"] = None
+        if r := by.get(x["line_no"]):
+            if x["kind"] != TITLE and (r["role"] == 9 or r["menu"] and x["kind"] in (OPEN, RUN)):
+                x["fixed"] = True
+                x["key"] = MENU if r["role"] != 9 else x["token"] if r["exact"] else x["loose"]
+            else:
+                x["heading"] = r["role"] == 2
+    return lines
 
 
 def title_like(x: dict) -> bool:
@@ -481,7 +487,8 @@ def _inferred(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages with the roles of their lines, folded, expressions with slots)."""
     pages = materialise(page_tokens(sources), "tokens")
     tokens = materialise(wrapper_tokens(alignment(pages)), "wrapper")
-    known = materialise(pages.join(known_lines(pages, tokens), "id", "left"), "known")
+    slim = F.transform("lines", lambda x: F.struct(x["line_no"].alias("line_no"), x["kind"].alias("kind"), x["token"].alias("token"), x["loose"].alias("loose")))
+    known = materialise(pages.join(known_lines(pages, tokens), "id", "left").select("site", "id", slim.alias("lines"), "roles"), "known")
     folded = materialise(known.select("site", "id", "lines", "roles").mapInArrow(_fold(), FOLDED), "folded")
     return known, folded, materialise(with_slots(expressions(folded)), "slots")
 
