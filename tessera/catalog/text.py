@@ -10,13 +10,14 @@ from tessera.functions import text as fx
 from tessera.operators import unitize as un
 from tessera.plans import views as v
 from tessera.plans.views import with_views as w
-from tessera.runtime import table
+from tessera.runtime import spread, table
 
 C = F.col
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents")
+    t = table(spark, d, "documents")
+    return spread(t, t)
 
 
 def scalar(name: str, column: str, spark_fn, sql_fn, where: str = "text is not null", lists: bool = False):
