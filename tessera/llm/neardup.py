@@ -450,6 +450,7 @@ def near_classes(items: DataFrame, size: int, threshold: float, key_rows: int =
     similarity), one row per pair of different classes at or above the threshold.
     """
     spark = items.sparkSession
+    items = items.where("id is not null and space is not null").select(F.col("space").cast("int"), F.col("id").cast("string"), "text")
     members = materialise(items.mapInArrow(_members(size), "space int, id string, cls long"), "members")
     ranges = parts_for(spark, members.count() * CHUNKS * SPAN * _ROW.itemsize, key_rows * _ROW.itemsize)
     # the blocks, larger than the texts, are shuffled once and not written before

@@ -245,7 +245,8 @@ def with_limits(measured: DataFrame) -> DataFrame:
 
 def inspect(units: DataFrame, sources: DataFrame, hot: int = 50_000) -> DataFrame:
     """(id, source_id, cut, at_limit) of units (id, source_id, site, t, a, b) with text; sources (id, text)."""
-    measured = materialise(with_limits(with_lengths(units.where("t is not null and trim(t) <> ''"))), "measured")
+    units = units.where("id is not null and t is not null and trim(t) <> ''").select("id", "source_id", "site", "t", F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))
+    measured = materialise(with_limits(with_lengths(units)), "measured")
     crowded = measured.groupBy("source_id").agg(F.ceil(F.count("*") / hot).cast("int").alias("split")).where("split > 1")
     crowded, _ = broadcast_below(materialise(crowded, "crowded"))
     split = F.coalesce("split", F.lit(1))

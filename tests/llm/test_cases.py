@@ -234,7 +234,7 @@ def test_near_pairs_brute_force(spark):
             texts.append(" ".join(w))
     texts += ["", None, "!!!", "one two", "One, two.", "x", "x", texts[0], texts[0].upper()]
     rows = [(i % 2, f"i{i:04d}", t) for i, t in enumerate(texts)]
-    items = spark.createDataFrame([*rows, (0, None, "x")], "space int, id string, text string").where("id is not null")
+    items = spark.createDataFrame([*rows, (0, None, "x")], "space int, id string, text string").select(F.lit("clash").alias("cls"), F.lit("clash").alias("a"), "text", "id", "space", F.lit("clash").alias("shingles"))
     got = {(x.space, x.id_a, x.id_b) for x in neardup.near_pairs(items).collect()}
     sets = [(s, i, shingle_set(t)) for s, i, t in rows]
     want = {}
@@ -380,7 +380,7 @@ def test_cut_passages(spark):
     }
     rows = [(k, "s", c or norm[a:b], a, b) for k, (a, b, c, _) in cases.items()]
     rows += [("null", "s", None, 0, 1), ("blank", "s", " ", 0, 1), ("orphan", "zz", "Not in any", 5, 2), ("swapped", "s", norm[:31], 31, 0), ("nopos", "s", norm[:31], None, None), ("twice", "s", norm[:31], 0, 31), ("twice2", "gone", "A whole one.", 0, 3), ("lost", None, "Stops in the mid", 0, 3), ("lost2", None, "Whole.", None, 3)]
-    u = spark.createDataFrame(rows, "id string, source_id string, t string, a int, b int").withColumn("site", F.lit("x.org")).withColumn("hit", F.lit("clash"))
+    u = spark.createDataFrame(rows, "id string, source_id string, t string, a int, b int").withColumn("site", F.lit("x.org")).withColumns({c: F.lit("clash") for c in ("hit", "own", "every", "split", "lengths", "salt", "cut")})
     got = {r.id: r.cut for r in truncation.inspect(u, src, hot=3).collect()}
     assert {k: got[k] for k in cases} == {k: c[3] for k, c in cases.items()}
     assert got["orphan"] and got["lost"] and not got["lost2"] and not got["swapped"] and not got["nopos"] and not got["twice2"] and not {"null", "blank"} & set(got)
