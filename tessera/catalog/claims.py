@@ -55,15 +55,10 @@ def assessed(spark: SparkSession, d: str, support: float = 0.7, conflict: float
 
     Pairs that are neither cited nor as similar as ``conflict`` are never built.
     """
-    fs, us = field_sets(spark, d), unit_sets(spark, d)
-    near = cl.jaccard_pairs(fs, us, conflict).select("a", "b")
-    cited = v.citations(spark, d).select(C("claim_field_id").alias("a"), F.explode("ids").alias("b")).distinct()
-    l = fs.select("scope", C("id").alias("a"), C("set").alias("sa"), C("neg").alias("na"))  # noqa: E741
-    r = us.select(C("scope").alias("s2"), C("id").alias("b"), C("set").alias("sb"), C("neg").alias("nb"), "q", "created_at")
-    pairs = cited.withColumn("cited", F.lit(True)).join(near.withColumn("near", F.lit(True)), ["a", "b"], "full")
-    full = cl.with_jaccard(pairs.join(l, "a").join(r, "b").where("scope = s2"))
-    is_cited = F.coalesce("cited", F.lit(False))
-    return full.select("a", "b", C("jaccard").alias("sim"), (is_cited & (C("jaccard") > support)).alias("supports"), (~is_cited & (C("jaccard") > conflict) & (C("na") != C("nb"))).alias("conflicts"), "q", "created_at")
+    cited = v.citations(spark, d).select(C("claim_field_id").alias("a"), F.explode("ids").alias("b"))
+    units = unit_sets(spark, d).withColumnRenamed("neg", "neg_b")
+    pairs = cl.jaccard_pairs(field_sets(spark, d), units, conflict, cited)
+    return pairs.select("a", "b", C("jaccard").alias("sim"), (C("named") & (C("jaccard") > support)).alias("supports"), (~C("named") & (C("jaccard") > conflict) & (C("neg") != C("neg_b"))).alias("conflicts"), "q", "created_at")
 
 
 PAIRS = "select a, b, round(sim, 6) as sim, supports, conflicts from ev"

@@ -2,37 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from tessera.config import ConfidenceConfig
 from tessera.functions import patterns as P
 from tessera.functions import text as fx
 from tessera.functions.scores import clamp
+from tessera.operators import overlaps
+from tessera.runtime import materialise, ship
 
 
-def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, named: DataFrame | None = None) -> DataFrame:
     """(scope, a, b, jaccard) of left (scope, id, set) x right (scope, id, set) at or above the threshold.
 
-    Lossless: ordered from rare to common, two sets with Jaccard >= t share one
-    of the first n - ceil(t * n) + 1 elements of each; only those are joined, and
-    what meets is checked by the sets. Empty sets meet nothing.
+    Lossless, in blocks of one scope's left rows and right rows: pairs are
+    counted inside a task (overlaps.near), so only the sets are shuffled, never
+    pairs that merely meet. Sets of a scope without rows on the other side stay
+    out; empty sets meet nothing. ``left`` and ``right`` should be written
+    tables, as they are counted first.
+
+    named (a, b): pairs that come out whatever their similarity, if both are
+    in the same scope; a column named tells them. Further columns of either side
+    come out with its rows.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be in (0, 1]")
-    rows = left.select(F.lit(0).alias("side"), "scope", "id", "set").unionByName(right.select(F.lit(1).alias("side"), "scope", "id", "set"))
-    each = rows.select("side", "scope", "id", F.size("set").alias("n"), F.explode("set").alias("x"))
-    df = each.groupBy("x").agg(F.count("*").alias("df"))
-    ranked = each.join(df, "x").withColumn("r", F.row_number().over(Window.partitionBy("side", "scope", "id").orderBy("df", "x")))
-    head = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)
-    a = head.where("side = 0").select("scope", "x", F.col("id").alias("a"), F.col("n").alias("na"))
-    b = head.where("side = 1").select("scope", "x", F.col("id").alias("b"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - 1e-9
-    met = a.join(b, ["scope", "x"]).where(near).select("scope", "a", "b").distinct()
-    sa = left.select("scope", F.col("id").alias("a"), F.col("set").alias("sa"))
-    sb = right.select("scope", F.col("id").alias("b"), F.col("set").alias("sb"))
-    return with_jaccard(met.join(sa, ["scope", "a"]).join(sb, ["scope", "b"])).drop("sa", "sb").where(F.col("jaccard") >= threshold)
+    ship(left.sparkSession)
+    a, b = left.withColumnRenamed("id", "a"), right.withColumnRenamed("id", "b")
+    of_a = ["scope", "a", *[c for c in a.columns if c not in ("scope", "a", "set")]]
+    of_b = ["b", *[c for c in b.columns if c not in ("scope", "b", "set")]]
+    n = lambda df, most: df.groupBy("scope").agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
+    cuts = n(a, overlaps.LEFT_ROWS).withColumnRenamed("n", "na").join(n(b, overlaps.RIGHT_ROWS).withColumnRenamed("n", "nb"), "scope")
+    cuts = materialise(cuts, "cuts").select(F.col("scope").alias("of"), F.col("na").alias("parts_a"), F.col("nb").alias("parts_b"))
+    part = lambda key, parts: F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    in_scope = lambda df: df.join(cuts, F.col("scope") == F.col("of"))
+    rows = in_scope(a).select(F.lit(overlaps.LEFT).alias("side"), part("a", "parts_a").alias("part_a"), every("parts_b").alias("part_b"), "set", *of_a)
+    rows = rows.unionByName(in_scope(b).select(F.lit(overlaps.RIGHT).alias("side"), every("parts_a").alias("part_a"), part("b", "parts_b").alias("part_b"), "scope", "set", *of_b), True)
+    if named is not None:
+        pairs = in_scope(named.select("a", "b").join(a.select("scope", "a"), "a"))
+        rows = rows.unionByName(pairs.select(F.lit(overlaps.NAMED).alias("side"), "scope", part("a", "parts_a").alias("part_a"), part("b", "parts_b").alias("part_b"), "a", "b"), True)
+
+    def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return overlaps.block(batches, threshold, of_a, of_b)
+
+    schema = T.StructType([*[a.schema[c] for c in of_a], *[b.schema[c] for c in of_b], T.StructField("jaccard", T.DoubleType()), T.StructField("named", T.BooleanType())])
+    out = rows.groupBy("scope", "part_a", "part_b").applyInArrow(pairs_of, schema)
+    return out if named is not None else out.drop("named")
 
 
 def with_jaccard(pairs: DataFrame) -> DataFrame:
