@@ -39,7 +39,7 @@ def shuffled(spark, run):
     return got, rows
 
 
-@pytest.mark.parametrize("name", ["agg16_weighted_scores", "joi11_potential_evidence", "srt6_suggested", "sco12_claim_confidence_loose"])
+@pytest.mark.parametrize("name", ["agg16_weighted_scores", "joi11_potential_evidence", "srt6_suggested", "sco12_claim_confidence_loose", "joi10_assess_loose"])
 def test_only_sets_are_shuffled(spark, one_project, name):
     con = duckdb.connect()
     con.execute("set timezone = 'UTC'")
