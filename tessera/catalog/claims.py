@@ -387,8 +387,9 @@ POT = SENT + f""", tk as (select sent.id, sent.i, f.project_id, list_distinct({f
 
 
 def potential(spark: SparkSession, d: str) -> DataFrame:
-    f = v.fields(spark, d).where("text is not null and project_id is not null").select("id", C("project_id").alias("scope"))
-    s = sentences(spark, d).join(f, "id").select("scope", F.concat_ws("#", "id", "i").alias("id"), token_set(C("sentence")).alias("set"))
+    f = v.fields(spark, d).where("text is not null and project_id is not null")
+    s = f.select(C("project_id").alias("scope"), "id", F.posexplode(fx.citation_sentences(C("text"))).alias("i", "sentence"))
+    s = s.select("scope", F.concat_ws("#", "id", "i").alias("id"), token_set(C("sentence")).alias("set"))
     u = project_units(spark, d).select(C("project_id").alias("scope"), "id", token_set(C("snippet")).alias("set"))
     pairs = cl.jaccard_pairs(materialise(s, "sentences"), materialise(u, "units"), 0.3)
     return pairs.select(F.substring_index("a", "#", 1).alias("field_id"), F.substring_index("a", "#", -1).cast("int").alias("sentence_index"), C("b").alias("evidence_id"), C("jaccard").alias("score"))

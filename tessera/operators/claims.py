@@ -21,8 +21,8 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, named: Da
     """(scope, a, b, jaccard) of left (scope, id, set) x right (scope, id, set) at or above the threshold.
 
     Lossless, in blocks of one scope's left rows and right rows: pairs are
-    counted inside a task (overlaps.near), so only the sets are shuffled, never
-    pairs that merely meet. Sets of a scope without rows on the other side stay
+    counted inside a task (overlaps.near), so only the sets are shuffled, in
+    packs, never pairs that merely meet. Sets of a scope without rows on the other side stay
     out; empty sets meet nothing. ``left`` and ``right`` should be written
     tables, as they are counted first.
 
@@ -39,20 +39,29 @@ def jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, named: Da
     n = lambda df, most: df.groupBy("scope").agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
     cuts = n(a, overlaps.LEFT_ROWS).withColumnRenamed("n", "na").join(n(b, overlaps.RIGHT_ROWS).withColumnRenamed("n", "nb"), "scope")
     cuts = materialise(cuts, "cuts").select(F.col("scope").alias("of"), F.col("na").alias("parts_a"), F.col("nb").alias("parts_b"))
+    blocks = cuts.agg(F.coalesce(F.sum(F.col("parts_a").cast("long") * F.col("parts_b")), F.lit(0))).first()[0]
     part = lambda key, parts: F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     in_scope = lambda df: df.join(cuts, F.col("scope") == F.col("of"))
-    rows = in_scope(a).select(F.lit(overlaps.LEFT).alias("side"), part("a", "parts_a").alias("part_a"), every("parts_b").alias("part_b"), "set", *of_a)
-    rows = rows.unionByName(in_scope(b).select(F.lit(overlaps.RIGHT).alias("side"), every("parts_a").alias("part_a"), part("b", "parts_b").alias("part_b"), "scope", "set", *of_b), True)
+    keys = ["of", "own", "others"]
+    kinds = T.StructType([T.StructField("of", a.schema["scope"].dataType), T.StructField("own", T.IntegerType()), T.StructField("others", T.IntegerType()), T.StructField("pack", T.BinaryType())])
+
+    def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return overlaps.pack(batches, keys)
+
+    of = lambda df, key, own, others, columns: in_scope(df).select("of", part(key, own).alias("own"), F.col(others).alias("others"), "set", *columns).mapInArrow(packs, kinds)
+    rows = of(a, "a", "parts_a", "parts_b", of_a).select(F.lit(overlaps.LEFT).alias("side"), "of", F.col("own").alias("part_a"), every("others").alias("part_b"), "pack")
+    rows = rows.unionByName(of(b, "b", "parts_b", "parts_a", of_b).select(F.lit(overlaps.RIGHT).alias("side"), "of", every("others").alias("part_a"), F.col("own").alias("part_b"), "pack"))
     if named is not None:
         pairs = in_scope(named.select("a", "b").join(a.select("scope", "a"), "a"))
-        rows = rows.unionByName(pairs.select(F.lit(overlaps.NAMED).alias("side"), "scope", part("a", "parts_a").alias("part_a"), part("b", "parts_b").alias("part_b"), "a", "b"), True)
+        rows = rows.unionByName(pairs.select(F.lit(overlaps.NAMED).alias("side"), "of", part("a", "parts_a").alias("part_a"), part("b", "parts_b").alias("part_b"), "a", "b"), True)
 
     def pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return overlaps.block(batches, threshold, of_a, of_b)
 
     schema = T.StructType([*[a.schema[c] for c in of_a], *[b.schema[c] for c in of_b], T.StructField("jaccard", T.DoubleType()), T.StructField("named", T.BooleanType())])
-    out = rows.groupBy("scope", "part_a", "part_b").applyInArrow(pairs_of, schema)
+    block = ["of", "part_a", "part_b"]
+    out = rows.repartition(max(1, min(blocks, 200_000)), *block).groupBy(*block).applyInArrow(pairs_of, schema)  # a block's bytes don't tell its work
     return out if named is not None else out.drop("named")
 
 

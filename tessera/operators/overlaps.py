@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 LEFT_ROWS, RIGHT_ROWS = 32_768, 16_384
 #: Pairs are handed on in batches of about this many.
 OUT_ROWS = 100_000
+#: Rows of a task that are packed at once.
+PACK_ROWS = 65_536
 #: A token in at least one of so many right rows is a row of flags, a rarer one a list of rows.
 SPARSE = 128
 LEFT, RIGHT, NAMED = 0, 1, 2
@@ -23,14 +25,63 @@ def ragged(codes: np.ndarray, ends: np.ndarray, sizes: np.ndarray, rows: np.ndar
     return codes[np.repeat(ends[rows] - np.cumsum(n), n) + np.arange(n.sum())]
 
 
+def one(column: pa.ChunkedArray) -> pa.Array:
+    return column.chunk(0) if column.num_chunks == 1 else column.combine_chunks()
+
+
+def pack(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """(keys, pack): the rows of each key as one compressed Arrow stream, in which tokens are codes of its own words.
+
+    A row of a pack takes a fraction of what its words take, and is sent to
+    several blocks as it is. keys may not be null.
+    """
+
+    def packs(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        codes = np.zeros(len(t), np.int64)
+        for k in keys:
+            code = one(t[k]).dictionary_encode()
+            codes = np.unique(codes * len(code.dictionary) + code.indices.to_numpy(), return_inverse=True)[1]
+        order = np.argsort(codes, kind="stable")
+        t, starts = t.take(pa.array(order)).combine_chunks(), np.flatnonzero(np.diff(codes[order], prepend=-1))
+        streams = []
+        for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(t)]):
+            own = t.drop_columns(keys).slice(lo, hi - lo)
+            sets = one(own["set"])
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False), dtype=np.int32)
+            sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), sets.flatten().dictionary_encode())
+            own = own.set_column(own.schema.get_field_index("set"), "set", sets)
+            with pa.ipc.new_stream(out := pa.BufferOutputStream(), own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(own)
+            streams.append(out.getvalue().to_pybytes())
+        return pa.RecordBatch.from_arrays([*[one(t[k].take(pa.array(starts))) for k in keys], pa.array(streams, pa.binary())], names=[*keys, "pack"])
+
+    held, n = [], 0
+    for x in batches:
+        held, n = [*held, x], n + len(x)
+        if n >= PACK_ROWS:
+            yield packs(held)
+            held, n = [], 0
+    if n:
+        yield packs(held)
+
+
+def unpacked(packs: pa.Array) -> list[pa.Table]:
+    return [pa.ipc.open_stream(x.as_buffer()).read_all() for x in packs]
+
+
 class Sets:
-    """Token sets of the rows of a batch, as codes."""
+    """Token sets of the rows of packs, one after the other, as codes."""
 
-    def __init__(self, column: pa.Array):
-        self.sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    def __init__(self, packs: list[pa.Table]):
+        columns = [c for t in packs for c in t["set"].chunks]
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *[pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in columns]]).astype(np.int64)
         self.ends = np.cumsum(self.sizes)
-        words = column.flatten().dictionary_encode(null_encoding="encode")
-        self.codes, self.n_codes = words.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(words.dictionary)
+        words = [c.flatten() for c in columns]
+        known = pa.chunked_array([x.dictionary for x in words]).combine_chunks().dictionary_encode()
+        code, first = known.indices.to_numpy(), np.cumsum([0, *[len(x.dictionary) for x in words]])
+        self.codes = np.concatenate([np.zeros(0, np.int64), *[code[x.indices.to_numpy() + k] for x, k in zip(words, first)]]).astype(np.int64)
+        self.n_codes = len(known.dictionary)
 
     def of(self, rows: np.ndarray) -> np.ndarray:
         return ragged(self.codes, self.ends, self.sizes, rows)
@@ -108,29 +159,33 @@ def near(sets: Sets, left: np.ndarray, right: np.ndarray, threshold: float) -> I
 def block(batches: Iterator[pa.RecordBatch], threshold: float, of_a: list[str], of_b: list[str]) -> Iterator[pa.RecordBatch]:
     """(of_a columns of the left row, of_b columns of the right row, jaccard, named) of the near and the named pairs of one block.
 
-    Columns side (LEFT, RIGHT or NAMED), a, b, set and those of of_a and of_b;
-    named rows hold the a and the b of a pair that is wanted whatever it shares.
+    Columns side (LEFT, RIGHT or NAMED), pack, a, b. Packs hold the columns set
+    and of_a or of_b; named rows hold the a and the b of a pair that is wanted
+    whatever it shares.
     """
-    t = pa.Table.from_batches(list(batches)).combine_chunks()
-    col = lambda name: t[name].combine_chunks() if t[name].num_chunks != 1 else t[name].chunk(0)
-    side, a, b = t["side"].to_numpy(), col("a"), col("b")
-    left, right, named = (np.flatnonzero(side == x) for x in (LEFT, RIGHT, NAMED))
-    sets = Sets(col("set"))
-
-    def rows_of(a_rows: np.ndarray, b_rows: np.ndarray, both: np.ndarray, is_named: bool) -> pa.RecordBatch:
-        union = sets.sizes[a_rows] + sets.sizes[b_rows] - both
+    t = pa.Table.from_batches(list(batches))
+    sides = [t.filter(pc.equal(t["side"], x)) for x in (LEFT, RIGHT, NAMED)]
+    packs_a, packs_b = (unpacked(x["pack"]) for x in sides[:2])
+    if not packs_a or not packs_b:
+        return
+    sets = Sets([*packs_a, *packs_b])
+    rows_a, rows_b = (pa.concat_tables([x.drop_columns("set") for x in packs]).combine_chunks() for packs in (packs_a, packs_b))
+    na, n = len(rows_a), len(rows_a) + len(rows_b)
+
+    def rows_of(a: np.ndarray, b: np.ndarray, both: np.ndarray, is_named: bool) -> pa.RecordBatch:
+        union = sets.sizes[a] + sets.sizes[b] - both
         jaccard = np.divide(both, union, out=np.zeros(len(both)), where=union > 0)
-        columns = [col(c).take(pa.array(a_rows)) for c in of_a] + [col(c).take(pa.array(b_rows)) for c in of_b]
+        columns = [one(rows_a[c]).take(pa.array(a)) for c in of_a] + [one(rows_b[c]).take(pa.array(b - na)) for c in of_b]
         return pa.RecordBatch.from_arrays([*columns, pa.array(jaccard), pa.array(np.full(len(both), is_named))], names=[*of_a, *of_b, "jaccard", "named"])
 
     known = np.zeros(0, np.int64)
-    if len(named) and len(left) and len(right):
-        at = lambda ids, rows: pc.fill_null(pc.index_in(ids.take(pa.array(named)), value_set=ids.take(pa.array(rows))), -1).to_numpy(zero_copy_only=False)
-        i, j = at(a, left), at(b, right)
+    if len(sides[NAMED]):
+        at = lambda c, rows: pc.fill_null(pc.index_in(one(sides[NAMED][c]), value_set=one(rows[c])), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        i, j = at("a", rows_a), at("b", rows_b)
         here = (i >= 0) & (j >= 0)
-        known = np.unique(left[i[here]] * len(t) + right[j[here]])
-        x, y = known // len(t), known % len(t)
+        known = np.unique(i[here] * n + na + j[here])
+        x, y = known // n, known % n
         yield rows_of(x, y, sets.shared(x, y), True)
-    for x, y, both in near(sets, left, right, threshold):
-        new = ~np.isin(x * len(t) + y, known)
+    for x, y, both in near(sets, np.arange(na), np.arange(na, n), threshold):
+        new = ~np.isin(x * n + y, known)
         yield rows_of(x[new], y[new], both[new], False)
