@@ -55,7 +55,7 @@ def test_only_sets_are_shuffled(spark, one_project, name):
     assert 0 < rows < 10 * units
 
 
-@pytest.mark.parametrize("name", ["joi11_potential_evidence", "srt6_suggested", "sco12_claim_confidence_loose"])
+@pytest.mark.parametrize("name", ["joi11_potential_evidence", "srt6_suggested", "sco12_claim_confidence_loose", "joi10_assess_loose"])
 def test_many_blocks_shuffle_packs(spark, one_project, monkeypatch, name):
     """A set that is sent to many blocks isn't a row for each of them."""
     monkeypatch.setattr(overlaps, "LEFT_ROWS", 64)
